@@ -1,7 +1,7 @@
 """Every registered query with its SQL, where it has one."""
 
-from registry import topics, views
+from registry import topics, vectors, views
 
-_PARTS = (views, topics)
+_PARTS = (views, topics, vectors)
 QUERIES = {name: fn for part in _PARTS for name, fn in part.Q.items()}
 ORACLES = {name: text for part in _PARTS for name, text in part.SQL.items()}
