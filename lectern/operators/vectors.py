@@ -52,13 +52,12 @@ def bucket_idf(counted: DataFrame, dims: int, counts_col: str = "counts") -> Dat
     return counted.agg(F.array(*idf).alias("idf"))
 
 
-def unit_column(df: DataFrame, source: str, out: str) -> DataFrame:
+def unit(values: Column, dims: int) -> Column:
     """Scaled to length 1 as array<float>; a null vector stays as it is."""
-    square = F.aggregate(F.col(source), F.lit(0.0), lambda acc, x: acc + x * x)
+    square = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
     length = F.when(square > 0, F.sqrt(square)).otherwise(1.0)
-    return df.withColumn("_length", length).withColumn(
-        out, F.transform(F.col(source), lambda x: (x / F.col("_length")).cast("float"))
-    ).drop("_length")
+    # The length goes in as an array, so that it is worked out once per row and not per element.
+    return F.zip_with(values, F.array_repeat(length, dims), lambda x, n: (x / n).cast("float"))
 
 
 def embed_hashed(
@@ -74,7 +73,7 @@ def embed_hashed(
     weighted = counted.withColumn("_idf", idf.scalar()).withColumn(
         "_weighted", F.zip_with("counts", "_idf", lambda c, w: c * w)
     )
-    return unit_column(weighted, "_weighted", "embedding").drop("counts", "_idf", "_weighted")
+    return weighted.withColumn("embedding", unit(F.col("_weighted"), dims)).drop("counts", "_idf", "_weighted")
 
 
 def embed_with_model(
