@@ -158,7 +158,7 @@ def topic_hierarchy(distances: DataFrame) -> DataFrame:
             F.min(F.struct("d", F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"))).alias("n")
         )
         # A pair is merged when both of its ends name it.
-        found = cut_lineage(
+        found = (
             near.select("n.l", "n.r", "n.d")
             .groupBy("l", "r")
             .agg(F.count("*").alias("votes"), F.min("d").alias("d"))
@@ -174,7 +174,7 @@ def topic_hierarchy(distances: DataFrame) -> DataFrame:
         )
         step = cut_lineage(found.join(topics, ["l", "r"]).withColumn("round", F.lit(round_no)))
         merges = step if merges is None else merges.unionByName(step)
-        into = found.select(F.col("r").alias("old"), F.col("l").alias("new"))
+        into = step.select(F.col("r").alias("old"), F.col("l").alias("new"))
         members = cut_lineage(
             members.join(into, F.col("rep") == F.col("old"), "left").select("leaf", F.coalesce("new", "rep").alias("rep"))
         )

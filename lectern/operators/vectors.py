@@ -40,16 +40,24 @@ def bucket_counts(df: DataFrame, dims: int, words: Column, out: str = "counts")
     )
 
 
-def bucket_idf(counted: DataFrame, dims: int, counts_col: str = "counts") -> DataFrame:
+def bucket_idf(df: DataFrame, dims: int, words: Column) -> DataFrame:
     """One row: the inverse document frequency of every bucket, smoothed, as an array.
 
-    The document counts are ``dims`` sums, combined in every task before they meet.
+    Every task combines its texts to at most ``dims`` counts before they meet.
     """
-    n = F.count("*")
-    idf = [
-        (F.log((n + 1) / (F.count_if(F.col(counts_col)[i] > 0) + 1)) + 1) for i in range(dims)
-    ]
-    return counted.agg(F.array(*idf).alias("idf"))
+    seen = (
+        df.select(F.explode(F.array_distinct(buckets(words, dims)).cast("array<int>")).alias("bucket"))
+        .groupBy("bucket")
+        .agg(F.count("*").alias("n"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("_seen"))
+    )
+    total = df.agg(F.count("*")).scalar()
+    return seen.withColumn("_all", total).select(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda i: F.log((F.col("_all") + 1) / (F.coalesce(F.col("_seen")[i], F.lit(0)) + 1)) + 1,
+        ).alias("idf")
+    )
 
 
 def unit(values: Column, dims: int) -> Column:
@@ -68,8 +76,9 @@ def embed_hashed(
     Everything but the ``dims`` document counts is row-local. Give ``idf`` to embed new texts with
     the counts of an earlier corpus.
     """
-    counted = bucket_counts(df, dims, tokens(F.col(text_col)))
-    idf = bucket_idf(counted, dims) if idf is None else idf
+    words = tokens(F.col(text_col))
+    counted = bucket_counts(df, dims, words)
+    idf = bucket_idf(df, dims, words) if idf is None else idf
     weighted = counted.withColumn("_idf", idf.scalar()).withColumn(
         "_weighted", F.zip_with("counts", "_idf", lambda c, w: c * w)
     )

@@ -41,14 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    They survive the loss of any executor, are worked out once (a checkpoint would do it twice)
+    and come with a file size by which joins can choose to broadcast.
+    """
+    path = scratch_table(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as tx
 from lectern.operators import sentiment as sn
 from lectern.operators.chunking import chunk
-from lectern.session import scratch_table
+from lectern.session import cut_lineage
 
 EMOTIONS = ("approval", "annoyance")
 
@@ -126,10 +126,8 @@ def scored(spark, d) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read back: what one stage hands to the next."""
-    path = scratch_table(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """A table as one stage hands it to the next: written and read back."""
+    return cut_lineage(df)
 
 
 # ---------------------------------------------------------------- SQL side
