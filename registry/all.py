@@ -1,7 +1,7 @@
 """Every registered query with its SQL, where it has one."""
 
-from registry import clusters, labels, topics, vectors, views
+from registry import clusters, labels, sources, topics, vectors, views
 
-_PARTS = (views, topics, vectors, clusters, labels)
+_PARTS = (sources, views, topics, vectors, clusters, labels)
 QUERIES = {name: fn for part in _PARTS for name, fn in part.Q.items()}
 ORACLES = {name: text for part in _PARTS for name, text in part.SQL.items()}
