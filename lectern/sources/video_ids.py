@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The host names links are recognised by, and the query parameter with the id.
@@ -19,8 +19,8 @@ _WHITE = r"^[ \t\r\n\x0B\f]+|[ \t\r\n\x0B\f]+$"
 def extract_video_ids(
     lines: DataFrame,
     url_col: str = "url",
-    watch_hosts: Sequence[str] = WATCH_HOSTS,
-    short_hosts: Sequence[str] = SHORT_HOSTS,
+    watch_hosts: Sequence[str] | str = WATCH_HOSTS,
+    short_hosts: Sequence[str] | str = SHORT_HOSTS,
     markers: Sequence[str] = MARKERS,
     parameter: str = ID_PARAMETER,
     path_pattern: str | None = None,
@@ -28,7 +28,8 @@ def extract_video_ids(
     """Add ``video_id`` to every line that names a video; other lines are dropped.
 
     A line with none of the ``markers`` is itself an id. In a link of a watch host the id is the
-    query parameter, in one of a short host the path. ``path_pattern`` is an optional regular
+    query parameter, in one of a short host the path. Hosts are a list of names or one regular
+    expression for the whole name. ``path_pattern`` is an optional regular
     expression whose first group finds an id in the path of a watch host, such as
     ``^/(?:shorts|live)/([^/]+)``.
     """
@@ -49,8 +50,8 @@ def extract_video_ids(
         is_link = is_link | url.contains(mark)
     video_id = (
         F.when(~is_link, url)
-        .when(host.isin(list(watch_hosts)), from_query)
-        .when(host.isin(list(short_hosts)), F.regexp_replace(F.substring(path, 2, 1_000_000), r";[^/]*$", ""))
+        .when(_host_in(host, watch_hosts), from_query)
+        .when(_host_in(host, short_hosts), F.regexp_replace(F.substring(path, 2, 1_000_000), r";[^/]*$", ""))
     )
     return (
         lines.withColumn("_line", F.regexp_replace(url_col, _WHITE, ""))
@@ -61,6 +62,10 @@ def extract_video_ids(
     )
 
 
+def _host_in(host: Column, hosts: Sequence[str] | str) -> Column:
+    return host.rlike(f"^(?:{hosts})$") if isinstance(hosts, str) else host.isin(list(hosts))
+
+
 def read_url_lines(spark: SparkSession, path: str) -> DataFrame:
     """(url, line_key): the lines of text files; ``line_key`` sorts them as they are in the files.
 

@@ -38,14 +38,10 @@ def query(name, oracle=None):
 )
 def _(spark, d):
     """The hosts of the pages table in place of video hosts, ``page`` in place of the id parameter."""
-    pages = b.table(spark, d, "pages")
-    hosts = pages.select(F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1).alias("h")).distinct()
-    # Host lists are settings, a few names; here they are read off the table.
-    names = [r["h"] for r in hosts.where(F.col("h").contains(".example.")).collect()]
     found = extract_video_ids(
-        pages,
-        watch_hosts=[h for h in names if h.endswith((".example.com", ".example.net"))],
-        short_hosts=[h for h in names if h.endswith(".example.org")],
+        b.table(spark, d, "pages"),
+        watch_hosts=r".*\.example\.(?:com|net)",
+        short_hosts=r".*\.example\.org",
         markers=[".example."],
         parameter="page",
     )
