@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,40 +86,29 @@ def topics_over_time(
     overall = weights.groupBy("topic_id").agg(F.sum("score").alias("_sum"))
     per_topic = cut_lineage(present.join(overall, "topic_id"))
     per_term = weighted.groupBy("topic_id", "term").agg(
-        F.max("score").alias("_score"), F.map_from_entries(F.collect_list(F.struct("period", "w"))).alias("_w")
+        F.max("score").alias("_score"), F.collect_list("period").alias("_at"), F.collect_list("w").alias("_w")
     )
     if global_tuning:
-        # A topic's overall words count in every period, also those not said in any bin of it.
+        # A topic's overall words count in every period, also those not said in any chunk of it.
         per_term = weights.select("topic_id", "term", F.col("score").alias("_score")).join(
             per_term.drop("_score"), ["topic_id", "term"], "left"
         )
-    rows = lookup_join(per_term, per_topic, ["topic_id"], ["term"], "inner").withColumn(
-        "_g", F.col("_score") / F.col("_sum")
+    rows = lookup_join(per_term, per_topic, ["topic_id"], ["term"], "inner").select(
+        F.col("topic_id").cast("bigint").alias("topic_id"),
+        "term",
+        (F.col("_score") / F.col("_sum")).alias("g"),
+        "_at",
+        "_w",
+        F.col("_present.period").alias("_periods"),
+        F.col("_present.total").alias("_totals"),
     )
-    start = F.struct(
-        F.lit(-2).alias("period"), F.lit(0.0).alias("x"), F.array().cast("array<struct<period:int,x:double>>").alias("all")
-    )
-
-    def step(acc, p):
-        now = F.coalesce(F.col("_w")[p["period"]], F.lit(0.0)) / p["total"]
-        if evolution_tuning:
-            now = F.when(acc["period"] == p["period"] - 1, (now + acc["x"]) / 2).otherwise(now)
-        if global_tuning:
-            now = (now + F.col("_g")) / 2
-        return F.struct(
-            p["period"].alias("period"),
-            now.alias("x"),
-            F.concat(acc["all"], F.array(F.struct(p["period"].alias("period"), now.alias("x")))).alias("all"),
-        )
-
-    scored = rows.select(
-        "topic_id", "term", F.inline(F.aggregate("_present", start, step, lambda acc: acc["all"]))
-    ).where("x > 0")
-    best = Window.partitionBy("topic_id", "period").orderBy(F.desc(F.round("x", 12)), "term")
+    best = _best_terms(bins, n, global_tuning, evolution_tuning)
+    candidates = rows.mapInArrow(best, "topic_id bigint, period int, term string, x double")
+    order = Window.partitionBy("topic_id", "period").orderBy(F.desc(F.round("x", 12)), "term")
     words = (
-        scored.withColumn("rank", F.row_number().over(best))
+        candidates.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= n)
-        .groupBy("topic_id", "period")
+        .groupBy(F.col("topic_id").cast("int").alias("topic_id"), "period")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_t"))
         .select("topic_id", "period", F.array_join(F.transform("_t", lambda t: t["term"]), ", ").alias("words"))
     )
@@ -125,3 +117,50 @@ def topics_over_time(
         .join(words, ["topic_id", "period"], "left")
         .select("topic_id", "bin", "bin_start", "frequency", F.coalesce("words", F.lit("")).alias("words"))
     )
+
+
+def _best_terms(bins: int, n: int, global_tuning: bool, evolution_tuning: bool):
+    """Arrow function: the tuned weight of every term in every period, of which the ``n`` best per
+    topic and period of each batch are emitted; the rest could not be among the best of all."""
+
+    def spread(column: pa.Array, at: pa.Array) -> np.ndarray:
+        """Lists of values as a matrix of rows by periods, each value at its period."""
+        out = np.zeros((len(column), bins))
+        size = pc.fill_null(pc.list_value_length(at), 0).to_numpy()
+        out[np.repeat(np.arange(len(column)), size), at.flatten().to_numpy()] = column.flatten().to_numpy()
+        return out
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topic = batch.column("topic_id").to_numpy()
+            term = batch.column("term").to_numpy(zero_copy_only=False)
+            g = batch.column("g").to_numpy()
+            said = spread(batch.column("_w"), batch.column("_at"))
+            total = spread(batch.column("_totals"), batch.column("_periods"))
+            x = np.zeros(len(topic))
+            for period in range(bins):
+                here = total[:, period] > 0
+                now = np.divide(said[:, period], total[:, period], out=np.zeros(len(topic)), where=here)
+                if evolution_tuning and period:
+                    now = np.where(total[:, period - 1] > 0, (now + x) / 2, now)
+                if global_tuning:
+                    now = (now + g) / 2
+                x = np.where(here, now, 0.0)
+                some = np.flatnonzero(x > 0)
+                order = some[np.lexsort((term[some], -np.round(x[some], 12), topic[some]))]
+                if not len(order):
+                    continue
+                first = np.flatnonzero(np.r_[True, topic[order][1:] != topic[order][:-1]])
+                place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+                top = order[place < n]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(topic[top]),
+                        pa.array(np.full(len(top), period, dtype="int32")),
+                        pa.array(term[top], pa.string()),
+                        pa.array(x[top]),
+                    ],
+                    names=["topic_id", "period", "term", "x"],
+                )
+
+    return best

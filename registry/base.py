@@ -22,8 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def segments(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan with fewer tasks than cores over all cores; a scan with enough tasks stays as it is.
+
+    The test tables are one small file each, which would put all text work into one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def segments(spark, d, of: DataFrame | None = None) -> DataFrame:
+    docs = spread((table(spark, d, "documents") if of is None else of).select("doc_id", "text"), "doc_id")
     return (
         docs.select(F.col("doc_id").cast("string").alias("video_id"), F.posexplode(F.split("text", "\n")))
         .where(F.trim("col") != "")
@@ -47,8 +56,8 @@ def turns(spark, d) -> DataFrame:
     )
 
 
-def norm(spark, d) -> DataFrame:
-    return tx.normalize(segments(spark, d), repeats=False)
+def norm(spark, d, of: DataFrame | None = None) -> DataFrame:
+    return tx.normalize(segments(spark, d, of), repeats=False)
 
 
 def chunks(spark, d) -> DataFrame:
@@ -94,7 +103,8 @@ def topic_names(spark, d) -> DataFrame:
 
 def labelled_norm(spark, d) -> DataFrame:
     """Normalised segments of labelled documents with their polarity class and emotions."""
-    labels = table(spark, d, "labels").select(
+    labels = table(spark, d, "labels")
+    kinds = labels.select(
         F.col("doc_id").cast("string").alias("video_id"),
         F.when(F.col("toxic") == 1, "negative")
         .when(F.col("quality") == 1, "positive")
@@ -103,7 +113,8 @@ def labelled_norm(spark, d) -> DataFrame:
         (F.col("quality") == 1).alias("approval"),
         (F.col("toxic") == 1).alias("annoyance"),
     )
-    return norm(spark, d).join(labels, "video_id")
+    docs = table(spark, d, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    return norm(spark, d, docs).join(kinds, "video_id")
 
 
 def polarity(spark, d, of: DataFrame | None = None) -> DataFrame:

@@ -45,13 +45,13 @@ def _(spark, d):
     return found.withColumn("bin_start", F.round("bin_start", 3))
 
 
-def timed_chunks(spark, d):
+def timed(chunks, spark, d):
     """Chunks with the time of the event that has the number of their document."""
     times = b.table(spark, d, "events").select(
         F.col("event_id").cast("string").alias("video_id"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
     )
-    return b.stored(b.topic_chunks(spark, d).join(times, "video_id"))
+    return chunks.join(times, "video_id")
 
 
 @query(
@@ -90,9 +90,8 @@ def timed_chunks(spark, d):
     ),
 )
 def _(spark, d):
-    chunks = timed_chunks(spark, d)
-    all_chunks = b.topic_chunks(spark, d)
-    found = ot.topics_over_time(chunks, b.stored(tp.weights(all_chunks)), "t", stop_words=STOP_WORDS)
+    chunks = b.stored(b.topic_chunks(spark, d))
+    found = ot.topics_over_time(timed(chunks, spark, d), b.stored(tp.weights(chunks)), "t", stop_words=STOP_WORDS)
     return found.withColumn("bin_start", F.round("bin_start", 3))
 
 
