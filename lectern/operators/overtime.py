@@ -79,7 +79,12 @@ def topics_over_time(
         .withColumn("w", F.col("tf") * F.col("idf"))
     )
     divisor = F.sum("w") if tuned else F.sum("tf")
-    totals = weighted.groupBy("topic_id", "period").agg(divisor.alias("total"))
+    sums = weighted.groupBy("topic_id", "period").agg(divisor.alias("total"))
+    totals = (
+        frequency.join(F.broadcast(periods), "bin")
+        .join(sums, ["topic_id", "period"], "left")
+        .select("topic_id", "period", F.coalesce("total", F.lit(0.0)).alias("total"))
+    )
     present = totals.groupBy("topic_id").agg(
         F.array_sort(F.collect_list(F.struct("period", "total"))).alias("_present")
     )
@@ -123,11 +128,11 @@ def _best_terms(bins: int, n: int, global_tuning: bool, evolution_tuning: bool):
     """Arrow function: the tuned weight of every term in every period, of which the ``n`` best per
     topic and period of each batch are emitted; the rest could not be among the best of all."""
 
-    def spread(column: pa.Array, at: pa.Array) -> np.ndarray:
-        """Lists of values as a matrix of rows by periods, each value at its period."""
-        out = np.zeros((len(column), bins))
+    def spread(values: pa.Array, at: pa.Array) -> np.ndarray:
+        """Values as a matrix of rows by periods, each value at its period."""
+        out = np.zeros((len(at), bins))
         size = pc.fill_null(pc.list_value_length(at), 0).to_numpy()
-        out[np.repeat(np.arange(len(column)), size), at.flatten().to_numpy()] = column.flatten().to_numpy()
+        out[np.repeat(np.arange(len(at)), size), at.flatten().to_numpy()] = values.to_numpy()
         return out
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +140,15 @@ def _best_terms(bins: int, n: int, global_tuning: bool, evolution_tuning: bool):
             topic = batch.column("topic_id").to_numpy()
             term = batch.column("term").to_numpy(zero_copy_only=False)
             g = batch.column("g").to_numpy()
-            said = spread(batch.column("_w"), batch.column("_at"))
-            total = spread(batch.column("_totals"), batch.column("_periods"))
+            said = spread(batch.column("_w").flatten(), batch.column("_at"))
+            total = spread(batch.column("_totals").flatten(), batch.column("_periods"))
+            there = spread(pc.add(batch.column("_periods").flatten(), 1), batch.column("_periods")) > 0
             x = np.zeros(len(topic))
             for period in range(bins):
-                here = total[:, period] > 0
-                now = np.divide(said[:, period], total[:, period], out=np.zeros(len(topic)), where=here)
+                here = there[:, period]
+                now = np.divide(said[:, period], total[:, period], out=np.zeros(len(topic)), where=total[:, period] > 0)
                 if evolution_tuning and period:
-                    now = np.where(total[:, period - 1] > 0, (now + x) / 2, now)
+                    now = np.where(there[:, period - 1], (now + x) / 2, now)
                 if global_tuning:
                     now = (now + g) / 2
                 x = np.where(here, now, 0.0)

@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 from lectern.config import POLARITY_LABELS
 from lectern.functions.text import tokens
-from lectern.operators.skew import spread_join
+from lectern.operators.skew import lookup_join
 
 KEY = ("video_id", "chunk_id")
+# Word weights up to this number of words are broadcast, about 100 MB; more are joined by a shuffle.
+MAX_VOCABULARY = 1_000_000
 
 
 def learn_polarity(
@@ -92,10 +94,13 @@ def _evidence(
     keys: Sequence[str],
     text_col: str,
 ) -> DataFrame:
-    """Prior plus mean word weight of every label, one column ``s_<label>`` each."""
+    """Prior plus mean word weight of every label, one column ``s_<label>`` each.
+
+    ``weights`` is counted up to the broadcast bound first, so it should be a stored table.
+    """
     keys = list(keys)
     words = chunks.select(*keys, F.explode_outer(tokens(F.col(text_col))).alias("word"))
-    known = spread_join(words, weights, ["word"], keys, "left")
+    known = lookup_join(words, weights, ["word"], keys, "left", MAX_VOCABULARY)
     summed = known.groupBy(*keys).agg(
         F.count("word").alias("_words"),
         F.count_if(F.col("word").isNotNull() & F.col(f"w_{labels[0]}").isNull()).alias("_unseen"),

@@ -49,7 +49,7 @@ def process(
         raise FileNotFoundError(f"no raw transcripts and metadata under {base}; run ingest first")
     topic_cfg = settings.topics
     normal = normalize(raw["transcripts"])
-    cut = chunk(normal, settings.chunks.max_chars, settings.chunks.overlap)
+    cut = cut_lineage(chunk(normal, settings.chunks.max_chars, settings.chunks.overlap))
     chunks = cut_lineage(sample_n(with_titles(cut, raw["metadata"]), sample, settings.seed))
 
     if embedder is None:
@@ -92,9 +92,11 @@ def process(
         F.col("projected")[0].alias("embedding_umap_x"),
         F.get("projected", F.lit(1)).alias("embedding_umap_y"),
     )
-    parts = [xy, sn.score_polarity(chunks, *polarity_model)]
+    weights_, bias = map(cut_lineage, polarity_model)
+    parts = [xy, sn.score_polarity(chunks, weights_, bias)]
     if emotion_model is not None:
-        parts.append(sn.score_emotions(chunks, *emotion_model))
+        weights_, bias = map(cut_lineage, emotion_model[:2])
+        parts.append(sn.score_emotions(chunks, weights_, bias, emotion_model[2]))
     write_tables({"chunks": enrich(topical, *parts)}, base, "processed")
 
     model = TopicModel(projection, tables)

@@ -118,21 +118,22 @@ def labelled_norm(spark, d) -> DataFrame:
 
 
 def polarity(spark, d, of: DataFrame | None = None) -> DataFrame:
-    weights, bias = sn.learn_polarity(labelled_norm(spark, d))
+    weights, bias = map(stored, sn.learn_polarity(labelled_norm(spark, d)))
     return sn.score_polarity(chunks(spark, d) if of is None else of, weights, bias)
 
 
 def emotions(spark, d, of: DataFrame | None = None) -> DataFrame:
-    weights, bias = sn.learn_emotions(labelled_norm(spark, d), EMOTIONS)
+    weights, bias = map(stored, sn.learn_emotions(labelled_norm(spark, d), EMOTIONS))
     return sn.score_emotions(chunks(spark, d) if of is None else of, weights, bias, EMOTIONS)
 
 
 def scored(spark, d) -> DataFrame:
     """Chunks with topic, title and polarity."""
+    topical = stored(topic_chunks(spark, d))
     return (
-        topic_chunks(spark, d)
+        topical
         .join(metadata(spark, d).select("video_id", "title"), "video_id", "left")
-        .join(polarity(spark, d), ["video_id", "chunk_id"], "left")
+        .join(polarity(spark, d, topical), ["video_id", "chunk_id"], "left")
     )
 
 

@@ -246,8 +246,8 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    chunks = b.chunks(spark, d)
-    topics = b.topic_chunks(spark, d).select("video_id", "chunk_id", "topic_id")
+    chunks = b.stored(b.chunks(spark, d))
+    topics = b.assign(chunks, b.video_topics(spark, d)).select("video_id", "chunk_id", "topic_id")
     scores = b.polarity(spark, d, of=chunks)
     return v.enrich(chunks, topics, scores).select(
         "video_id", "chunk_id", "normalized_text", "start_time", "topic_id",
@@ -507,7 +507,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    chunks = b.chunks(spark, d)
+    chunks = b.stored(b.chunks(spark, d))
     scored = chunks.join(b.polarity(spark, d, of=chunks), ["video_id", "chunk_id"])
     return v.sentiment_timeline(scored).withColumn("sentiment", F.round("sentiment", 6))
 
