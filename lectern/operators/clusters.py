@@ -36,21 +36,21 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         own = F.struct(F.xxhash64("a", seed).alias("h"), F.col("a").alias("to"))
         step = cut_lineage(taken.select("a", F.least("near", own)["to"].alias("to")))
+        # One part may come to hold most nodes, and one node most edges.
+        renamed = step.withColumnRenamed("a", "part")
         label = cut_lineage(
-            label.join(step.withColumnRenamed("a", "part"), "part", "left").select(
-                "node", F.coalesce("to", "part").alias("part")
-            )
+            lookup_join(label, renamed, ["part"], ["node"]).select("node", F.coalesce("to", "part").alias("part"))
         )
+        half = lookup_join(edges, step.withColumnRenamed("to", "x"), ["a"], ["b"], "inner").select("b", "x")
+        other = step.select(F.col("a").alias("b"), F.col("to").alias("y"))
         edges = cut_lineage(
-            edges.join(step.withColumnRenamed("to", "x"), "a")
-            .select("b", "x")
-            .join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+            lookup_join(half, other, ["b"], ["x"], "inner")
             .where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-    smallest = label.groupBy("part").agg(F.min("node").alias("component"))
-    return label.join(smallest, "part").select("node", "component")
+    smallest = cut_lineage(label.groupBy("part").agg(F.min("node").alias("component")))
+    return lookup_join(label, smallest, ["part"], ["node"], "inner").select("node", "component")
 
 
 def _by_size(sizes: DataFrame, name: str) -> DataFrame:

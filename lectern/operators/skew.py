@@ -19,19 +19,20 @@ def spread_join(
     spread_by: Sequence[str],
     how: str = "inner",
     slice_rows: int = SLICE_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that cuts hot keys of ``big`` into slices of about ``slice_rows`` rows.
 
     Hot keys are counted first (key columns only, combined before the shuffle). Their rows are
     dealt over slices by a hash of ``spread_by`` and the matching rows of ``small`` are repeated
     once per slice; all other keys join as they are. The list of hot keys is a top-k of fixed size,
-    so it can be broadcast. Which keys are on it changes the speed, never the result.
+    so it can be broadcast. Which keys are on it changes the speed, never the result. Rows per key
+    that are known already can be given as ``counts`` (the key columns and ``_rows``).
     """
     on = list(on)
+    counts = big.groupBy(*on).agg(F.count("*").alias("_rows")) if counts is None else counts
     hot = (
-        big.groupBy(*on)
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > slice_rows)
+        counts.where(F.col("_rows") > slice_rows)
         .orderBy(F.desc("_rows"), *on)
         .limit(MAX_HOT_KEYS)
         .select(*on, F.ceil(F.col("_rows") / slice_rows).cast("int").alias("_slices"))

@@ -72,10 +72,15 @@ def term_counts(
 
 
 def ctfidf(counts: DataFrame) -> DataFrame:
-    """Class TF-IDF: ``tf / n(topic) * ln(1 + A / total)`` with A the mean terms per topic, floored."""
-    sizes = counts.groupBy("topic_id").agg(F.sum("tf").alias("topic_terms"))
+    """Class TF-IDF: ``tf / n(topic) * ln(1 + A / total)`` with A the mean terms per topic, floored.
+
+    The counts, far fewer than the words they come from, are written first: sizes, mean and
+    weights then read them instead of counting again, and the number of topics can be checked.
+    """
+    counts = cut_lineage(counts)
+    sizes = cut_lineage(counts.groupBy("topic_id").agg(F.sum("tf").alias("topic_terms")))
     mean = sizes.agg(F.floor(F.avg("topic_terms")).alias("mean")).scalar()
-    return counts.join(sizes, "topic_id").select(
+    return lookup_join(counts, sizes, ["topic_id"], ["term"], "inner").select(
         "topic_id",
         "term",
         "tf",
@@ -145,14 +150,16 @@ def representative_docs(
     in_doc = explode_terms(chunks, [*keys, "topic_id"], stop_words, max_n).groupBy(*keys, "topic_id", "term").agg(
         F.count("*").alias("n")
     )
-    lengths = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
+    lengths = cut_lineage(
+        weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
+    )
     met = spread_join(in_doc, weights.select("topic_id", "term", "idf", "score"), ["topic_id", "term"], keys)
     weight = F.col("n") * F.col("idf")
-    close = (
-        met.groupBy(*keys, "topic_id")
-        .agg(F.sum(weight * F.col("score")).alias("_dot"), F.sqrt(F.sum(weight * weight)).alias("_norm"))
-        .join(lengths, "topic_id")
-        .select(*keys, "topic_id", (F.col("_dot") / (F.col("_norm") * F.col("norm"))).alias("similarity"))
+    per_doc = met.groupBy(*keys, "topic_id").agg(
+        F.sum(weight * F.col("score")).alias("_dot"), F.sqrt(F.sum(weight * weight)).alias("_norm")
+    )
+    close = lookup_join(per_doc, lengths, ["topic_id"], keys, "inner").select(
+        *keys, "topic_id", (F.col("_dot") / (F.col("_norm") * F.col("norm"))).alias("similarity")
     )
     best = Window.partitionBy("topic_id").orderBy(F.desc(F.round("similarity", 9)), *keys)
     top = close.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA, CountVectorizerModel, PCAModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,12 +219,8 @@ def _knn_block(base, ids, k, id_col, query_id_col, vector_col) -> DataFrame:
 
 def centroids(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
     """Mean vector of every topic without the outliers; partial sums first, so any topic size is fine."""
-    dims = len(df.select(vector_col).first()[0])
-    return (
-        df.where(F.col("topic_id") != OUTLIER_TOPIC)
-        .groupBy("topic_id")
-        .agg(F.array(*[F.avg(F.col(vector_col)[i].cast("double")) for i in range(dims)]).alias("centroid"))
-    )
+    topical = _with_vector(df.where(F.col("topic_id") != OUTLIER_TOPIC), vector_col)
+    return topical.groupBy("topic_id").agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"))
 
 
 def topic_probabilities(

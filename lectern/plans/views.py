@@ -171,7 +171,10 @@ def sentiment_timeline(chunks: DataFrame, video_id: str | None = None) -> DataFr
     earlier = running_total(
         sizes, ["video_id"], ["start_time"], block_of(F.col("start_time")), F.col("_n"), "_earlier"
     )
-    return ranked.join(earlier.drop("_n"), ["video_id", "start_time"]).select(
+    # Equal starts share a key, and a video may have one start for all its chunks.
+    shared = sizes.withColumnRenamed("_n", "_rows")
+    placed = spread_join(ranked, earlier.drop("_n"), ["video_id", "start_time"], ["chunk_id"], counts=shared)
+    return placed.select(
         "video_id", "chunk_id", (F.col("_earlier") + F.col("_rank")).alias("x"), "sentiment"
     )
 

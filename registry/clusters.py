@@ -67,7 +67,7 @@ def _(spark, d):
 
 
 def distances(spark, d):
-    return tm.topic_distances(b.stored(tp.weights(b.topic_chunks(spark, d))))
+    return tm.topic_distances(tp.weights(b.topic_chunks(spark, d)))
 
 
 @query("topic_hierarchy")
@@ -81,7 +81,7 @@ def _(spark, d):
 @query("reduce_topics")
 def _(spark, d):
     chunks = b.stored(b.topic_chunks(spark, d))
-    tree = cl.topic_hierarchy(tm.topic_distances(b.stored(tp.weights(chunks))))
+    tree = cl.topic_hierarchy(tm.topic_distances(tp.weights(chunks)))
     return cl.reduce_topics(chunks, tree, 8)
 
 

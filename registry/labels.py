@@ -91,7 +91,7 @@ def timed(chunks, spark, d):
 )
 def _(spark, d):
     chunks = b.stored(b.topic_chunks(spark, d))
-    found = ot.topics_over_time(timed(chunks, spark, d), b.stored(tp.weights(chunks)), "t", stop_words=STOP_WORDS)
+    found = ot.topics_over_time(timed(chunks, spark, d), tp.weights(chunks), "t", stop_words=STOP_WORDS)
     return found.withColumn("bin_start", F.round("bin_start", 3))
 
 

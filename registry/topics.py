@@ -30,7 +30,7 @@ def counts(chunks):
 
 
 def weights(chunks):
-    return tm.ctfidf(counts(chunks))
+    return b.stored(tm.ctfidf(counts(chunks)))
 
 
 def keywords(chunks):
@@ -175,7 +175,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return tm.topic_distances(b.stored(weights(b.topic_chunks(spark, d)))).withColumn("distance", F.round("distance", 9))
+    return tm.topic_distances(weights(b.topic_chunks(spark, d))).withColumn("distance", F.round("distance", 9))
 
 
 @query(
