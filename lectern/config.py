@@ -21,8 +21,9 @@ class ChunkSettings:
 class TopicSettings:
     dims: int = 64
     project_dims: int = 5
-    cell_size: float = 0.1
-    min_points: int = 5
+    # None: a fifth of the spread along the widest coordinate.
+    cell_size: float | None = None
+    min_points: int = 15
     min_cluster_size: int = 5
     num_topics: int | None = None
     top_words: int = 10

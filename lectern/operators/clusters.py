@@ -59,6 +59,13 @@ def _by_size(sizes: DataFrame, name: str) -> DataFrame:
     return sizes.select(name, (F.row_number().over(order) - 1).cast("int").alias("topic_id"))
 
 
+def suggested_cell_size(df: DataFrame, share: float = 0.2, vector_col: str = "projected") -> float:
+    """A cell side in proportion to the data: ``share`` of the deviation along the widest coordinate."""
+    dims = len(df.select(vector_col).first()[0])
+    spread = df.agg(F.array_max(F.array(*[F.stddev_pop(F.col(vector_col)[i]) for i in range(dims)]))).first()[0]
+    return share * spread if spread else 1.0
+
+
 def cluster_density(
     df: DataFrame,
     cell_size: float,

@@ -63,9 +63,8 @@ def process(
     flat = cut_lineage(projection.transform(with_vector).select(*KEY, vector_to_array("p").alias("projected")))
 
     if topic_cfg.num_topics is None:
-        assigned = cl.cluster_density(
-            flat, topic_cfg.cell_size, topic_cfg.min_points, topic_cfg.min_cluster_size
-        )
+        side = topic_cfg.cell_size or cl.suggested_cell_size(flat)
+        assigned = cl.cluster_density(flat, side, topic_cfg.min_points, topic_cfg.min_cluster_size)
     else:
         assigned = cl.cluster_k(flat, topic_cfg.num_topics, settings.seed, "projected").select(*KEY, "topic_id")
     assigned = cut_lineage(assigned)

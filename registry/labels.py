@@ -158,10 +158,27 @@ def _(spark, d):
     return lb.statistical_scores(chunks, STOP_WORDS).withColumn("score", F.round("score", 6))
 
 
-@query("keywords_stat")
+def _picks_sql(n: int = 5) -> str:
+    """The best phrase left, n times; after each the phrases too similar to it are dropped."""
+    parts = [", l1 AS MATERIALIZED (SELECT topic_id, phrase, score, round(score, 9) AS o FROM stat_phrases)"]
+    for i in range(1, n + 1):
+        parts.append(
+            f"b{i} AS MATERIALIZED (SELECT topic_id, {i} AS rank, arg_min(phrase, (o, phrase)) AS phrase, arg_min(score, (o, phrase)) AS score "
+            f"FROM l{i} GROUP BY topic_id)"
+        )
+        parts.append(
+            f"l{i + 1} AS MATERIALIZED (SELECT l.* FROM l{i} l JOIN b{i} t ON t.topic_id = l.topic_id "
+            f"WHERE 1 - levenshtein(l.phrase, t.phrase) / greatest(length(l.phrase), length(t.phrase)) <= 0.9)"
+        )
+    rows = " UNION ALL ".join(f"SELECT topic_id, rank, phrase, round(score, 6) AS score FROM b{i}" for i in range(1, n + 1))
+    return ", ".join(parts) + " " + rows
+
+
+@query("keywords_stat", sql("stat_phrases", _picks_sql()))
 def _(spark, d):
     chunks = b.stored(b.topic_chunks(spark, d))
-    return lb.keywords_statistical(lb.statistical_scores(chunks, STOP_WORDS))
+    found = lb.keywords_statistical(lb.statistical_scores(chunks, STOP_WORDS))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query(
