@@ -116,8 +116,9 @@ b.CTES["stat_words"] = (
 )
 b.CTES["stat_pairs"] = (
     ("stat_words",),
-    """SELECT topic_id, p[1] AS w1, p[2] AS w2, count(*) AS tf
-       FROM (SELECT topic_id, unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM stat_words) GROUP BY ALL""",
+    """SELECT topic_id, w1, w2, count(*) AS tf
+       FROM (SELECT topic_id, unnest(w[1:len(w) - 1]) AS w1, unnest(w[2:len(w)]) AS w2 FROM stat_words)
+       WHERE w1 IS NOT NULL AND w2 IS NOT NULL GROUP BY ALL""",
 )
 b.CTES["stat_scores"] = (
     ("stat_pairs",),
