@@ -176,31 +176,38 @@ def _knn_block(base, ids, k, id_col, query_id_col, vector_col) -> DataFrame:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = given.value
         qq = (q * q).sum(axis=1)
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(qids)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            b = _matrix(batch.column("_v"))
-            bid = batch.column("_id").to_numpy()
-            rough = qq[:, None] + (b * b).sum(axis=1)[None, :] - 2 * q @ b.T
-            for i in range(len(qids)):
+        slack = 1e-9 * (1.0 + qq)
+        per = max(1, 2_000_000 // len(qids))
+        # The best so far as three columns, sorted by query, distance and id.
+        row = np.empty(0, dtype=np.int64)
+        name = np.empty(0, dtype=np.int64)
+        dist = np.empty(0)
+        limit = np.full(len(qids), np.inf)
+        for big in batches:
+            for at in range(0, big.num_rows, per):
+                batch = big.slice(at, per)
+                b = _matrix(batch.column("_v"))
+                bid = batch.column("_id").to_numpy()
+                rough = qq[:, None] + (b * b).sum(axis=1)[None, :] - 2 * q @ b.T
                 # The product form is fast but rounds; whatever could be among the k is measured again.
                 take = min(k, len(bid))
-                edge = np.partition(rough[i], take - 1)[take - 1]
-                near = np.flatnonzero(rough[i] <= edge + 1e-9 * (1.0 + qq[i]))
-                exact = ((b[near] - q[i]) ** 2).sum(axis=1)
-                dist = np.concatenate([best[i][0], exact])
-                name = np.concatenate([best[i][1], bid[near]])
-                order = np.lexsort((name, dist))[:k]
-                best[i] = (dist[order], name[order])
-        if best and len(best[0][0]):
+                edge = np.minimum(np.partition(rough, take - 1, axis=1)[:, take - 1], limit)
+                i, j = np.nonzero(rough <= (edge + slack)[:, None])
+                if not len(i):
+                    continue
+                exact = np.concatenate(
+                    [((b[j[c : c + 50_000]] - q[i[c : c + 50_000]]) ** 2).sum(axis=1) for c in range(0, len(i), 50_000)]
+                )
+                row, name, dist = np.r_[row, i], np.r_[name, bid[j]], np.r_[dist, exact]
+                order = np.lexsort((name, dist, row))
+                row, name, dist = row[order], name[order], dist[order]
+                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+                limit[row[place == k - 1]] = dist[place == k - 1]
+                row, name, dist = row[place < k], name[place < k], dist[place < k]
+        if len(row):
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(qids, [len(d) for d, _ in best])),
-                    pa.array(np.concatenate([n for _, n in best])),
-                    pa.array(np.concatenate([d for d, _ in best])),
-                ],
-                names=[query_id_col, id_col, "distance"],
+                [pa.array(qids[row]), pa.array(name), pa.array(dist)], names=[query_id_col, id_col, "distance"]
             )
 
     candidates = base.select(
