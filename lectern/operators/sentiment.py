@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from lectern.config import POLARITY_LABELS
 from lectern.functions.text import tokens
 from lectern.operators.skew import lookup_join
+from lectern.session import cut_lineage
 
 KEY = ("video_id", "chunk_id")
 # Word weights up to this number of words are broadcast, about 100 MB; more are joined by a shuffle.
@@ -27,7 +28,10 @@ def learn_polarity(
     per class, and a one-row table with the prior and the weight of an unseen word of each class.
     """
     words = texts.select("label", F.explode(tokens(F.col(text_col))).alias("word"))
-    counts = words.groupBy("word").agg(*[F.count_if(F.col("label") == v).alias(f"n_{v}") for v in labels])
+    # One row per word, written once: weights, totals and bias all read it.
+    counts = cut_lineage(
+        words.groupBy("word").agg(*[F.count_if(F.col("label") == v).alias(f"n_{v}") for v in labels])
+    )
     totals = counts.agg(
         F.struct(F.count("*").alias("vocab"), *[F.sum(f"n_{v}").alias(f"n_{v}") for v in labels]).alias("totals")
     ).scalar()
@@ -58,9 +62,11 @@ def learn_emotions(
     ``learn_polarity``; an unseen word speaks neither for nor against an emotion.
     """
     words = texts.select(*labels, F.explode(tokens(F.col(text_col))).alias("word"))
-    counts = words.groupBy("word").agg(
-        *[F.count_if(F.col(v)).alias(f"y_{v}") for v in labels],
-        *[F.count_if(~F.col(v)).alias(f"n_{v}") for v in labels],
+    counts = cut_lineage(
+        words.groupBy("word").agg(
+            *[F.count_if(F.col(v)).alias(f"y_{v}") for v in labels],
+            *[F.count_if(~F.col(v)).alias(f"n_{v}") for v in labels],
+        )
     )
     totals = counts.agg(
         F.struct(
