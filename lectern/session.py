@@ -46,12 +46,13 @@ def scratch_table(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
     """The rows written to the shared folder and read back.
 
     They survive the loss of any executor, are worked out once (a checkpoint would do it twice)
-    and come with a file size by which joins can choose to broadcast.
+    and come with a file size by which joins can choose to broadcast. ``options`` are those of the
+    Parquet writer.
     """
     path = scratch_table(df.sparkSession, "step")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
