@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import packing
+from lectern.llm import packing, token_files
 from lectern.llm.subwords import tokenizer_path
+from lectern.session import scratch_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,13 @@ def query(f):
     return f
 
 
+@query
+def op7_token_files(spark, sf_dir):
+    path = scratch_table(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return token_files.read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op10_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
