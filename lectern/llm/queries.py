@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import packing, token_files
+from lectern.llm import decontaminate, packing, token_files
 from lectern.llm.subwords import tokenizer_path
 from lectern.session import scratch_table
 
@@ -24,6 +24,22 @@ def query(f):
     return f
 
 
+@query
+def op6_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.n_hit("hits")
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+        "longest_match",
+    )
+
+
 @query
 def op7_token_files(spark, sf_dir):
     path = scratch_table(spark, "token-files")
