@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, packing, token_files
+from lectern.llm import decontaminate, licenses, packing, quality, token_files
 from lectern.llm.subwords import tokenizer_path
-from lectern.session import scratch_table
+from lectern.session import cut_lineage, scratch_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,139 @@ def query(f):
     return f
 
 
+@query
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    measured = quality.judge(cut_lineage(quality.measure(docs).drop("text")))
+    return measured.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+# The limits, least spreads and patterns are written out here so that they are checked too.
+ORACLES["op3_quality"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (
+  SELECT rid, list_filter(string_split_regex(t, '[ 	-
+]+'), lambda x: x <> '') AS words FROM d),
+grams AS (
+  SELECT rid, i, words[i:i + 4] AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+places AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c >= 2),
+covered AS (
+  SELECT rid, count(DISTINCT i + k) AS n FROM places, range(5) AS r(k) GROUP BY rid),
+lines AS (
+  SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM d),
+m AS MATERIALIZED (
+  SELECT d.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_capitals,
+         CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN w USING (rid) JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
+v AS MATERIALIZED (
+  SELECT rid, lang, source, unnest([
+    {'m': 1, 'least': 40, 'x': 1000 * n_symbols // greatest(n_words, 1)},
+    {'m': 2, 'least': 150, 'x': 1000 * n_dup_lines // greatest(n_lines, 1)},
+    {'m': 3, 'least': 60, 'x': 1000 * n_repeat_words // greatest(n_words, 1)},
+    {'m': 4, 'least': 60, 'x': 1000 * n_capitals // greatest(word_chars, 1)},
+    {'m': 5, 'least': 150, 'x': 100 * word_chars // greatest(n_words, 1)}], recursive := true) FROM m),
+b AS MATERIALIZED (
+  SELECT *, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS b FROM v),
+own AS (SELECT lang, source, m, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3
+        FROM b GROUP BY ALL),
+bylang AS (SELECT lang, m, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3
+           FROM b GROUP BY ALL),
+every AS (SELECT m, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM b GROUP BY ALL),
+verdict AS (
+  SELECT rid, bool_and(x BETWEEN q1 - 3 * greatest(q3 - q1, least) AND q3 + 3 * greatest(q3 - q1, least)) AS ok
+  FROM (SELECT b.rid, b.x, b.least,
+               CASE WHEN own.n >= 200 THEN own.q1 WHEN bylang.n >= 200 THEN bylang.q1 ELSE every.q1 END AS q1,
+               CASE WHEN own.n >= 200 THEN own.q3 WHEN bylang.n >= 200 THEN bylang.q3 ELSE every.q3 END AS q3
+        FROM b JOIN own ON own.m = b.m AND own.lang IS NOT DISTINCT FROM b.lang
+                       AND own.source IS NOT DISTINCT FROM b.source
+               JOIN bylang ON bylang.m = b.m AND bylang.lang IS NOT DISTINCT FROM b.lang
+               JOIN every ON every.m = b.m)
+  GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND ok AS kept
+FROM m JOIN verdict USING (rid)
+"""
+
+
+@query
+def op5_licenses(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda x: F.array_join(x, ",").alias(x)
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        joined("base_labels"), joined("labels"), F.round("score", 6).alias("score"),
+    )
+
+
+def _licence_sql() -> str:
+    postings = ", ".join(
+        f"({t}, '{label}', '{w}', {p})"
+        for t, (label, text, _) in enumerate(licenses.TEMPLATES)
+        for p, w in enumerate(text.split())
+    )
+    keys = ", ".join(
+        f"({t}, '{k}', {len(text.split(k)[0].split())})"
+        for t, (_, text, own) in enumerate(licenses.TEMPLATES)
+        for k in own
+    )
+    base = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.BASE.items())
+    return rf"""
+WITH postings(template, label, word, posting) AS (VALUES {postings}),
+keys(template, phrase, shift) AS (VALUES {keys}),
+base(phrase, label) AS (VALUES {base}),
+phrases AS (SELECT DISTINCT phrase, string_split(phrase, ' ') AS p FROM (SELECT phrase FROM keys UNION ALL SELECT phrase FROM base)),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+w AS MATERIALIZED (
+  SELECT rid, words, unnest(range(len(words))) AS i, unnest(words) AS word FROM d),
+hits AS MATERIALIZED (
+  SELECT rid, i, phrase FROM w JOIN phrases ON word = p[1] WHERE words[i + 1:i + len(p)] = p),
+b AS (
+  SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels
+  FROM hits JOIN base USING (phrase) GROUP BY rid),
+idf AS (
+  SELECT word, ln(((SELECT count(*) FROM d) + 1) / greatest(count(DISTINCT rid), 1)) AS weight
+  FROM (SELECT DISTINCT word FROM postings) LEFT JOIN w USING (word) GROUP BY word),
+marks AS (SELECT rid, template, i - shift AS start FROM hits JOIN keys USING (phrase)),
+rare AS (
+  SELECT rid, word FROM (
+    SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY weight DESC, word) AS k
+    FROM (SELECT DISTINCT rid, word FROM w WHERE rid IN (SELECT rid FROM marks)) JOIN idf USING (word)) WHERE k <= 8),
+support AS (
+  SELECT rid, template, label, i - posting AS start, sum(weight) AS weight
+  FROM w JOIN rare USING (rid, word) JOIN postings USING (word) JOIN idf USING (word) GROUP BY ALL),
+needed AS (
+  SELECT template, sum(weight) AS needed FROM (
+    SELECT template, weight, row_number() OVER (PARTITION BY template ORDER BY weight DESC) AS k
+    FROM postings JOIN idf USING (word)) WHERE k <= 8 GROUP BY template),
+confirmed AS (
+  SELECT rid, list(label) AS labels, max(least(weight / needed, 1.0)) AS score
+  FROM support s JOIN needed USING (template)
+  WHERE least(weight / needed, 1.0) >= 0.5 AND EXISTS (
+    SELECT 1 FROM marks m WHERE m.rid = s.rid AND m.template = s.template AND abs(m.start - s.start) <= 2)
+  GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       array_to_string(coalesce(b.labels, []), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(c.labels, [])))), ',') AS labels,
+       round(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END, 6) AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN confirmed c USING (rid)
+"""
+
+
+ORACLES["op5_licenses"] = _licence_sql()
+
+
 @query
 def op6_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
