@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, licenses, packing, quality, token_files
+from lectern.llm import decontaminate, licenses, near_copies, packing, quality, token_files
 from lectern.llm.subwords import tokenizer_path
 from lectern.session import cut_lineage, scratch_table
 
@@ -180,6 +180,12 @@ def op7_token_files(spark, sf_dir):
     return token_files.read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op8_near_copies(spark, sf_dir):
+    found = near_copies.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op10_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
