@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, licenses, near_copies, packing, quality, token_files
+from lectern.llm import decontaminate, language, licenses, near_copies, packing, quality, token_files
 from lectern.llm.subwords import tokenizer_path
 from lectern.session import cut_lineage, scratch_table
 
@@ -24,6 +24,19 @@ def query(f):
     return f
 
 
+def fold(n: int):
+    """crc32 of the id as text, modulo n; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query
+def op2_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.where(fold(5) != 0))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (F.coalesce(fold(5), F.lit(0)) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
