@@ -47,25 +47,29 @@ def strings(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
     )
 
 
-def split_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """(first word of each text, with the total at the end; all words in order)."""
-    offsets, data = text_buffers(texts)
-    mapped = table[data]
+def word_places(offsets: np.ndarray, mapped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte, and byte after the last, of every word: runs of other bytes than 0 in one text."""
     inside = mapped != 0
     before = np.empty_like(inside)
     if len(inside):
         before[0] = False
         before[1:] = inside[:-1]
         before[offsets[:-1][offsets[:-1] < len(inside)]] = False
-    starts = np.flatnonzero(inside & ~before)
     after = np.zeros_like(inside)
     if len(inside):
         after[:-1] = inside[1:]
         after[offsets[1:][offsets[1:] > 0] - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def split_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(first word of each text, with the total at the end; all words in order)."""
+    offsets, data = text_buffers(texts)
+    mapped = table[data]
+    starts, ends = word_places(offsets, mapped)
     word_offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=word_offsets[1:])
-    return np.searchsorted(starts, offsets), strings(word_offsets, mapped[inside])
+    return np.searchsorted(starts, offsets), strings(word_offsets, mapped[mapped != 0])
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -4,19 +4,22 @@ Two documents link when 100 * intersection >= ``percent`` * union of their sets
 (of ``size`` words; a shorter text is one shingle). Copies are one set. Shingles and sets are told apart
 by 64-bit hashes.
 
-* All sets order their shingles alike: heavy ones, which occur in many documents, last, then by hash.
-  A set of n shingles shares at least t = ceil(percent * n / 100) with any partner, so its first
-  n - t + k shingles hold at least k of those that it shares.
+* All sets order their shingles alike: heavy ones, which occur in many documents, last, then by hash. (Which
+  ones count as heavy changes the speed, never the result.) A set of n shingles shares at least
+  t = ceil(percent * n / 100) with any partner, so two partners have their first k shared shingles among
+  the first n - t + k of each.
 * Small sets (light side) enumerate the 2-subsets of their first n - t + 2 shingles; partners share one.
-* Large sets (heavy side) scan the inverted lists of their first n - t + 1 shingles. Small sets that are
-  large enough to be partners of large ones are in these lists too.
-* The boundary is the size at which the expected rows and list entries are fewest, from counts of sizes
-  and of list lengths over all documents.
-
-A list of m sets is not turned into m * m pairs. First each set is compared with the first of its list
-only; what links is joined into components. Only sets of one list that are still in different components
-are then compared, so groups of many copies cost pairs in proportion to their size, and no link between
-different components is missed. Which shingles count as heavy changes the speed, never the result.
+* Large sets (heavy side) scan the inverted lists of their first n - t + k shingles, with k growing with n,
+  and partners meet in k lists. A set that meets others in fewer lists has no partner and is left out
+  of all lists, which is done twice; so passages that many documents share bring few sets together. Small
+  sets that are large enough to be partners of large ones are in these lists too.
+* The boundary is the size at which subsets and list entries are fewest, from the sizes of all sets.
+
+A list of m sets is not turned into m * m pairs. In a few rounds each set is compared with one of its list
+only, and what links is joined into components. Then sets of smaller components are compared with a few
+of each larger component of their list, and at last with all sets of larger components that they still
+share a list with. So groups of many copies cost pairs in proportion to their size, and no link between
+different components is missed.
 
 Nulls: a null, empty or wordless text has an empty set and links with nothing; its component is its own
 id. A null ``doc_id`` takes part in links, and the component is the smallest id that is not null. Repeated
@@ -34,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.arrow import SPACED_LOWER, slices, split_words, text_buffers
@@ -44,13 +47,20 @@ from lectern.session import cut_lineage
 
 SHINGLE = 4
 PERCENT = 85
-#: A shingle in more lists' entries than this is ordered last, up to MAX_HEAVY (8 bytes each) of the heaviest.
-HEAVY_DOCS = 32
+#: A shingle that leads in more documents than this is heavy; MAX_HEAVY (8 bytes each) of them at most.
+HEAVY_DOCS = 100
 MAX_HEAVY = 1 << 20
+#: A partner of a set of n is met in about one list for every STEP shingles, at least one.
+STEP = 20
 #: Sets are small up to at most this size; the boundary lies at or below it.
 MAX_SMALL = 64
 #: Sets that are wanted again are picked in the scan up to so many (8 bytes each), else by a join.
 MAX_WANTED = 1 << 20
+PEELED = 2
+#: Rounds that compare the sets of a list with one of them, before components are compared by some of
+#: their sets, DELEGATES at most in a list, and then by all.
+CENTRES = 3
+DELEGATES = 8
 _SLICE = 8 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -105,42 +115,51 @@ def _least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _sets(size: int, percent: int):
-    """doc_id, key, n and the hashes that may come first in the final order, of each document."""
+def _met(n: int) -> int:
+    """Lists for the first shared shingles of a set of n."""
+    return 1 + n // STEP
+
+
+def _sets(size: int):
+    """doc_id, key and number of shingles of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, max_bytes=_SLICE):
-                keys, counts, first, seen = [], [], [], set()
-                for s in shingle_sets(part["text"], size):
-                    key = _key(s) if len(s) else None
-                    # Copies in a slice are listed once; twice the prefix leaves room for heavy ones.
-                    lead = s[: 2 * (len(s) - _least(len(s), percent) + 1)] if key not in seen else s[:0]
-                    seen.add(key)
-                    keys.append(key)
-                    counts.append(len(s))
-                    first.append(lead)
-                offsets = np.cumsum([0, *map(len, first)])
-                lead = pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64))
+                found = [(_key(s) if len(s) else None, len(s)) for s in shingle_sets(part["text"], size)]
+                keys, counts = zip(*found, strict=True)
                 yield pa.record_batch(
-                    [
-                        part["doc_id"], pa.array(keys, pa.int64()), pa.array(counts, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lead),
-                    ],
-                    names=["doc_id", "key", "n", "lead"],
-                )
+                    [part["doc_id"], pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "key", "n"]
+                )
+
+    return run
+
+
+def _leads(size: int, percent: int):
+    """h, c: the shingles that come first by hash, half as many again as are listed, counted per slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, max_bytes=_SLICE):
+                leads = [
+                    s[: (len(s) - _least(len(s), percent) + _met(len(s))) * 3 // 2]
+                    for s in shingle_sets(part["text"], size)
+                ]
+                h, c = np.unique(np.concatenate([*leads, np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.record_batch([h.view(np.int64), c.astype(np.int64)], names=["h", "c"])
 
     return run
 
 
 def _signatures(size: int, percent: int, boundary: int, heavy: Broadcast):
-    """sig, key, n: subsets of small sets, list entries of large ones."""
+    """sig, key, n: subsets of small sets, list entries of large ones. Copies in a slice of the input are
+    listed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = heavy.value
         for batch in batches:
             for part in slices(batch, max_bytes=_SLICE):
-                sigs, keys, counts, seen = [], [], [], set()
+                sigs, rows, seen = [], [], set()
                 for s in shingle_sets(part["text"], size):
                     n = len(s)
                     key = _key(s) if n else None
@@ -148,32 +167,22 @@ def _signatures(size: int, percent: int, boundary: int, heavy: Broadcast):
                         continue
                     seen.add(key)
                     if len(last):
-                        place = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        is_heavy = last[place] == s
-                        if is_heavy.any():
-                            s = np.concatenate([s[~is_heavy], s[is_heavy]])
-                    least = _least(n, percent)
-                    own = []
+                        is_heavy = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                        s = np.concatenate([s[~is_heavy], s[is_heavy]])
+                    least, own = _least(n, percent), []
                     if n < boundary:
                         lead = s[: n - least + 2]
                         i, j = np.triu_indices(len(lead), 1)
                         low, high = np.minimum(lead[i], lead[j]), np.maximum(lead[i], lead[j])
                         own.append(_mixed((low * _A + high) ^ _B))
                     if 100 * n >= percent * boundary:
-                        own.append(s[: n - least + 1])
-                    for x in own:
-                        sigs.append(x)
-                        keys.append(np.full(len(x), key))
-                        counts.append(np.full(len(x), n))
+                        own.append(s[: n - least + _met(n)])
+                    sigs += own
+                    rows += [(key, n)] * len(own)
                 if sigs:
-                    yield pa.record_batch(
-                        [
-                            pa.array(np.concatenate(sigs).view(np.int64)),
-                            pa.array(np.concatenate(keys).astype(np.int64)),
-                            pa.array(np.concatenate(counts).astype(np.int64)),
-                        ],
-                        names=["sig", "key", "n"],
-                    )
+                    lengths = [len(x) for x in sigs]
+                    key, n = (np.repeat(np.array(x, np.int64), lengths) for x in zip(*rows, strict=True))
+                    yield pa.record_batch([np.concatenate(sigs).view(np.int64), key, n], names=["sig", "key", "n"])
 
     return run
 
@@ -202,21 +211,21 @@ def _wanted_sets(size: int, wanted: Broadcast | None):
     return run
 
 
-def choose_boundary(sizes: dict[int, int], entries: float, list_length: float, percent: int) -> int:
-    """The size from which sets are large: fewest subsets, list entries and expected scans.
+def choose_boundary(sizes: dict[int, int], percent: int) -> int:
+    """The size from which sets are large: fewest rows of subsets and list entries.
 
-    ``sizes`` counts the sets below MAX_SMALL, ``entries`` are the list entries of all larger sets.
+    ``sizes`` counts the sets below MAX_SMALL. Larger sets are listed in any case.
     """
-    per_entry = 1 + list_length
 
-    def cost(boundary: int) -> float:
-        total = entries * per_entry
+    def cost(boundary: int) -> int:
+        total = 0
         for n, count in sizes.items():
             spare = n - _least(n, percent)
             if n < boundary:
                 total += count * math.comb(min(spare + 2, n), 2)
             if 100 * n >= percent * boundary:
-                total += count * (spare + 1) * per_entry
+                # An entry is written, and met by all others of its list.
+                total += 2 * count * min(spare + _met(n), n)
         return total
 
     return min(range(2, MAX_SMALL + 1), key=lambda b: (cost(b), b))
@@ -234,24 +243,27 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """doc_id, key (of the set; null if it is empty), n_shingles, component_id of every row of ``docs``."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = cut_lineage(docs.mapInArrow(_sets(size, percent), "doc_id long, key long, n long, lead array<long>"))
-
-    lists = cut_lineage(
-        sets.select(F.explode("lead").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    )
-    few = lists.where(F.col("c") > HEAVY_DOCS).orderBy(F.desc("c"), "h").limit(MAX_HEAVY)
-    heavy = np.sort(few.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
-    spread = lists.where(F.col("c") <= HEAVY_DOCS).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).first()
-    small = {r["n"]: r["c"] for r in sets.where(f"n > 0 and n < {MAX_SMALL}").groupBy("n").agg(F.count("*").alias("c")).collect()}
-    large = sets.where(F.col("n") >= MAX_SMALL).agg(F.sum(F.col("n") * (100 - percent) / 100 + 1).alias("e")).first()["e"]
-    boundary = choose_boundary(small, large or 0.0, (spread["q"] or 0) / max(spread["n"] or 1, 1), percent)
-
-    shared = sc.broadcast(heavy)
-    rows = docs.mapInArrow(_signatures(size, percent, boundary, shared), "sig long, key long, n long")
-    # All rows of a signature meet; copies are one row by then, but for a slice of the input each.
-    lists = rows.groupBy("sig", "key", "n").agg(F.lit(1)).select("sig", "key", "n")
-    several = lists.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct("n", "key")).alias("first"))
-    lists = cut_lineage(lists.join(several.where("c > 1").select("sig", "first"), "sig"))
+    sets = cut_lineage(docs.mapInArrow(_sets(size), "doc_id long, key long, n long"))
+    small = sets.where(f"n > 0 and n < {MAX_SMALL}").groupBy("n").agg(F.count("*").alias("c"))
+    boundary = choose_boundary({r["n"]: r["c"] for r in small.collect()}, percent)
+
+    leads = docs.mapInArrow(_leads(size, percent), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    leads = leads.where(F.col("c") > HEAVY_DOCS).orderBy(F.desc("c"), "h").limit(MAX_HEAVY).select("h").toArrow()
+    heavy = sc.broadcast(np.sort(leads["h"].to_numpy().astype(np.int64).view(np.uint64)))
+
+    rows = docs.mapInArrow(_signatures(size, percent, boundary, heavy), "sig long, key long, n long")
+    # One shuffle: equal rows, the count and what follows all go by the signature.
+    lists = rows.repartition("sig").dropDuplicates(["sig", "key"])
+    for _ in range(PEELED):
+        listed = lists.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").drop("c")
+        listed = cut_lineage(listed)
+        enough = listed.groupBy("key", "n").agg(F.count("*").alias("c"))
+        # The smallest partner of a set is in as many lists as its own size gives.
+        need = F.when(F.col("n") < boundary, 1).otherwise(1 + F.expr(f"((99 + {percent} * n) div 100) div {STEP}"))
+        enough = cut_lineage(enough.where(F.col("c") >= need).select("key"))
+        lists = lookup_join(listed, enough, ["key"], ["sig"], "inner")
+    lists = lists.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").select("sig", "key", "n")
+    lists = cut_lineage(lists)
 
     wanted = lists.select("key").distinct()
     n_wanted = wanted.count()
@@ -263,39 +275,98 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         found = found.join(wanted, "key", "left_semi")
     found = cut_lineage(found.dropDuplicates(["key"]))
 
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    near = (
-        lists.where((F.col("first.key") != F.col("key")) & fits(F.col("first.n"), F.col("n")))
-        .select(F.least("first.key", "key").alias("a"), F.greatest("first.key", "key").alias("b"))
-        .distinct()
-    )
-    links = cut_lineage(_linked(near, found, percent))
-    joined = cut_lineage(connected_components(_nodes(links), links))
+    placed = lists.withColumn("component", F.col("key"))
+    joined = None
+    for pairs in (*(_with_centre(seed) for seed in range(CENTRES)), _with_delegates, _with_all):
+        placed = cut_lineage(_mixed_lists(placed))
+        if placed.isEmpty():
+            break
+        near = pairs(placed, percent).distinct()
+        links = cut_lineage(_linked(near, found, percent))
+        joined, placed = _merged(joined, placed, links)
+    return _answers(sets, joined)
 
-    # Sets of one list in different components: only lists that still hold several are paired.
-    placed = lists.join(joined.withColumnRenamed("node", "key"), "key", "left").select(
-        "sig", "key", "n", F.coalesce("component", "key").alias("component")
-    )
+
+def _fits(n: str, m: str, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _mixed_lists(placed: DataFrame) -> DataFrame:
+    """The lists that hold sets of several components."""
     mixed = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    placed = cut_lineage(placed.join(mixed.select("sig"), "sig", "left_semi"))
-    other = placed.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    apart = (
-        placed.withColumnRenamed("key", "a")
-        .join(other, "sig")
-        .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & fits(F.col("n"), F.col("m")))
-        .select("a", "b")
-        .distinct()
-    )
-    links = links.unionByName(cut_lineage(_linked(apart, found, percent)))
-    joined = connected_components(_nodes(links), links)
-    return _answers(sets, joined)
+    return placed.join(mixed.select("sig"), "sig", "left_semi")
+
+
+def _with_centre(seed: int):
+    """Each set of a list with one of them. Lists agree on it where they can, so few pairs are different."""
+
+    def pairs(placed: DataFrame, percent: int) -> DataFrame:
+        own = F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), F.col("key").alias("k"), F.col("n").alias("m"), "component")
+        near = placed.withColumn("first", F.min(own).over(Window.partitionBy("sig")))
+        near = near.where((F.col("component") != F.col("first.component")) & _fits("n", "first.m", percent))
+        return near.select(*_pair("key", "first.k"))
+
+    return pairs
+
+
+def _ranked(placed: DataFrame) -> DataFrame:
+    """Lists with ``rank``: that of the set's component by size, and whether it is its list's first."""
+    sizes = placed.select("component", "key").distinct().groupBy("component").agg(F.count("*").alias("s"))
+    ranked = lookup_join(placed, cut_lineage(sizes), ["component"], ["sig"])
+    ranked = ranked.withColumn("rank", F.struct("s", "component"))
+    return ranked.withColumn("top", F.max("rank").over(Window.partitionBy("sig"))).drop("s")
+
+
+def _with_larger(ranked: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Sets outside the largest component of their list with ``others`` of larger components."""
+    y = others.select("sig", F.col("key").alias("k"), F.col("n").alias("m"), F.col("rank").alias("r"))
+    near = ranked.where("rank < top").join(y, "sig").where((F.col("rank") < F.col("r")) & _fits("n", "m", percent))
+    return near.select(*_pair("key", "k"))
+
+
+def _with_delegates(placed: DataFrame, percent: int) -> DataFrame:
+    ranked = cut_lineage(_ranked(placed))
+    order = Window.partitionBy("sig", "component").orderBy(F.xxhash64("key"), "key")
+    few = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= DELEGATES)
+    return _with_larger(ranked, few, percent)
+
+
+def _with_all(placed: DataFrame, percent: int) -> DataFrame:
+    ranked = cut_lineage(_ranked(placed))
+    return _with_larger(ranked, ranked, percent)
+
+
+def _merged(joined: DataFrame | None, placed: DataFrame, links: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """The components, and the lists with them, after more links between sets."""
+    if links.isEmpty():
+        return joined, placed
+    if joined is None:
+        joined = cut_lineage(connected_components(_nodes(links), links))
+    else:
+        new = _nodes(links).join(joined, "node", "left_anti").withColumn("component", F.col("node"))
+        every = cut_lineage(joined.unionByName(new))
+        # Links of components: a graph of what is still apart.
+        ends = [every.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+        edges = links.join(ends[0], "a").join(ends[1], "b").select(*_pair("ca", "cb")).distinct()
+        named = connected_components(_nodes(edges), edges).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        every = lookup_join(every, cut_lineage(named), ["component"], ["node"])
+        joined = cut_lineage(every.select("node", F.coalesce("to", "component").alias("component")))
+    named = joined.select(F.col("node").alias("key"), F.col("component").alias("to"))
+    placed = lookup_join(placed, named, ["key"], ["sig"])
+    return joined, placed.select("sig", "key", "n", F.coalesce("to", "component").alias("component"))
 
 
 def _nodes(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def _answers(sets: DataFrame, joined: DataFrame) -> DataFrame:
+def _answers(sets: DataFrame, joined: DataFrame | None) -> DataFrame:
+    if joined is None:
+        joined = sets.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
     ids = sets.where("key is not null").groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("id"))
     named = ids.join(joined.withColumnRenamed("node", "key"), "key", "left")
     # Only sets with copies or links need a name that is not their document's own.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language, licenses, near_copies, packing, quality, token_files
+from lectern.llm import decontaminate, language, licenses, near_copies, packing, privacy, quality, token_files
 from lectern.llm.subwords import tokenizer_path
 from lectern.session import cut_lineage, scratch_table
 
@@ -99,6 +99,22 @@ FROM m JOIN verdict USING (rid)
 """
 
 
+def _joined_spans(name: str):
+    return F.array_join(F.transform(name, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@query
+def op4_privacy(spark, sf_dir):
+    found = privacy.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(n(kind) for kind in privacy.KINDS),
+        F.sha2(_joined_spans("base"), 256).alias("base_sha256"),
+        _joined_spans("spans").alias("spans"),
+    )
+
+
 @query
 def op5_licenses(spark, sf_dir):
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))

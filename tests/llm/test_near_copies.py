@@ -75,10 +75,10 @@ def test_equals_brute_force(spark):
     assert answers(spark, rows) == plain(rows)
 
 
-@pytest.mark.parametrize(("heavy", "limit", "wanted"), [(2, 10, 0), (1, 1 << 20, 1 << 20), (10**9, 0, 1 << 20)])
-def test_result_does_not_depend_on_the_bounds(spark, monkeypatch, heavy, limit, wanted):
-    monkeypatch.setattr(nc, "HEAVY_DOCS", heavy)
-    monkeypatch.setattr(nc, "MAX_HEAVY", limit)
+@pytest.mark.parametrize(("step", "peeled", "wanted"), [(1, 2, 0), (7, 1, 1 << 20), (10**9, 2, 1 << 20)])
+def test_result_does_not_depend_on_the_bounds(spark, monkeypatch, step, peeled, wanted):
+    monkeypatch.setattr(nc, "STEP", step)
+    monkeypatch.setattr(nc, "PEELED", peeled)
     monkeypatch.setattr(nc, "MAX_WANTED", wanted)
     rows = cases()[:120]
     assert answers(spark, rows) == plain(rows)
@@ -92,8 +92,8 @@ def test_result_does_not_depend_on_the_boundary(spark, monkeypatch, boundary):
 
 
 def test_boundary_by_cost():
-    assert nc.choose_boundary({30: 1000}, 0.0, 0.0, 85) <= 30  # lists cost nothing more than subsets
-    assert nc.choose_boundary({10: 1000}, 0.0, 50.0, 85) > 10  # long lists: subsets are cheaper
+    assert nc.choose_boundary({60: 1000}, 85) <= 60  # many subsets: rather lists
+    assert nc.choose_boundary({6: 1000}, 85) == 8  # one subset instead of two list entries
 
 
 def test_one_of_each(spark):
