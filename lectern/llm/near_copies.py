@@ -16,10 +16,10 @@ by 64-bit hashes.
 * The boundary is the size at which subsets and list entries are fewest, from the sizes of all sets.
 
 A list of m sets is not turned into m * m pairs. In a few rounds each set is compared with one of its list
-only, and what links is joined into components. Then sets of smaller components are compared with a few
-of each larger component of their list, and at last with all sets of larger components that they still
-share a list with. So groups of many copies cost pairs in proportion to their size, and no link between
-different components is missed.
+only, and what links is joined into components. Then sets are compared with all sets of larger components
+that they still share a list with: pairs of rows for short lists, blocks of sets inside tasks for long
+ones, where only links come out. So groups of many copies cost rows in proportion to their size, and no
+link between different components is missed.
 
 Nulls: a null, empty or wordless text has an empty set and links with nothing; its component is its own
 id. A null ``doc_id`` takes part in links, and the component is the smallest id that is not null. Repeated
@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.arrow import SPACED_LOWER, slices, split_words, text_buffers
+from lectern.llm.arrow import SPACED_LOWER, ranges, slices, split_words, text_buffers
 from lectern.operators.clusters import connected_components
 from lectern.operators.skew import is_small, lookup_join
 from lectern.session import cut_lineage
@@ -57,10 +57,11 @@ MAX_SMALL = 64
 #: Sets that are wanted again are picked in the scan up to so many (8 bytes each), else by a join.
 MAX_WANTED = 1 << 20
 PEELED = 2
-#: Rounds that compare the sets of a list with one of them, before components are compared by some of
-#: their sets, DELEGATES at most in a list, and then by all.
+#: Rounds that compare the sets of a list with one of them only, before those that are still apart.
 CENTRES = 3
-DELEGATES = 8
+#: Longer lists are compared inside tasks, in blocks of about so many shingles (8 bytes each).
+LONG_LIST = 256
+BLOCK_SHINGLES = 1 << 20
 _SLICE = 8 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -277,13 +278,14 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     placed = lists.withColumn("component", F.col("key"))
     joined = None
-    for pairs in (*(_with_centre(seed) for seed in range(CENTRES)), _with_delegates, _with_all):
+    for seed in range(CENTRES):
         placed = cut_lineage(_mixed_lists(placed))
-        if placed.isEmpty():
-            break
-        near = pairs(placed, percent).distinct()
-        links = cut_lineage(_linked(near, found, percent))
-        joined, placed = _merged(joined, placed, links)
+        near = _with_centre(placed, seed, percent).distinct()
+        joined, placed = _merged(joined, placed, cut_lineage(_linked(near, found, percent)))
+    placed = cut_lineage(_ranked(_mixed_lists(placed)))
+    near = _with_larger(placed.where(F.col("c") <= LONG_LIST), percent).distinct()
+    links = _linked(near, found, percent).unionByName(_linked_in_blocks(placed.where(F.col("c") > LONG_LIST), found, percent))
+    joined, _ = _merged(joined, placed.select("sig", "key", "n", "component"), cut_lineage(links.distinct()))
     return _answers(sets, joined)
 
 
@@ -301,43 +303,99 @@ def _mixed_lists(placed: DataFrame) -> DataFrame:
     return placed.join(mixed.select("sig"), "sig", "left_semi")
 
 
-def _with_centre(seed: int):
+def _with_centre(placed: DataFrame, seed: int, percent: int) -> DataFrame:
     """Each set of a list with one of them. Lists agree on it where they can, so few pairs are different."""
-
-    def pairs(placed: DataFrame, percent: int) -> DataFrame:
-        own = F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), F.col("key").alias("k"), F.col("n").alias("m"), "component")
-        near = placed.withColumn("first", F.min(own).over(Window.partitionBy("sig")))
-        near = near.where((F.col("component") != F.col("first.component")) & _fits("n", "first.m", percent))
-        return near.select(*_pair("key", "first.k"))
-
-    return pairs
+    own = F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), F.col("key").alias("k"), F.col("n").alias("m"), "component")
+    near = placed.withColumn("first", F.min(own).over(Window.partitionBy("sig")))
+    near = near.where((F.col("component") != F.col("first.component")) & _fits("n", "first.m", percent))
+    return near.select(*_pair("key", "first.k"))
 
 
 def _ranked(placed: DataFrame) -> DataFrame:
-    """Lists with ``rank``: that of the set's component by size, and whether it is its list's first."""
+    """Lists with ``rank``, that of the set's component by size, the highest of the list, and its length."""
     sizes = placed.select("component", "key").distinct().groupBy("component").agg(F.count("*").alias("s"))
     ranked = lookup_join(placed, cut_lineage(sizes), ["component"], ["sig"])
-    ranked = ranked.withColumn("rank", F.struct("s", "component"))
-    return ranked.withColumn("top", F.max("rank").over(Window.partitionBy("sig"))).drop("s")
+    by_sig = Window.partitionBy("sig")
+    return (
+        ranked.withColumn("rank", F.struct("s", "component"))
+        .withColumns({"top": F.max("rank").over(by_sig), "c": F.count("*").over(by_sig), "total": F.sum("n").over(by_sig)})
+        .drop("s")
+    )
 
 
-def _with_larger(ranked: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Sets outside the largest component of their list with ``others`` of larger components."""
-    y = others.select("sig", F.col("key").alias("k"), F.col("n").alias("m"), F.col("rank").alias("r"))
+def _with_larger(ranked: DataFrame, percent: int) -> DataFrame:
+    """Sets with all sets of larger components in their lists, of at most LONG_LIST each."""
+    y = ranked.select("sig", F.col("key").alias("k"), F.col("n").alias("m"), F.col("rank").alias("r"))
     near = ranked.where("rank < top").join(y, "sig").where((F.col("rank") < F.col("r")) & _fits("n", "m", percent))
     return near.select(*_pair("key", "k"))
 
 
-def _with_delegates(placed: DataFrame, percent: int) -> DataFrame:
-    ranked = cut_lineage(_ranked(placed))
-    order = Window.partitionBy("sig", "component").orderBy(F.xxhash64("key"), "key")
-    few = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= DELEGATES)
-    return _with_larger(ranked, few, percent)
+def _linked_in_blocks(ranked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets with sets of larger components in long lists.
+
+    A list is cut into blocks of about BLOCK_SHINGLES; each pair of blocks is one group with the sets'
+    shingles, and only links leave it. A pair is compared in the first long list that has both.
+    """
+    longs = ranked.groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("long"))
+    rows = (
+        ranked.withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .withColumn("others", F.sequence(F.lit(0), F.col("blocks") - 1))
+        .join(longs, "key")
+        .join(sets, "key")
+    )
+    own = ["sig", "key", F.col("rank.s").alias("s"), F.col("rank.component").alias("component"), "long", "shingles"]
+    seekers = rows.where("rank < top").select(*own, F.col("block").alias("x"), F.explode("others").alias("y"), F.lit(True).alias("seeks"))
+    larger = rows.select(*own, F.explode("others").alias("x"), F.col("block").alias("y"), F.lit(False).alias("seeks"))
+    return (
+        seekers.unionByName(larger)
+        .groupBy("sig", "x", "y")
+        .applyInArrow(_block_links(percent), "a long, b long")
+    )
 
 
-def _with_all(placed: DataFrame, percent: int) -> DataFrame:
-    ranked = cut_lineage(_ranked(placed))
-    return _with_larger(ranked, ranked, percent)
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    lists = column.combine_chunks()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.append(0, np.cumsum(lengths)), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _block_links(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        seeks = group["seeks"].to_numpy()
+        sig = group["sig"][0].as_py()
+        key, size, component = (group[x].to_numpy() for x in ("key", "s", "component"))
+        firsts, shingles = _flat(group["shingles"])
+        _, numbers = np.unique(shingles, return_inverse=True)
+        n = np.diff(firsts)
+        # Long lists before this one, as a table of 0 and 1: a pair that shares any is compared there.
+        long_firsts, longs = _flat(group["long"])
+        row = np.repeat(np.arange(len(key)), np.diff(long_firsts))
+        earlier, column = np.unique(longs[longs < sig], return_inverse=True)
+        before = np.zeros((len(key), len(earlier)), np.float32)
+        before[row[longs < sig], column] = 1
+        partners = np.flatnonzero(~seeks)
+        held = np.zeros(int(numbers.max(initial=-1)) + 1, bool)
+        a, b = [], []
+        for i in np.flatnonzero(seeks):
+            larger = (size[partners] > size[i]) | ((size[partners] == size[i]) & (component[partners] > component[i]))
+            larger &= 100 * np.minimum(n[partners], n[i]) >= percent * np.maximum(n[partners], n[i])
+            some = partners[larger]
+            some = some[before[some] @ before[i] == 0]
+            if not len(some):
+                continue
+            own = numbers[firsts[i] : firsts[i + 1]]
+            held[own] = True
+            places = ranges(firsts[some], n[some])
+            shared = np.add.reduceat(held[numbers[places]].astype(np.int64), np.cumsum(n[some]) - n[some])
+            held[own] = False
+            linked = some[100 * shared >= percent * (n[some] + n[i] - shared)]
+            a.append(np.minimum(key[linked], key[i]))
+            b.append(np.maximum(key[linked], key[i]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a + none), "b": np.concatenate(b + none)})
+
+    return run
 
 
 def _merged(joined: DataFrame | None, placed: DataFrame, links: DataFrame) -> tuple[DataFrame | None, DataFrame]:
