@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language, licenses, near_copies, packing, privacy, quality, token_files
+from lectern.llm import decontaminate, language, licenses, near_copies, packing, privacy, quality, scoring, token_files, urls
 from lectern.llm.subwords import tokenizer_path
 from lectern.session import cut_lineage, scratch_table
 
@@ -29,6 +29,22 @@ def fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+@query
+def op1_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(7) != 2).alias("train"))
+    blocks = scoring.blocked(docs, "train")
+    model, words = scoring.learn(blocks, tokenizer_path("byte_bpe_50k.json"))
+    return scoring.score(blocks, words, model).select(
+        "doc_id",
+        F.coalesce(~F.col("train"), F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op2_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -215,6 +231,62 @@ def op8_near_copies(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op9_urls(spark, sf_dir):
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op9_urls"] = r"""
+WITH RECURSIVE u AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, page_id,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS MATERIALIZED (
+  SELECT rid, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+fits AS (
+  SELECT rid, r.host || r.path AS rule, verdict,
+         row_number() OVER (PARTITION BY rid ORDER BY length(r.host || r.path) DESC) AS k
+  FROM p JOIN (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'),
+                      ('allow', 'org', '/fr/')) AS r(verdict, host, path)
+  ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
+l AS MATERIALIZED (
+  SELECT p.*, rule, verdict, CASE WHEN verdict IS NOT NULL THEN verdict = 'block'
+    WHEN list_has_any(string_split_regex(p.host, '[.-]'), ['casino', 'bets', 'pills', 'spam', 'adult', 'ads']) THEN true END AS bad
+  FROM p LEFT JOIN fits ON fits.rid = p.rid AND k = 1),
+a AS MATERIALIZED (
+  SELECT host, path, count(*) AS pages, count(*) FILTER (bad) AS bad, count(bad) AS labelled, string_split(path, '/') AS s
+  FROM l GROUP BY host, path),
+step AS (
+  SELECT 0 AS level, host, path, pages, bad, labelled, s, '' AS template FROM a
+  UNION ALL
+  SELECT level + 1, host, path, pages, bad, labelled, s,
+         CASE WHEN seg IS NULL THEN template ELSE template || '/' || CASE
+           WHEN seg <> '' AND v >= 8 AND n < 4 * v THEN '*' || regexp_extract(seg, '(\.[A-Za-z]{1,5})$', 1) ELSE seg END END
+  FROM (
+    SELECT *, sum(CASE WHEN first THEN 1 END) OVER node AS v, sum(CASE WHEN seg IS NOT NULL THEN pages END) OVER node AS n
+    FROM (SELECT *, seg IS NOT NULL AND row_number() OVER (PARTITION BY host, template, seg) = 1 AS first
+          FROM (SELECT *, CASE WHEN level = 6 THEN CASE WHEN len(s) > 7 THEN '**' END ELSE s[level + 2] END AS seg FROM step))
+    WINDOW node AS (PARTITION BY host, template))
+  WHERE level < 7),
+tree AS MATERIALIZED (SELECT * FROM step WHERE level = 7),
+leaves AS (
+  SELECT host, template, sum(bad) AS bad, sum(labelled) AS labelled,
+         regexp_replace(template, '^((?:/\*(?:\.[A-Za-z]+)?)*)/[^/*]+', '\1/?') AS shape FROM tree GROUP BY host, template),
+family AS (
+  SELECT *, sum(bad) OVER f / sum(labelled) OVER f AS share FROM leaves WINDOW f AS (PARTITION BY host, shape)),
+branches AS (
+  SELECT *, CASE WHEN CASE WHEN labelled = 0 THEN false WHEN share IN (0.0, 1.0) THEN true
+    ELSE pow(bad - labelled * share, 2) / (labelled * share * (1 - share)) <= 3.84 END THEN shape ELSE template END AS branch
+  FROM family),
+pure AS (
+  SELECT host, template, (sum(bad) OVER b + 0.2 * 4.0) / (sum(labelled) OVER b + 4.0) AS purity
+  FROM branches WINDOW b AS (PARTITION BY host, branch))
+SELECT page_id, l.host, l.path, rule, coalesce(verdict, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM l JOIN tree USING (host, path) JOIN pure ON pure.host = l.host AND pure.template = tree.template
+"""
+
+
 @query
 def op10_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
