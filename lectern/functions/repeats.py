@@ -75,9 +75,18 @@ def collapse_text(text: str | None) -> str | None:
     return text
 
 
+# Texts of these characters alone can be tested in the JVM: there both sides agree on what a word is.
+_PLAIN = "[\\x00-\\x7F\\u00C0-\\u024F]*"
+_NO_WORD = "[^0-9A-Za-z_\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u024F]+"
+
+
 def collapse_repeats(text: Column) -> Column:
+    """Only texts in which some word occurs twice are sent to Python; no other can change."""
+
     @F.pandas_udf("string")
     def collapse(batch: pd.Series) -> pd.Series:
         return batch.map(collapse_text)
 
-    return collapse(text)
+    words = F.filter(F.split(F.lower(text), _NO_WORD), lambda w: w != "")
+    same = F.regexp_like(text, F.lit(f"^{_PLAIN}$")) & (F.size(F.array_distinct(words)) == F.size(words))
+    return F.coalesce(collapse(F.when(~same, text)), text)

@@ -11,21 +11,24 @@ from lectern.config import WATCH_URL
 from lectern.functions.repeats import collapse_repeats
 
 # The default English stop words; results depend on exactly this list.
-STOP_WORDS = tuple(
-    """
-    a about above after again against all am an and any are as at be because been before being
-    below between both but by can did do does doing down during each few for from further had has
-    have having he her here hers herself him himself his how i if in into is it its itself just me
-    more most my myself no nor not now of off on once only or other our ours ourselves out over own
-    s same she should so some such t than that the their theirs them themselves then there these
-    they this those through to too under until up very was we were what when where which while who
-    whom why will with you your yours yourself yourselves
-    """.split()
-)
+STOP_WORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at",
+    "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "did",
+    "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have",
+    "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in",
+    "into", "is", "it", "its", "itself", "just", "me", "more", "most", "my", "myself", "no", "nor", "not",
+    "now", "of", "off", "on", "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over",
+    "own", "s", "same", "she", "should", "so", "some", "such", "t", "than", "that", "the", "their",
+    "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those", "through", "to",
+    "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while",
+    "who", "whom", "why", "will", "with", "you", "your", "yours", "yourself", "yourselves",
+)
 
 # Unicode White_Space, written out so that every regex dialect reads it the same way.
 WIDE_SPACE = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE = r" \x09-\x0D" + WIDE_SPACE
+# What counts as markup and as a colour code. Decimal digits are written as a Unicode class,
+# as the JVM's \d knows the ASCII ones only.
 MARKUP = "<[^>]+>"
 COLOUR_CODE = r"c\p{Nd}+c?"
 

@@ -25,17 +25,20 @@ def spread_join(
 
     Hot keys are counted first (key columns only, combined before the shuffle). Their rows are
     dealt over slices by a hash of ``spread_by`` and the matching rows of ``small`` are repeated
-    once per slice; all other keys join as they are. The list of hot keys is a top-k of fixed size,
-    so it can be broadcast. Which keys are on it changes the speed, never the result. Rows per key
-    that are known already can be given as ``counts`` (the key columns and ``_rows``).
+    once per slice; all other keys join as they are. A key is hot with more rows than ``slice_rows``
+    and than one part in MAX_HOT_KEYS of all rows: there cannot be more such keys than that, so their
+    list is complete and can be broadcast. Which keys are on it changes the speed, never the result.
+    Rows per key that are known already can be given as ``counts`` (the key columns and ``_rows``).
     """
     on = list(on)
     counts = big.groupBy(*on).agg(F.count("*").alias("_rows")) if counts is None else counts
+    total = counts.agg((F.sum("_rows") / MAX_HOT_KEYS).alias("_least"))
+    least = F.greatest(F.lit(float(slice_rows)), "_least")
     hot = (
         counts.where(F.col("_rows") > slice_rows)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / slice_rows).cast("int").alias("_slices"))
+        .crossJoin(F.broadcast(total))
+        .where(F.col("_rows") > least)
+        .select(*on, F.ceil(F.col("_rows") / least).cast("int").alias("_slices"))
     )
     slices = F.coalesce("_slices", F.lit(1))
     dealt = (

@@ -51,7 +51,7 @@ def extract_video_ids(
     video_id = (
         F.when(~is_link, url)
         .when(_host_in(host, watch_hosts), from_query)
-        .when(_host_in(host, short_hosts), F.regexp_replace(F.substring(path, 2, 1_000_000), r";[^/]*$", ""))
+        .when(_host_in(host, short_hosts), F.regexp_replace(F.regexp_replace(path, "^.", ""), r";[^/]*$", ""))
     )
     return (
         lines.withColumn("_line", F.regexp_replace(url_col, _WHITE, ""))
