@@ -57,8 +57,9 @@ MAX_SMALL = 64
 #: Sets that are wanted again are picked in the scan up to so many (8 bytes each), else by a join.
 MAX_WANTED = 1 << 20
 PEELED = 2
-#: Rounds that compare the sets of a list with one of them only, before those that are still apart.
-CENTRES = 3
+#: Rounds that compare the sets of a list with one of them only, before those that are still apart. Each
+#: costs a search of components, which takes longer than the comparisons that it saves beyond the first.
+CENTRES = 1
 #: Longer lists are compared inside tasks, in blocks of about so many shingles (8 bytes each).
 LONG_LIST = 256
 BLOCK_SHINGLES = 1 << 20

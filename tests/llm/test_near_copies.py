@@ -82,7 +82,7 @@ def test_result_does_not_depend_on_the_bounds(spark, monkeypatch, step, peeled,
     monkeypatch.setattr(nc, "MAX_WANTED", wanted)
     monkeypatch.setattr(nc, "LONG_LIST", 2 if wanted else 10**9)
     monkeypatch.setattr(nc, "BLOCK_SHINGLES", 300)
-    monkeypatch.setattr(nc, "CENTRES", peeled - 1)
+    monkeypatch.setattr(nc, "CENTRES", 2 * peeled - 2)
     monkeypatch.setattr(nc, "HEAVY_DOCS", 3 * peeled)
     rows = cases()[:120]
     assert answers(spark, rows) == plain(rows)
