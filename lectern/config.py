@@ -25,6 +25,8 @@ class TopicSettings:
     cell_size: float | None = None
     min_points: int = 15
     min_cluster_size: int = 5
+    # Of all chunks; takes over from the two limits above as the data grows.
+    min_share: float = 0.005
     num_topics: int | None = None
     top_words: int = 10
     representative_docs: int = 3

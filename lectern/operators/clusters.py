@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
@@ -59,9 +60,17 @@ def _by_size(sizes: DataFrame, name: str) -> DataFrame:
     return sizes.select(name, (F.row_number().over(order) - 1).cast("int").alias("topic_id"))
 
 
+def _width(df: DataFrame, vector_col: str) -> int:
+    """Coordinates of the vectors; 0 without any row."""
+    row = df.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).first()
+    return row[0] if row else 0
+
+
 def suggested_cell_size(df: DataFrame, share: float = 0.2, vector_col: str = "projected") -> float:
     """A cell side in proportion to the data: ``share`` of the deviation along the widest coordinate."""
-    dims = len(df.select(vector_col).first()[0])
+    dims = _width(df, vector_col)
+    if not dims:
+        return 1.0
     spread = df.agg(F.array_max(F.array(*[F.stddev_pop(F.col(vector_col)[i]) for i in range(dims)]))).first()[0]
     return share * spread if spread else 1.0
 
@@ -73,6 +82,7 @@ def cluster_density(
     min_cluster_size: int = 5,
     keys: Sequence[str] = KEY,
     vector_col: str = "projected",
+    min_share: float = 0.0,
 ) -> DataFrame:
     """(keys, topic_id): density clusters of low-dimensional points, noise as -1, largest first as 0.
 
@@ -82,13 +92,21 @@ def cluster_density(
     points in cells without a dense neighbour are noise. All work is on counts per cell: any
     number of equal or close points is one row, and no pairs of points are ever formed. Cells
     touch 3^k - 1 others, so project to a few dimensions first.
+
+    With ``min_share`` both limits are that share of all points if it is more, so that the clusters
+    follow the shape of the data and not the number of points. Rows without a vector are noise.
     """
     keys = list(keys)
-    dims = len(df.select(vector_col).first()[0])
+    dims = _width(df, vector_col)
+    if not dims:
+        return df.select(*keys, F.lit(OUTLIER_TOPIC).alias("topic_id"))
+    if min_share:
+        least = math.ceil(min_share * df.where(F.col(vector_col).isNotNull()).count())
+        min_points, min_cluster_size = max(min_points, least), max(min_cluster_size, least)
     points = df.select(
         *keys, F.transform(vector_col, lambda x: F.floor(x / cell_size).cast("bigint")).alias("cell")
     )
-    cells = cut_lineage(points.groupBy("cell").agg(F.count("*").alias("n")))
+    cells = cut_lineage(points.where("cell is not null").groupBy("cell").agg(F.count("*").alias("n")))
     touching = _touching(cells, dims)
     around = touching.groupBy(F.col("b").alias("cell")).agg(F.sum("n").alias("near"))
     dense = cut_lineage(

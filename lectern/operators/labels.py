@@ -67,8 +67,8 @@ def statistical_scores(
 
     A word scores by its frequency, the chunks it is found in, how early these come in their
     video, and how varied its neighbours are; a pair scores by its words and its own frequency.
-    Letter case is no feature, as the text is in lower case. The middle position is approximate
-    to one part in 10,000 of the ranks.
+    Letter case is no feature, as the text is in lower case. The middle position is the exact median,
+    from running counts of the positions.
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
     rows = chunks.where(F.col("topic_id") != OUTLIER_TOPIC).select(
@@ -76,13 +76,19 @@ def statistical_scores(
     )
     uses = F.transform("_words", lambda w: F.struct(w.alias("word"), F.lit(None).cast("bigint").alias("at")))
     places = F.transform(F.array_distinct("_words"), lambda w: F.struct(w.alias("word"), F.col("chunk_id").alias("at")))
+    placed = F.col("at").isNotNull()
+    by_word = Window.partitionBy("topic_id", "word")
     found = (
         rows.select("topic_id", F.inline(F.concat(uses, places)))
+        .groupBy("topic_id", "word", "at")
+        .agg(F.count("*").alias("n"))
+        .withColumn("_upto", F.sum(F.when(placed, F.col("n"))).over(by_word.orderBy("at")))
+        .withColumn("_all", F.sum(F.when(placed, F.col("n"))).over(by_word))
         .groupBy("topic_id", "word")
         .agg(
-            F.count_if(F.col("at").isNull()).alias("tf"),
-            F.count("at").alias("sf"),
-            F.percentile_approx("at", 0.5, 10_000).alias("middle"),
+            F.sum(F.when(~placed, F.col("n"))).alias("tf"),
+            F.coalesce(F.sum(F.when(placed, F.col("n"))), F.lit(0)).alias("sf"),
+            F.min(F.when(placed & (2 * F.col("_upto") >= F.col("_all")), F.col("at"))).alias("middle"),
         )
     )
     neighbours = F.zip_with(

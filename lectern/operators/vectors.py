@@ -149,10 +149,11 @@ def knn(
     Every task compares its base vectors with a block of queries, a matrix product at a time, and
     keeps the ``k`` best per query; only these are shuffled. The queries of a block are a bounded
     broadcast; more queries than ``query_block`` are taken in several blocks, each a further pass
-    over the base vectors. Equal distances go to the lower id.
+    over the base vectors. Equal distances go to the lower id. Rows without a vector are left out.
     """
     spark = base.sparkSession
-    ids = queries.select(F.col(query_id_col).cast("bigint").alias("_q"), F.col(vector_col).cast("array<float>").alias("_v"))
+    base = base.where(F.col(vector_col).isNotNull())
+    ids = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_id_col).cast("bigint").alias("_q"), F.col(vector_col).cast("array<float>").alias("_v"))
     count = ids.count()
     parts = -(-count // query_block) if count else 1
     if parts == 1:

@@ -17,6 +17,7 @@ from lectern.operators import sentiment as sn
 from lectern.operators import terms as tm
 from lectern.operators import vectors as vc
 from lectern.operators.chunking import chunk
+from lectern.operators.coherence import coherence_cv, coherence_npmi, coherence_umass
 from lectern.operators.overtime import topics_over_time
 from lectern.plans.views import enrich, sample_n, with_titles
 from lectern.session import cut_lineage
@@ -34,13 +35,15 @@ def process(
     emotion_model: tuple[DataFrame, DataFrame, list[str]] | None = None,
     settings: Settings = Settings(),
     sample: int | None = None,
-    time_col: str = "start_time",
+    time_col: str | None = None,
     embedder: Callable | None = None,
 ) -> TopicModel:
     """Normalise, chunk, embed, cluster, score; write ``processed/chunks`` and the topic model.
 
     ``polarity_model`` and ``emotion_model`` are learned word weights (see
     ``operators.sentiment``); ``embedder`` is a model factory and replaces the hashed embedding.
+    Topics over time go by ``time_col``, a number; without one by the day of publication, of the chunks
+    that have it, and by the start of the video where the metadata has no days at all.
     Stages meet at written tables, so that each is worked out once and a lost executor costs no
     more than its own tasks.
     """
@@ -62,12 +65,16 @@ def process(
     projection = Pipeline(stages=[PCA(k=topic_cfg.project_dims, inputCol="v", outputCol="p")]).fit(with_vector)
     flat = cut_lineage(projection.transform(with_vector).select(*KEY, vector_to_array("p").alias("projected")))
 
-    if topic_cfg.num_topics is None:
-        side = topic_cfg.cell_size or cl.suggested_cell_size(flat)
-        assigned = cl.cluster_density(flat, side, topic_cfg.min_points, topic_cfg.min_cluster_size)
-    else:
-        assigned = cl.cluster_k(flat, topic_cfg.num_topics, settings.seed, "projected").select(*KEY, "topic_id")
-    assigned = cut_lineage(assigned)
+    side = topic_cfg.cell_size or cl.suggested_cell_size(flat)
+    found = cl.cluster_density(
+        flat, side, topic_cfg.min_points, topic_cfg.min_cluster_size, min_share=topic_cfg.min_share
+    )
+    assigned = cut_lineage(found)
+    if topic_cfg.num_topics is not None:
+        # The topics that were found are merged along their tree; outliers stay outliers.
+        weighted = cut_lineage(tm.ctfidf(tm.term_counts(chunks.join(assigned, KEY), topic_cfg.min_df)))
+        tree = cl.topic_hierarchy(tm.topic_distances(weighted))
+        assigned = cut_lineage(cl.reduce_topics(assigned, tree, topic_cfg.num_topics))
     topical = cut_lineage(chunks.join(assigned, KEY))
 
     weights = cut_lineage(tm.ctfidf(tm.term_counts(topical, topic_cfg.min_df)))
@@ -76,7 +83,7 @@ def process(
     tables = {
         "topic_info": tm.topic_info(topical, words, docs),
         "weights": weights,
-        "topics_over_time": topics_over_time(topical, weights, time_col, topic_cfg.time_bins),
+        "topics_over_time": topics_over_time(_timed(topical, time_col), weights, "_time", topic_cfg.time_bins),
         "hierarchy": cl.topic_hierarchy(tm.topic_distances(weights)),
     }
     members = vectors.join(assigned, KEY)
@@ -103,8 +110,24 @@ def process(
     return model
 
 
-def evaluate(spark: SparkSession, base: str, report: str) -> DataFrame:
-    """Write the topic table of the saved model as CSV report and return it."""
-    info = load_topic_model(spark, f"{base}/model").topic_info
+def _timed(topical: DataFrame, time_col: str | None) -> DataFrame:
+    if time_col is None:
+        dated = "publish_date" in topical.columns
+        time = F.unix_date(F.col("publish_date").cast("date")) if dated else F.col("start_time")
+    else:
+        time = F.col(time_col)
+    return topical.withColumn("_time", time.cast("double")).where("_time is not null")
+
+
+def evaluate(spark: SparkSession, base: str, report: str, top_words: int = 10) -> DataFrame:
+    """Write the topic table of the saved model with its coherence scores as CSV report and return it."""
+    model = load_topic_model(spark, f"{base}/model")
+    chunks = read_tables(spark, base, "processed")["chunks"]
+    words = cut_lineage(tm.topic_keywords(model.tables["weights"], top_words))
+    info = model.topic_info
+    for score in (coherence_cv, coherence_npmi, coherence_umass):
+        info = info.join(score(chunks, words).withColumnRenamed("topic_id", "Topic"), "Topic", "left")
+    # One row: the share of distinct words among all top words.
+    info = cut_lineage(info.crossJoin(F.broadcast(tm.topic_diversity(words))))
     write_report_csv(info, report)
     return info

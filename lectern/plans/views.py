@@ -24,11 +24,13 @@ def without_outliers(chunks: DataFrame) -> DataFrame:
 
 
 def with_titles(chunks: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Left join of the titles; videos with very many chunks are dealt over several tasks.
+    """Left join of the titles, and of the days of publication if there are any; videos with very many
+    chunks are dealt over several tasks.
 
     A repeated video id in the metadata must not multiply chunks, so ids are made unique first.
     """
-    titles = metadata.groupBy("video_id").agg(F.min("title").alias("title"))
+    carried = [x for x in ("title", "publish_date") if x in metadata.columns]
+    titles = metadata.groupBy("video_id").agg(*(F.min(x).alias(x) for x in carried))
     return spread_join(chunks, titles, ["video_id"], ["chunk_id"], "left")
 
 

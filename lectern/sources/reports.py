@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import cut_lineage
+
 COHERENCE_COLUMNS = ("c_v", "c_npmi", "u_mass")
 
 
@@ -16,8 +18,11 @@ def flat(info: DataFrame) -> DataFrame:
 
 
 def write_report_csv(info: DataFrame, path: str) -> None:
-    """One row per topic. Quotes inside texts are doubled, the usual CSV way."""
-    flat(info).coalesce(1).orderBy("Topic").write.mode("overwrite").option("header", True).option(
+    """One row per topic. Quotes inside texts are doubled, the usual CSV way.
+
+    The rows are stored first, so that only the writing of the one file is a single task.
+    """
+    cut_lineage(flat(info)).coalesce(1).orderBy("Topic").write.mode("overwrite").option("header", True).option(
         "quote", '"'
     ).option("escape", '"').csv(path)
 

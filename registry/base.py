@@ -67,7 +67,7 @@ def chunks(spark, d) -> DataFrame:
 def metadata(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("video_id"),
-        F.substring("text", 1, 60).alias("title"),
+        F.concat_ws(" ", "source", "doc_id").alias("title"),
         F.col("source").alias("channel_name"),
     )
 
@@ -192,7 +192,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "metadata": (
         (),
-        """SELECT CAST(doc_id AS VARCHAR) AS video_id, substr(text, 1, 60) AS title, source AS channel_name
+        """SELECT CAST(doc_id AS VARCHAR) AS video_id, source || ' ' || doc_id AS title, source AS channel_name
            FROM documents""",
     ),
     "topic_chunks": (

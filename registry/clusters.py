@@ -58,7 +58,7 @@ def _(spark, d):
     """Chunks embedded, projected and clustered by density."""
     vectors = b.stored(rv.embedded(spark, d))
     flat = b.stored(vc.project(vectors, 5).select("video_id", "chunk_id", "projected"))
-    return cl.cluster_density(flat, cl.suggested_cell_size(flat), min_points=15)
+    return cl.cluster_density(flat, cl.suggested_cell_size(flat), min_points=15, min_share=0.005)
 
 
 @query("cluster_k")

@@ -144,7 +144,8 @@ def _(spark, d):
 def _(spark, d):
     """The whole run from raw tables to processed chunks."""
     base = scratch_table(spark, "run")
-    meta = b.metadata(spark, d).select("video_id", "title", "channel_name")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("video_id").cast("int") % 365)
+    meta = b.metadata(spark, d).select("video_id", "title", "channel_name", day.alias("publish_date"))
     tb.write_tables({"transcripts": b.segments(spark, d), "metadata": meta}, base, "raw")
     labelled = b.labelled_norm(spark, d)
     polarity = sn.learn_polarity(labelled)

@@ -404,7 +404,7 @@ def _(spark, d):
     return v.video_ids(b.chunks(spark, d))
 
 
-LONG_TITLE = "title || ' | ' || title"
+LONG_TITLE = "repeat(title || ' | ', 8)"
 
 
 @query(
@@ -419,7 +419,7 @@ LONG_TITLE = "title || ' | ' || title"
 )
 def _(spark, d):
     titled = v.with_titles(b.chunks(spark, d), b.metadata(spark, d))
-    return v.video_options(titled.withColumn("title", F.concat("title", F.lit(" | "), "title")))
+    return v.video_options(titled.withColumn("title", F.repeat(F.concat("title", F.lit(" | ")), 8)))
 
 
 @query(
