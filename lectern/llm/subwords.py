@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from lectern.llm.arrow import ranges, strings, text_buffers
 
 #: Pieces that a worker remembers; above it, it starts afresh with those of the current batch.
-MAX_REMEMBERED = 1 << 21
+MAX_REMEMBERED = 1 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _JOINABLE = f"^ [!-~{_LETTERS}]+$"
