@@ -454,13 +454,13 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     own = docs.columns
     groups = cut_lineage(components(docs, size, percent).where("key is not null"))
     # Rows are told apart by id and set; -1 and a flag stand for a null id, so that joins can use it.
-    flagged = lambda x: [F.coalesce(x, F.lit(-1)).alias("_id"), x.isNull().alias("_none")]
+    flagged = lambda x: [F.coalesce(x, F.lit(-1)).alias("__copy_id"), x.isNull().alias("__copy_none")]
     gone = groups.where("component_id is not null and (doc_id is null or doc_id <> component_id)")
-    gone = cut_lineage(gone.select(*flagged(F.col("doc_id")), F.col("key").alias("_key")).distinct())
+    gone = cut_lineage(gone.select(*flagged(F.col("doc_id")), F.col("key").alias("__copy_key")).distinct())
     again = groups.groupBy("doc_id", "key").agg(F.count("*").alias("c")).where("c > 1")
-    again = cut_lineage(again.select(*flagged(F.col("doc_id")), F.col("key").alias("_key")))
-    on = ["_id", "_none", "_key"]
-    keyed = docs.select(*own, *flagged(F.col("doc_id").cast("long")), key_of(F.col("text").cast("string")).alias("_key"))
+    again = cut_lineage(again.select(*flagged(F.col("doc_id")), F.col("key").alias("__copy_key")))
+    on = ["__copy_id", "__copy_none", "__copy_key"]
+    keyed = docs.select(*own, *flagged(F.col("doc_id").cast("long")), key_of(F.col("text").cast("string")).alias("__copy_key"))
     few = lambda x: F.broadcast(x) if is_small(x, MAX_WANTED) else x
     kept = keyed.join(few(gone), on, "left_anti")
     if again.isEmpty():
