@@ -111,6 +111,32 @@ def test_small_clusters_become_noise(spark):
     assert got == [0] * 9 + [-1] * 4
 
 
+def test_density_by_share_does_not_depend_on_the_number_of_points(spark):
+    rnd = random.Random(3)
+    blobs = [(0.0, 0.0), (3.0, 0.0), (0.0, 3.0)]
+    points = [(rnd.gauss(x, 0.3), rnd.gauss(y, 0.3)) for x, y in blobs for _ in range(120)]
+    points += [(rnd.uniform(-2, 5), rnd.uniform(-2, 5)) for _ in range(40)]
+    found = []
+    for times in (1, 10):
+        rows = [(i * times + k, [x, y]) for i, (x, y) in enumerate(points) for k in range(times)]
+        df = spark.createDataFrame(rows, "vec_id bigint, projected array<double>")
+        got = cl.cluster_density(df, 0.3, 3, 3, ["vec_id"], min_share=0.03).collect()
+        found.append({r.vec_id // times: r.topic_id for r in got})
+    assert found[0] == found[1] and set(found[0].values()) >= {0, 1, 2}
+
+
+def test_no_points_and_null_vectors(spark):
+    empty = spark.createDataFrame([], "vec_id bigint, projected array<double>")
+    assert cl.suggested_cell_size(empty) == 1.0
+    assert cl.cluster_density(empty, 0.3, 3, 3, ["vec_id"]).count() == 0
+    some = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [0.1, 0.0])], "vec_id bigint, projected array<double>")
+    got = {r.vec_id: r.topic_id for r in cl.cluster_density(some, 0.3, 2, 2, ["vec_id"]).collect()}
+    assert got == {1: 0, 2: -1, 3: 0}
+    vectors = some.select("vec_id", F.col("projected").cast("array<float>").alias("embedding"))
+    near = vc.knn(vectors, vectors.withColumnRenamed("vec_id", "query_id"), k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in near) == [(1, 1, 1), (1, 2, 3), (3, 1, 3), (3, 2, 1)]
+
+
 def test_kmeans_topics_by_size(spark):
     rng = np.random.default_rng(3)
     m = np.concatenate([rng.normal(0, 0.1, (10, 2)), rng.normal(5, 0.1, (30, 2))])
