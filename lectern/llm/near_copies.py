@@ -117,9 +117,9 @@ def _least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _met(n: int) -> int:
+def _met(n: int, step: int) -> int:
     """Lists for the first shared shingles of a set of n."""
-    return 1 + n // STEP
+    return 1 + n // step
 
 
 def _sets(size: int):
@@ -137,14 +137,14 @@ def _sets(size: int):
     return run
 
 
-def _leads(size: int, percent: int):
+def _leads(size: int, percent: int, step: int):
     """h, c: the shingles that come first by hash, half as many again as are listed, counted per slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, max_bytes=_SLICE):
                 leads = [
-                    s[: (len(s) - _least(len(s), percent) + _met(len(s))) * 3 // 2]
+                    s[: (len(s) - _least(len(s), percent) + _met(len(s), step)) * 3 // 2]
                     for s in shingle_sets(part["text"], size)
                 ]
                 h, c = np.unique(np.concatenate([*leads, np.zeros(0, np.uint64)]), return_counts=True)
@@ -153,7 +153,7 @@ def _leads(size: int, percent: int):
     return run
 
 
-def _signatures(size: int, percent: int, boundary: int, heavy: Broadcast):
+def _signatures(size: int, percent: int, boundary: int, heavy: Broadcast, step: int):
     """sig, key, n: subsets of small sets, list entries of large ones. Copies in a slice of the input are
     listed once."""
 
@@ -178,7 +178,7 @@ def _signatures(size: int, percent: int, boundary: int, heavy: Broadcast):
                         low, high = np.minimum(lead[i], lead[j]), np.maximum(lead[i], lead[j])
                         own.append(_mixed((low * _A + high) ^ _B))
                     if 100 * n >= percent * boundary:
-                        own.append(s[: n - least + _met(n)])
+                        own.append(s[: n - least + _met(n, step)])
                     sigs += own
                     rows += [(key, n)] * len(own)
                 if sigs:
@@ -227,7 +227,7 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
                 total += count * math.comb(min(spare + 2, n), 2)
             if 100 * n >= percent * boundary:
                 # An entry is written, and met by all others of its list.
-                total += 2 * count * min(spare + _met(n), n)
+                total += 2 * count * min(spare + _met(n, STEP), n)
         return total
 
     return min(range(2, MAX_SMALL + 1), key=lambda b: (cost(b), b))
@@ -249,19 +249,20 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     small = sets.where(f"n > 0 and n < {MAX_SMALL}").groupBy("n").agg(F.count("*").alias("c"))
     boundary = choose_boundary({r["n"]: r["c"] for r in small.collect()}, percent)
 
-    leads = docs.mapInArrow(_leads(size, percent), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    leads = docs.mapInArrow(_leads(size, percent, STEP), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     leads = leads.where(F.col("c") > HEAVY_DOCS).orderBy(F.desc("c"), "h").limit(MAX_HEAVY).select("h").toArrow()
     heavy = sc.broadcast(np.sort(leads["h"].to_numpy().astype(np.int64).view(np.uint64)))
 
-    rows = docs.mapInArrow(_signatures(size, percent, boundary, heavy), "sig long, key long, n long")
+    rows = docs.mapInArrow(_signatures(size, percent, boundary, heavy, STEP), "sig long, key long, n long")
     # One shuffle: equal rows, the count and what follows all go by the signature.
     lists = rows.repartition("sig").dropDuplicates(["sig", "key"])
     for _ in range(PEELED):
         listed = lists.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").drop("c")
         listed = cut_lineage(listed)
         enough = listed.groupBy("key", "n").agg(F.count("*").alias("c"))
-        # The smallest partner of a set is in as many lists as its own size gives.
-        need = F.when(F.col("n") < boundary, 1).otherwise(1 + F.expr(f"((99 + {percent} * n) div 100) div {STEP}"))
+        # The smallest partner of a set is in as many lists as its own size gives, and shares as many.
+        least = F.expr(f"(99 + {percent} * n) div 100")
+        need = F.when(F.col("n") < boundary, 1).otherwise(F.least(F.expr(f"1 + (99 + {percent} * n) div 100 div {STEP}"), least))
         enough = cut_lineage(enough.where(F.col("c") >= need).select("key"))
         lists = lookup_join(listed, enough, ["key"], ["sig"], "inner")
     lists = lists.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").select("sig", "key", "n")
