@@ -1,12 +1,13 @@
 """Licence texts in files, by a positional index of the rarest words of licence templates.
 
 The index holds, for every template, the places of its words, weighted by their inverse document
-frequency over all files. Of each file the ``RAREST`` licence words of highest weight are looked up,
-every place of each; a posting (template, place) and a place in the file give the word at which the
-template would start, and the postings that agree on it support that start. A start is confirmed if one
-of the template's mandatory key phrases stands where it should, give or take ``SLACK`` words, and the
-support is at least ``SUPPORT`` of the weight of the template's ``RAREST`` heaviest postings. Files
-without any key phrase cannot be confirmed, so nothing is looked up for them.
+frequency over all files. A posting (template, place) and a place in the file give the word at which the
+template would start; of the words whose postings agree on a start, the ``RAREST`` of highest weight
+support it, so no template and no word elsewhere in the file takes the place of another's. A start is
+confirmed if one of the template's mandatory key phrases stands where it should, give or take ``SLACK``
+words, and the support is at least ``SUPPORT`` of the weight of the template's ``RAREST`` heaviest postings.
+Files without any key phrase cannot be confirmed, and words beyond the reach of every key phrase support
+nothing, so they are not looked up.
 
 Apart from that, every place of a base phrase is found and its label always kept. The score is 1 for a
 file with a base phrase, else the best confirmed support, else 0.
@@ -135,14 +136,13 @@ def scan(docs: DataFrame, rarest: int = RAREST, support: float = SUPPORT) -> Dat
     )
     files = cut_lineage(files.withColumn("_row", F.monotonically_increasing_id()))
 
-    by_weight = F.transform(
-        F.array_distinct(F.transform("_places", lambda x: x["word"])), lambda w: F.struct((-weight[w]).alias("k"), w.alias("w"))
+    reach = F.create_map(*(F.lit(x) for t, (_, text, _) in enumerate(TEMPLATES) for x in (t, len(text.split()))))
+    near = lambda place: F.exists(
+        "_keys", lambda k: place.between(k["start"] - SLACK, k["start"] + reach[k["template"]] - 1 + SLACK)
     )
-    looked_up = F.transform(F.slice(F.sort_array(by_weight), 1, rarest), lambda x: x["w"])
-    rare = (
+    looked_up = (
         files.where(F.size("_keys") > 0)
-        .select("_row", "_keys", "_places", looked_up.alias("_rare"))
-        .select("_row", "_keys", F.explode(F.filter("_places", lambda x: F.array_contains("_rare", x["word"]))).alias("x"))
+        .select("_row", "_keys", F.explode(F.filter("_places", lambda x: near(x["place"]))).alias("x"))
         .select("_row", "_keys", "x.*")
     )
     index, needed = [], []
@@ -156,12 +156,18 @@ def scan(docs: DataFrame, rarest: int = RAREST, support: float = SUPPORT) -> Dat
     agreed = F.exists(
         "_keys", lambda k: (k["template"] == F.col("template")) & (F.abs(k["start"] - F.col("start")) <= SLACK)
     )
+    heaviest = F.slice(F.sort_array(F.array_distinct("_words")), 1, rarest)
+    support_of = F.aggregate(
+        F.filter(F.sort_array("_words"), lambda x: F.array_contains("_rare", x)), F.lit(0.0), lambda a, x: a - x["k"]
+    )
     confirmed = (
-        rare.join(F.broadcast(postings), "word")
+        looked_up.join(F.broadcast(postings), "word")
         .withColumn("start", F.col("place") - F.col("posting"))
         .where(agreed)
         .groupBy("_row", "template", "start")
-        .agg(F.sum("weight").alias("weight"))
+        .agg(F.collect_list(F.struct((-F.col("weight")).alias("k"), F.col("word").alias("w"))).alias("_words"))
+        .withColumn("_rare", heaviest)
+        .withColumn("weight", support_of)
         .join(F.broadcast(templates), "template")
         .withColumn("score", F.least(F.col("weight") / F.col("needed"), F.lit(1.0)))
         .where(F.col("score") >= support)

@@ -88,3 +88,22 @@ def test_licences(spark):
         assert (r.first_word, r.last_word) == ((min(places), max(places)) if places else (None, None))
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(labels) and math.isfinite(r.score)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_licences_do_not_take_each_others_support(spark):
+    """Files with several licences, and a long one with licence words all over it, have the label of each."""
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    cc = "Licensed under CC BY 4.0."
+    stray = " of a binary charge to copy with permission, redistribution and obtaining forms;" * 20
+    cases = [
+        (gpl, ["gpl-3"]), (gpl + " " + bsd, ["bsd", "gpl-3"]), ("\n".join([gpl, bsd, mpl]), ["bsd", "gpl-3", "mpl-2"]),
+        (cc + " " + bsd, ["bsd", "cc-by"]), (stray + gpl + stray, ["gpl-3"]), (stray + cc + stray, ["cc-by"]),
+        (stray + "Permission is hereby granted, free of charge" + stray, ["mit"]),
+    ]
+    plain = [(100 + i, f"this work is subject to the terms of the public version {i}") for i in range(60)]
+    docs = spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(cases)), *plain], "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
+    assert [found[i] for i in range(len(cases))] == [labels for _, labels in cases]
+    assert not any(found[i] for i, _ in plain)
