@@ -6,8 +6,8 @@ longest host plus path wins.
 
 The tree has one root per host. Level by level, a segment that takes many values for few pages each is
 generalised to ``*``; a segment of a file name keeps its ending (``*.html``). What is deeper than
-``LEVELS`` segments is one ``**``. Sibling templates, which differ in one literal segment only, are merged
-when their labelled shares do not differ beyond chance. A template is rejected if its share of bad pages,
+``LEVELS`` segments is one ``**``. Sibling templates, which differ in their first literal segment only, are
+merged when their labelled shares do not differ beyond chance; those without labels are not merged. A template is rejected if its share of bad pages,
 smoothed towards ``PRIOR`` by ``STRENGTH`` pseudo-pages, reaches ``REJECT``. Labels are what the rules say,
 and, for pages under no rule, bad if a word of the host is a bad word of the small labelled table
 ``BAD_WORDS``; a caller may give labels of their own.
