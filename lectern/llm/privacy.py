@@ -5,7 +5,7 @@ A linear-chain CRF over the shapes of words adds others: phone numbers without a
 spelled with "(at)", numbers cut by marks. It is trained by gradient ascent from a small labelled table
 (:func:`labelled_lines` by default), and labels words as the beginning or the inside of a kind, or
 neither. Prose cannot hold any kind, so a sequence is a run of words within ``NEAR`` words of one with a
-digit, an at sign or "(at)"; all other words have no label. Sequences are decoded by Viterbi in numpy batches. A
+digit, an at sign, "at", "dot", "(at)" or "(dot)"; all other words have no label. Sequences are decoded by Viterbi in numpy batches. A
 decoded span is kept if it passes the same tests of digits as the rules and touches no span of theirs.
 
 Nulls: a null text is an empty one. Repeated rows are treated each for itself. Texts of any length are
@@ -95,7 +95,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 #: Ways to write each kind that the rules miss or find; the CRF sees both.
 _EXAMPLES = {
     "phone": ("(555) 123-4567", "555-123-4567", "(030) 1234 5678", "+1 (168) 555-5254", "030 1234 56789", "555.123.4567", "+49 30 1234567", "(01) 23 45 67 89"),
-    "email": ("anna (at) mail.example.com", "j.doe [at] example.org", "max34 (at) host.example.net", "ann.34@mail7.example.com", "info [at] site.example.de"),
+    "email": ("anna (at) mail.example.com", "j.doe [at] example.org", "max34 (at) host.example.net", "ann.34@mail7.example.com", "info [at] site.example.de",
+              "anna at mail.example.com", "j.doe at example.org", "anna (at) mail (dot) example (dot) com", "info [at] site [dot] example [dot] de",
+              "max34 at host dot example dot net", "ann(at)mail(dot)example(dot)com"),
     "ip": ("97.51.17.173", "10.0.0.1", "192.168.12.254"),
     "card": ("4539 1488 0343 6467", "4539148803436467", "4539.1488.0343.6467", "5500-0055-5555-5559"),
 }
@@ -105,7 +107,7 @@ _OTHERS = (
     "on 2024-05-17 at 12:30", "version 2.0.1 of the work", "pages 100-200 and 300", "the 1234 houses", "CC BY-NC 4.0.",
     'token = "be24be64439e3e49cf46" here', "in 1999 and 2001 they", "costs 12.50 or 1,000 now", "no 4785380592391138 there",
     "item 17 of 20", "at the (at) the", "isbn 978-3-16-148410-0 is", "12% of 3/4", "id 123456789 or 987654321", "b2b a4 h1n1 x86",
-    "the 10 to 20 of 3000", "§ 12 (3) and (4)", "9 8 7 6 5 4 3 2 1", "1) one 2) two 3) three",
+    "the 10 to 20 of 3000", "§ 12 (3) and (4)", "they sat at home and looked at the dot on it", "he was at work at last", "the theater.example.com is here", "9 8 7 6 5 4 3 2 1", "1) one 2) two 3) three",
 )
 
 
@@ -279,6 +281,14 @@ _HOT = np.zeros(256, bool)
 _HOT[[*range(48, 58), 64]] = True
 _BRACKET = np.zeros(256, bool)
 _BRACKET[[40, 91, 123]] = True
+#: An address as rules or words spell it; "at" without a bracket is a word of its own.
+_SPELLED = re.compile(
+    r"[A-Za-z0-9._%+-]+(?:\s*[\[({](?:at|@)[\])}]?\s*|\s*(?:@[\])}]?|at[\])}])\s*|\s+at\s+)"
+    r"[A-Za-z0-9-]+(?:(?:\.|\s*[\[({]dot[\])}]\s*|\s+dot\s+)[A-Za-z0-9-]+)+",
+    re.IGNORECASE,
+)
+_CLOSING = np.zeros(256, bool)
+_CLOSING[[41, 93, 125]] = True
 _EDGE = " .,;:!?|\"'<>"
 
 
@@ -293,24 +303,44 @@ def _trimmed(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
 
 def _plausible(kind: str, text: str) -> bool:
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s*[\[({]?(?:at|@)[\])}]?\s*[A-Za-z0-9-]+(?:(?:\.|\s*[\[({]dot[\])}]\s*)[A-Za-z0-9-]+)+", text))
+        return bool(_SPELLED.fullmatch(text))
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", text)) and _valid(kind, text)
     return _valid(kind, text) and not re.search(r"[^\W\d_]", text)
 
 
+def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where an address may be spelled without signs: at "(at", "[dot", and at "at", "at)" and "dot" as words."""
+    out = np.zeros(len(data), bool)
+    lower, size = data | 32, ends - starts
+    for name in (b"at", b"dot"):
+        n = len(name)
+        at = np.flatnonzero(_BRACKET[data])
+        at = at[at + n < len(data)]
+        for k, byte in enumerate(name, 1):
+            at = at[lower[at + k] == byte]
+        # Not over the end of a word, which may be that of the text.
+        out[at[at + n < ends[np.searchsorted(starts, at, side="right") - 1]]] = True
+        own = starts[size == n]
+        if n == 2:
+            closed = starts[size == n + 1]
+            own = np.append(own, closed[_CLOSING[data[closed + n]]])
+        for k, byte in enumerate(name):
+            own = own[lower[own + k] == byte]
+        out[own] = True
+    return out
+
+
 def find(field: Field, texts: pa.Array) -> list[tuple[list, list]]:
     """(spans of the rules, all spans) of every text, by kind and start."""
     offsets, data = text_buffers(texts)
     n = len(offsets) - 1
-    hot = _HOT[data]
-    # An address spelled with "(at)" or "[at]" has no at sign.
-    hot[:-2] |= _BRACKET[data[:-2]] & (data[1:-1] | 32 == 97) & (data[2:] | 32 == 116)
+    starts, ends = word_places(offsets, SPACED[data])
+    hot = _HOT[data] | _spelled(data, starts, ends)
     with_hot = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hot)])[offsets]) > 0)
     out: list[tuple[list, list]] = [([], [])] * n
     if not len(with_hot):
         return out
-    starts, ends = word_places(offsets, SPACED[data])
     text_of = np.searchsorted(offsets, starts, side="right") - 1
     # Words near a hot one, in the same text.
     place = np.searchsorted(starts, np.flatnonzero(hot), side="right") - 1

@@ -113,3 +113,14 @@ def test_registered(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert set(base) <= set(r.spans.split(",")) | {""}
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x.startswith(k) for x in base) for k in PATTERNS)
+
+
+def test_spelled_addresses_are_whole():
+    spelled = (
+        "anna at mail.example.com", "anna (at) mail (dot) example (dot) com", "j.doe [AT] host [dot] site [dot] example [dot] org",
+        "max at mail dot example dot com", "info(at)site(dot)example(dot)de",
+    )
+    rows = [f"please write to {x} or not" for x in spelled]
+    rows += ["we sat at home and looked at the dot on it", "theater.example.com is a word", "a text that ends with (", "at the start"]
+    found = [[rows[i][a:b] for _, a, b in every] for i, (_, every) in enumerate(pv.find(pv.default_field(), pa.array(rows)))]
+    assert found == [[x] for x in spelled] + [[]] * 4
