@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language, licenses, near_copies, packing, privacy, quality, scoring, token_files, urls
+from lectern.llm import (
+    decontaminate,
+    fingerprints,
+    language,
+    licenses,
+    near_copies,
+    negatives,
+    packing,
+    privacy,
+    quality,
+    runs,
+    scoring,
+    token_files,
+    urls,
+)
 from lectern.llm.subwords import tokenizer_path
 from lectern.session import cut_lineage, scratch_table
 
@@ -291,3 +305,113 @@ FROM l JOIN tree USING (host, path) JOIN pure ON pure.host = l.host AND pure.tem
 def op10_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.usable(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id"), label, F.col("embedding"), lambda x: F.floor(256 * x)
+    )
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = r"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS found_id, a.label = r.label AS same,
+         CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, found_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, found_id) <= 5)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, found_id AS negative_id, positive_score, score AS negative_score
+FROM (
+  SELECT p.*, found_id, score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, found_id) AS k
+  FROM positives p JOIN s USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+WHERE k <= 10
+"""
+
+
+@query
+def op12_fingerprints(spark, sf_dir):
+    return fingerprints.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# Bytes as pairs of hexadecimal digits, one row per triplet; the buckets, costs and steps are written out.
+ORACLES["op12_fingerprints"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+n AS MATERIALIZED (
+  SELECT rid, doc_id, t, lead(rid) OVER w AS after, first_value(rid) OVER w AS first, length(t) AS n
+  FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS MATERIALIZED (
+  SELECT n.rid, n.doc_id, n.n, x.rid AS after, n.t, left(n.t, n.n - n.n // 3) || left(x.t, n.n // 3) AS changed
+  FROM n JOIN d x ON x.rid = coalesce(n.after, n.first)),
+texts AS MATERIALIZED (
+  SELECT rid, 'own' AS kind, t FROM e UNION ALL SELECT rid, 'changed', changed FROM e),
+bytes AS MATERIALIZED (
+  SELECT rid, kind, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM texts),
+triplets AS (
+  SELECT rid, kind, ((x[1] + 256 * x[2] + 65536 * x[3]) * 2654435761 % 4294967296) // 8388608 AS bucket
+  FROM (SELECT rid, kind, unnest(list_zip(b[:-3], b[2:-2], b[3:])) AS z FROM bytes WHERE len(b) > 2)
+  CROSS JOIN LATERAL (SELECT [z[1], z[2], z[3]] AS x)),
+counts AS MATERIALIZED (SELECT rid, kind, bucket, count(*) AS c FROM triplets GROUP BY ALL),
+every AS (
+  SELECT rid, kind, bucket, coalesce(c, 0) AS c
+  FROM (SELECT rid, kind, unnest(range(512)) AS bucket FROM texts) LEFT JOIN counts USING (rid, kind, bucket)),
+lists AS (SELECT rid, kind, list(c ORDER BY bucket) AS cs, list(c ORDER BY c) AS s FROM every GROUP BY ALL),
+prints AS MATERIALIZED (
+  SELECT rid, kind, CAST(floor(4 * log2(1 + len(b))) AS BIGINT) AS steps,
+         list_transform(cs, lambda c: CAST(c > s[128] AS INT) + CAST(c > s[256] AS INT) + CAST(c > s[384] AS INT)) AS q
+  FROM lists JOIN bytes USING (rid, kind)),
+shown AS MATERIALIZED (
+  SELECT rid, kind, steps, q, lower(array_to_string(list_transform(list_prepend(steps, list_transform(range(128),
+         lambda i: 64 * q[4 * i + 1] + 16 * q[4 * i + 2] + 4 * q[4 * i + 3] + q[4 * i + 4])),
+         lambda x: lpad(hex(CAST(x AS BIGINT)), 2, '0')), '')) AS fingerprint
+  FROM prints)
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(changed) AS edited_sha256, o.fingerprint,
+       c.fingerprint AS edited_fingerprint,
+       greatest(832 - list_sum(list_transform(list_zip(o.q, c.q), lambda x: [0, 1, 2, 6][1 + abs(x[1] - x[2])]))
+                    - 16 * least(abs(o.steps - c.steps), 16), 0) / 832 AS near_edited,
+       greatest(832 - list_sum(list_transform(list_zip(o.q, f.q), lambda x: [0, 1, 2, 6][1 + abs(x[1] - x[2])]))
+                    - 16 * least(abs(o.steps - f.steps), 16), 0) / 832 AS near_next
+FROM e JOIN shown o ON o.rid = e.rid AND o.kind = 'own' JOIN shown c ON c.rid = e.rid AND c.kind = 'changed'
+JOIN shown f ON f.rid = e.after AND f.kind = 'own'
+"""
+
+
+@query
+def op13_word_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    start = g % n
+    order = F.when(
+        (h % 10 == 0) & (n > 0),
+        F.struct(start.alias("start"), (1 + F.floor((n - start) / (3 + g % 8))).alias("period")),
+    )
+    found = runs.annotate(docs, order)
+    # Runs come by start, then period, so the first of equal exponents stays.
+    best = F.aggregate(
+        "runs",
+        F.lit(None).cast(found.schema["runs"].dataType.elementType),
+        lambda top, x: F.when(
+            top.isNull() | (x["length"] * top["period"] > top["length"] * x["period"]), x
+        ).otherwise(top),
+    )
+    line = lambda x: F.concat(x["start"], F.lit(","), x["length"], F.lit(","), x["period"], F.lit("\n"))
+    return found.withColumn("top", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("top")[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
