@@ -41,6 +41,7 @@ GRAM = 4
 CANDIDATES = 1 << 18
 
 _SYMBOL = np.uint64(32)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Grammar:
@@ -68,9 +69,11 @@ class Grammar:
             pairs = pairs[order]
             new = np.r_[True, pairs[1:] != pairs[:-1]]
             count = np.bincount(np.cumsum(new) - 1)
-            # Frequency first, then the pair: a number of its own for every pair, 0 for one that stands once.
+            # Frequency first, then a hash, so that of equally frequent pairs in a row many are taken at once:
+            # a number of its own for every pair, 0 for one that stands once.
+            mixed = pairs[new] * _MULTIPLIER
             rank = np.empty(len(count), np.int64)
-            rank[np.argsort(count, kind="stable")] = np.arange(1, len(count) + 1)
+            rank[np.lexsort((mixed ^ (mixed >> _SYMBOL), count))] = np.arange(1, len(count) + 1)
             rank[count < 2] = 0
             here = np.empty(len(live), np.int64)
             here[order] = np.repeat(rank, count)
@@ -150,7 +153,7 @@ def _crossing(words, doc, c, low, high, least, times) -> tuple[np.ndarray, ...]:
     if n > 0 and (longest >= GRAM).any():
         gram = doc[:n].astype(np.uint64)
         for i in range(GRAM):
-            gram = (gram ^ words[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            gram = (gram ^ words[i : i + n].astype(np.uint64)) * _MULTIPLIER
             gram ^= gram >> np.uint64(29)
         order = np.argsort(gram, kind="stable")
         new = np.r_[True, gram[order][1:] != gram[order][:-1]]
