@@ -57,7 +57,7 @@ def turns(spark, d) -> DataFrame:
 
 
 def norm(spark, d, of: DataFrame | None = None) -> DataFrame:
-    return tx.normalize(segments(spark, d, of), repeats=False)
+    return tx.normalize(segments(spark, d, of))
 
 
 def chunks(spark, d) -> DataFrame:
@@ -163,6 +163,64 @@ def tokens_sql(col: str) -> str:
     return f"list_filter(string_split({col}, ' '), lambda w: length(w) >= 2)"
 
 
+#: Passes that the SQL of repeated phrases can take; a phrase said n times in a row needs log2(n) + 1.
+PASSES = 12
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def collapse_ctes(source: str, keys: str) -> str:
+    """Common table expressions on ``source`` that end in ``{source}_once`` (keys, text): pass by pass, the
+    adjacent copies that begin at each word, those that a scan from the left comes to, and the words left."""
+    s, gap = source, WORD.replace("[", "[^", 1)
+    parts = [
+        f"""{s}_cells AS MATERIALIZED (
+          SELECT row_number() OVER () AS rid, {keys}, text, regexp_extract_all(text, '{WORD}') AS words,
+                 regexp_extract(text, '^{gap}') AS head,
+                 regexp_extract_all(regexp_replace(text, '^{gap}', ''), '{gap}') AS gaps FROM {source}),
+        {s}_t0 AS MATERIALIZED (
+          SELECT *, row_number() OVER (PARTITION BY rid ORDER BY k) AS i,
+                 coalesce(sum(CASE WHEN NOT regexp_full_match(g, '[ \\x09-\\x0D\\x1C-\\x1F{tx.WIDE_SPACE}]+') THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY rid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch
+          FROM (SELECT rid, unnest(range(1, len(words) + 1)) AS k, unnest(words) AS raw, unnest(list_transform(words, lambda x: lower(x))) AS w,
+                       unnest(list_transform(range(1, len(words) + 1), lambda j: coalesce(gaps[j], ''))) AS g FROM {s}_cells))"""
+    ]
+    for p in range(PASSES):
+        parts.append(
+            f"""{s}_copies{p} AS MATERIALIZED (
+          SELECT rid, i, max(l) AS l FROM (
+            SELECT rid, l, i, max(i) OVER (PARTITION BY rid, l, island) AS last FROM (
+              SELECT *, sum(cut) OVER (PARTITION BY rid, l ORDER BY i) AS island FROM (
+                SELECT *, CASE WHEN lag(i) OVER n = i - 1 AND lag(same) OVER n THEN 0 ELSE 1 END AS cut
+                FROM (SELECT a.rid, a.i, b.i - a.i AS l, a.g = b.g AS same FROM {s}_t{p} a JOIN {s}_t{p} b
+                      ON a.rid = b.rid AND a.stretch = b.stretch AND a.w = b.w AND a.i < b.i)
+                WINDOW n AS (PARTITION BY rid, l ORDER BY i))))
+          WHERE last >= i + l - 1 GROUP BY rid, i),
+        {s}_scan{p} AS (
+          SELECT rid, min(i) AS i, arg_min(l, i) AS l FROM {s}_copies{p} GROUP BY rid
+          UNION ALL
+          SELECT c.rid, min(b.i), arg_min(b.l, b.i) FROM {s}_scan{p} c JOIN {s}_copies{p} b ON b.rid = c.rid AND b.i >= c.i + 2 * c.l
+          GROUP BY c.rid),
+        {s}_taken{p} AS MATERIALIZED (SELECT * FROM {s}_scan{p}),
+        {s}_t{p + 1} AS MATERIALIZED (
+          SELECT t.rid, t.k, t.raw, t.w, coalesce(after.g, t.g) AS g, row_number() OVER (PARTITION BY t.rid ORDER BY t.k) AS i, t.stretch
+          FROM {s}_t{p} t
+          LEFT JOIN (SELECT c.rid, c.i + c.l - 1 AS i, t.g FROM {s}_taken{p} c JOIN {s}_t{p} t ON t.rid = c.rid AND t.i = c.i + 2 * c.l - 1) after
+            ON after.rid = t.rid AND after.i = t.i
+          LEFT JOIN (SELECT rid, unnest(range(i + l, i + 2 * l)) AS i FROM {s}_taken{p}) gone ON gone.rid = t.rid AND gone.i = t.i
+          WHERE gone.i IS NULL AND t.rid IN (SELECT rid FROM {s}_taken{p}))"""
+        )
+    last = " UNION ALL ".join(
+        f"SELECT rid, {p} AS pass, raw, g, i FROM {s}_t{p}" for p in range(1, PASSES + 1)
+    )
+    parts.append(
+        f"""{s}_once AS MATERIALIZED (
+          SELECT {keys}, coalesce(head || told, text) AS text FROM {s}_cells LEFT JOIN (
+            SELECT rid, arg_max(told, pass) AS told FROM (
+              SELECT rid, pass, string_agg(raw || g, '' ORDER BY i) AS told FROM ({last}) GROUP BY rid, pass) GROUP BY rid) USING (rid))"""
+    )
+    return ",\n".join(parts)
+
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "segments": (
         (),
@@ -178,7 +236,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT CAST(conv_id AS VARCHAR) AS video_id, CAST(turn AS DOUBLE) AS start,
                   CAST(1 AS DOUBLE) AS duration, 'en' AS lang, text FROM conversations""",
     ),
-    "norm": (("segments",), f"SELECT *, {stop_sql(clean_sql('text'))} AS normalized_text FROM segments"),
+    "segments_once": (("segments",), collapse_ctes("segments", "video_id, start, duration, lang")),
+    "turns_once": (("turns",), collapse_ctes("turns", "video_id, start, duration, lang")),
+    "norm": (("segments_once",), f"SELECT *, {stop_sql(clean_sql('text'))} AS normalized_text FROM segments_once"),
     "joined": (
         ("norm",),
         """SELECT video_id, string_agg(normalized_text, ' ' ORDER BY start) AS full_text,
@@ -272,5 +332,7 @@ def sql(needs: str, body: str) -> str:
 
     for name in needs.split():
         visit(name)
-    parts = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name][1]})" for name in order)
-    return f"WITH {parts}\n{body}"
+    # Some names stand for a chain of expressions of their own.
+    whole = lambda name: CTES[name][1] if name.endswith("_once") else f"{name} AS MATERIALIZED ({CTES[name][1]})"
+    parts = ",\n".join(map(whole, order))
+    return f"WITH RECURSIVE {parts}\n{body}"

@@ -47,12 +47,28 @@ def _(spark, d):
     return b.norm(spark, d).select("video_id", "start", "normalized_text")
 
 
-@query("normalize_full")
+@query("normalize_full", sql("norm", "SELECT video_id, start, normalized_text FROM norm"))
 def _(spark, d):
     return tx.normalize(b.segments(spark, d)).select("video_id", "start", "normalized_text")
 
 
-@query("collapse_repeats")
+@query(
+    "clean_text",
+    sql("segments", f"SELECT video_id, start, {b.stop_sql(b.clean_sql('text'))} AS normalized_text FROM segments"),
+)
+def _(spark, d):
+    """The steps after repeated phrases, on raw text: all of them in the JVM."""
+    cleaned = tx.remove_stop_words(tx.clean_text(F.col("text")))
+    return b.segments(spark, d).select("video_id", "start", cleaned.alias("normalized_text"))
+
+
+@query(
+    "collapse_repeats",
+    sql(
+        "segments_once turns_once",
+        "SELECT video_id, start, text FROM segments_once UNION ALL SELECT video_id, start, text FROM turns_once",
+    ),
+)
 def _(spark, d):
     turns = b.turns(spark, d).select("video_id", "start", "text")
     lines = b.segments(spark, d).select("video_id", "start", "text")

@@ -1,11 +1,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.functions.repeats import collapse_text
+from lectern.functions.repeats import collapse_text, collapse_texts, may_change
 from lectern.plans import views as v
 
 
@@ -76,6 +77,27 @@ def test_collapse_column_sends_only_what_can_change(spark):
     assert got == {i: collapse_text(t) for i, t in enumerate(texts)}
 
 
+def test_whole_batches_miss_no_text_that_changes():
+    rnd = random.Random(11)
+    letters = ["a", "b", "cé", "A", "B"]
+    odd = ["É", "é", "ß", "x_1", "ſ", "İ", "\u212a", "ж", "\u01c5", "\u023a", "²", "\u0130i", "i\u0307"]
+    gaps = [" "] * 6 + ["  ", ", ", "\n", "", "\u2014", " - ", "\u2019", "\u2003", "×", "\xa0", "\x1c", "«", "º"]
+    texts = [
+        "".join(rnd.choice(odd if rnd.random() < 0.1 else letters) + rnd.choice(gaps) for _ in range(rnd.randint(0, 24)))
+        for _ in range(6000)
+    ]
+    # Two words that stand together often, without and with a copy at the end.
+    texts += ["a b " + " ".join(f"{i} a b" for i in range(40)), "a b " + " ".join(f"{i} a b" for i in range(40)) + " 39 a b"]
+    want = [collapse_text(t) for t in texts]
+    flagged = may_change(pa.array(texts))
+    assert not [t for t, w, f in zip(texts, want, flagged) if t != w and not f]
+    assert not may_change(pa.array(["a b c", "a, a", "one two\u2014one two", "", "été \u201cété\u201d"])).any()
+    with_nulls = pa.array([*texts, None])
+    assert collapse_texts(with_nulls).to_pylist() == [*want, None]
+    assert collapse_texts(with_nulls.slice(7, 900)).to_pylist() == want[7:907]
+    assert collapse_texts(with_nulls.slice(0, 0)).to_pylist() == []
+
+
 def test_collapse_long_text_with_many_copies():
     assert collapse_text("x y z " * 20_000) == "x y z "
 
