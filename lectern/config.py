@@ -23,10 +23,9 @@ class TopicSettings:
     project_dims: int = 5
     # None: a fifth of the spread along the widest coordinate.
     cell_size: float | None = None
-    min_points: int = 15
-    min_cluster_size: int = 5
-    # Of all chunks; takes over from the two limits above as the data grows.
+    # A topic has so large a share of all chunks, and so many at least.
     min_share: float = 0.005
+    min_cluster_size: int = 5
     num_topics: int | None = None
     top_words: int = 10
     representative_docs: int = 3

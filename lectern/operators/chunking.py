@@ -33,11 +33,11 @@ def join_segments(
 def _deal(df: DataFrame, keys: Sequence[str], text_col: str, order_col: str, block_span: int) -> DataFrame:
     """The one shuffle of the texts: segments of a block meet in one partition.
 
-    Everything later reads these same columns, so that Spark reuses the exchange.
+    Everything later reads these same columns, so that Spark reuses the exchange. Segments without text
+    come along: a filter on the text would be worked out below its clean-up, which would then run twice.
     """
     return (
-        df.where(F.col(text_col).isNotNull())
-        .select(
+        df.select(
             *keys,
             F.coalesce(block_of(F.col(order_col), block_span), F.lit(-1)).alias("block_id"),
             F.col(order_col).alias("_start"),
@@ -52,9 +52,10 @@ def _places(dealt: DataFrame, keys: Sequence[str]) -> DataFrame:
     ordered = Window.partitionBy(*keys).orderBy("block_id")
     whole = Window.partitionBy(*keys)
     sizes = dealt.groupBy(*keys, "block_id").agg(
-        F.sum(F.length("_text") + 1).alias("_len"), F.min("_start").alias("_first")
+        F.sum(F.length("_text") + 1).alias("_len"),
+        F.min(F.when(F.col("_text").isNotNull(), F.col("_start"))).alias("_first"),
     )
-    return sizes.select(
+    return sizes.where("_len is not null").select(
         *keys,
         "block_id",
         F.coalesce(

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.config import OUTLIER_TOPIC
-from lectern.operators.skew import lookup_join
+from lectern.operators.skew import is_small, lookup_join
 from lectern.session import cut_lineage
 
 KEY = ("video_id", "chunk_id")
@@ -72,7 +74,8 @@ def suggested_cell_size(df: DataFrame, share: float = 0.2, vector_col: str = "pr
     if not dims:
         return 1.0
     spread = df.agg(F.array_max(F.array(*[F.stddev_pop(F.col(vector_col)[i]) for i in range(dims)]))).first()[0]
-    return share * spread if spread else 1.0
+    # Rounded, so that it does not hang on the order in which the rows were summed.
+    return float(f"{share * spread:.3g}") if spread else 1.0
 
 
 def cluster_density(
@@ -136,6 +139,173 @@ def cluster_density(
     )
 
 
+#: Steps of density for every halving, and the most there can be.
+STEPS, LEVELS = 2, 128
+#: The smallest share of all points a cluster may ask for: bounds the tree that the driver sees.
+LEAST_SHARE = 1e-5
+#: Up to so many links the components of the tree are found in one task.
+MAX_TASK_LINKS = 2_000_000
+
+
+def density_tree(
+    df: DataFrame,
+    cell_size: float,
+    min_share: float = 0.005,
+    min_size: int = 5,
+    keys: Sequence[str] = KEY,
+    vector_col: str = "projected",
+) -> DataFrame:
+    """(keys, topic_id): the most persistent clusters over all levels of density, noise as -1, largest first as 0.
+
+    The space is divided into cells of side ``cell_size``; the density of a cell is the number of points
+    in it and in the cells that touch it. Levels of density go down from the densest cell, ``STEPS`` for
+    every halving. At each level the cells that are at least so dense and touch belong together, so the
+    parts of a level lie in those of the next one: a tree. A part counts if it holds ``min_share`` of all
+    points (``min_size`` points at least). Where a part falls into two or more that count, it ends and these
+    begin. A cluster's persistence is the number of its points summed over the levels it lasts, each level
+    weighed by the step in the inverse distance between points that it stands for. Going up from the
+    leaves, a cluster is taken if it is more persistent than those below it together. The whole table is a
+    cluster only if nothing ever splits off in two.
+
+    All limits go by shares, so repeating every point changes nothing as soon as ``min_share`` of the points
+    is ``min_size`` or more. All work is on counts per cell and level; no pairs of points are formed, and the
+    driver sees only parts that count, at most ``1 / min_share`` a level. Cells touch 3^k - 1 others, so
+    project to a few dimensions first. Rows without a vector are noise.
+    """
+    if min_share < LEAST_SHARE:
+        raise ValueError(f"min_share is at least {LEAST_SHARE}")
+    keys = list(keys)
+    dims = _width(df, vector_col)
+    if not dims:
+        return df.select(*keys, F.lit(OUTLIER_TOPIC).alias("topic_id"))
+    points = df.select(
+        *keys, F.transform(vector_col, lambda x: F.floor(x / cell_size).cast("bigint")).alias("cell")
+    )
+    counted = points.where("cell is not null").groupBy("cell").agg(F.count("*").alias("n"))
+    cells = cut_lineage(counted.withColumn("id", F.monotonically_increasing_id()))
+    pairs = cut_lineage(_touching(cells, dims))
+    near = pairs.groupBy(F.col("b").alias("cell")).agg(F.sum("n").alias("near"))
+    dense = cut_lineage(
+        cells.join(near, "cell", "left").select("id", "cell", "n", (F.col("n") + F.coalesce("near", F.lit(0))).cast("double").alias("density"))
+    )
+    total, top = dense.agg(F.sum("n"), F.max("density")).first()
+    least = max(min_size, math.ceil(min_share * total))
+    # A level is the number of steps whose bound lies above the density; squares keep the bounds exact.
+    steps = F.sequence(F.lit(0), F.lit(LEVELS - 2))
+    bound = lambda k: F.col("density") * F.col("density") * F.pow(F.lit(2.0), 2 * k / STEPS) < top * top
+    levelled = cut_lineage(dense.withColumn("level", F.size(F.filter(steps, bound))))
+    last = levelled.agg(F.max("level")).first()[0]
+    node = lambda i, k: F.col(i) * LEVELS + F.col(k)
+    end = lambda x: levelled.select(F.col("cell").alias(x), F.col("id").alias(f"id_{x}"), F.col("level").alias(f"level_{x}"))
+    links = (
+        pairs.join(end("a"), "a")
+        .join(end("b"), "b")
+        .where("id_a < id_b")
+        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.greatest("level_a", "level_b").alias("level"))
+    )
+    # Links that close a circle at their level connect nothing new: dropped in every task, then once more.
+    forest = cut_lineage(_forest(links))
+    if is_small(forest, MAX_TASK_LINKS):
+        forest = cut_lineage(_forest(forest.repartition(1)))
+    links = forest.withColumn("k", F.explode(F.sequence("level", F.lit(last)))).select(
+        node("a", "k").alias("a"), node("b", "k").alias("b")
+    )
+    nodes = levelled.select("id", "n", F.explode(F.sequence("level", F.lit(last))).alias("k")).select(
+        node("id", "k").alias("node"), "id", "n"
+    )
+    parts = cut_lineage(nodes.join(_parts(nodes, cut_lineage(links)), "node", "left").withColumn("part", F.coalesce("part", "node")))
+    # The part of the next level down holds the same cells.
+    below = parts.select((F.col("node") - 1).alias("part"), F.col("part").alias("parent"))
+    tree = (
+        parts.groupBy("part").agg(F.sum("n").alias("size")).where(F.col("size") >= least)
+        .join(below, "part", "left").select("part", "parent", "size").collect()
+    )
+    taken = df.sparkSession.createDataFrame([(x,) for x in _persistent([tuple(r) for r in tree], dims)], "part long")
+    placed = cut_lineage(parts.join(F.broadcast(taken), "part").select("part", "id").join(levelled, "id").select("part", "cell", "n"))
+    sizes = placed.groupBy("part").agg(F.sum("n").alias("n"), F.min("cell").alias("first"))
+    order = Window.orderBy(F.desc("n"), "first")
+    ranked = sizes.select("part", (F.row_number().over(order) - 1).cast("int").alias("topic_id"))
+    topics = placed.join(F.broadcast(ranked), "part").select("cell", "topic_id")
+    return lookup_join(points, topics, ["cell"], keys, "left").select(
+        *keys, F.coalesce("topic_id", F.lit(OUTLIER_TOPIC)).alias("topic_id")
+    )
+
+
+def _forest(links: DataFrame) -> DataFrame:
+    """Of the links (a, b, level) of each partition a forest that connects the same nodes at every level."""
+
+    def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        for batch in batches:
+            kept = []
+            for i, (a, b) in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)):
+                while (up := root.get(a, a)) != a:
+                    root[a] = a = root.get(up, up)
+                while (up := root.get(b, b)) != b:
+                    root[b] = b = root.get(up, up)
+                if a != b:
+                    root[b] = a
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return links.sortWithinPartitions("level", "a", "b").mapInArrow(spanning, links.schema)
+
+
+def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, part) of linked nodes: the smallest node that can be reached. Small tables in one task."""
+    if not is_small(links, MAX_TASK_LINKS):
+        return connected_components(nodes.select("node"), links).withColumnRenamed("component", "part")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [(x["a"].to_numpy(), x["b"].to_numpy()) for x in batches]
+        if not pairs:
+            return
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        names, place = np.unique(np.r_[a, b], return_inverse=True)
+        a, b = place[: len(a)], place[len(a) :]
+        root = np.arange(len(names))
+        while (root[a] != root[b]).any():
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["node", "part"])
+
+    return links.repartition(1).mapInArrow(joined, "node long, part long")
+
+
+def _persistent(tree: list[tuple], dims: int) -> list[int]:
+    """The parts taken as clusters; ``tree`` has (part, part of the next level down or null, points)."""
+    inner: dict[int, list[int]] = {}
+    known = {part for part, _, _ in tree}
+    roots = []
+    for part, parent, _ in tree:
+        (inner.setdefault(parent, []) if parent in known else roots).append(part)
+    step = lambda k: 2.0 ** (-k / (STEPS * dims))
+    own: dict[int, float] = {}
+    best: dict[int, float] = {}
+    splits: dict[int, list[int]] = {}
+    for part, _, size in sorted(tree, key=lambda r: (r[0] % LEVELS, r[0])):
+        level, mine = part % LEVELS, inner.get(part, [])
+        own[part] = size * (step(level) - step(level + 1))
+        if len(mine) == 1:
+            own[part] += own[mine[0]]
+            splits[part] = splits[mine[0]]
+        else:
+            splits[part] = mine
+        best[part] = max(own[part], sum(best[x] for x in splits[part]))
+    taken, open_ = [], roots
+    if len(roots) == 1 and splits[roots[0]]:
+        open_ = list(splits[roots[0]])
+    while open_:
+        part = open_.pop()
+        if own[part] >= sum(best[x] for x in splits[part]):
+            taken.append(part)
+        else:
+            open_ += splits[part]
+    return taken
+
+
 def _touching(cells: DataFrame, dims: int) -> DataFrame:
     """(a, b, n): pairs of occupied cells that touch, with the points of a."""
     moved = cells.select(F.col("cell").alias("a"), "n", F.array().cast("array<bigint>").alias("b"))

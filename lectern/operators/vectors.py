@@ -104,10 +104,24 @@ def fit_projection(df: DataFrame, k: int, vector_col: str = "embedding") -> PCAM
 
 
 def project(df: DataFrame, k: int, vector_col: str = "embedding", out: str = "projected") -> DataFrame:
-    """Add the ``k`` principal coordinates of every vector as array<double>."""
-    model = fit_projection(df, k, vector_col)
-    placed = model.transform(_with_vector(df, vector_col))
-    return placed.withColumn(out, vector_to_array("_p")).drop("_v", "_p")
+    """Add the ``k`` principal coordinates of every vector as array<double>.
+
+    An axis points to where its largest coefficient is positive. Rows without a vector get null, and so
+    does every row where no vector is.
+    """
+    known = df.where(F.col(vector_col).isNotNull())
+    if known.isEmpty():
+        return df.withColumn(out, F.lit(None).cast("array<double>"))
+    axes = fit_projection(known, k, vector_col).pc.toArray()
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
+    return df.withColumn(out, along_axes(F.col(vector_col), axes))
+
+
+def along_axes(vector: Column, axes: np.ndarray) -> Column:
+    """Products of a vector with the columns of a small matrix, in the JVM; null for a null vector."""
+    lit = lambda axis: F.lit([float(x) for x in axis])
+    dot = lambda axis: F.aggregate(F.zip_with(vector, lit(axis), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x)
+    return F.when(vector.isNotNull(), F.array(*[dot(axis) for axis in axes.T]))
 
 
 def project_2d(df: DataFrame, vector_col: str = "embedding") -> DataFrame:

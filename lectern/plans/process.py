@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -62,14 +62,16 @@ def process(
     vectors = cut_lineage(embedded.select(*KEY, "embedding"))
 
     with_vector = vectors.withColumn("v", array_to_vector(F.col("embedding").cast("array<double>")))
-    projection = Pipeline(stages=[PCA(k=topic_cfg.project_dims, inputCol="v", outputCol="p")]).fit(with_vector)
-    flat = cut_lineage(projection.transform(with_vector).select(*KEY, vector_to_array("p").alias("projected")))
+    if with_vector.isEmpty():
+        # Nothing to learn axes from: a model without stages, and no coordinates.
+        projection = PipelineModel([])
+        flat = vectors.select(*KEY, F.lit(None).cast("array<double>").alias("projected"))
+    else:
+        projection = Pipeline(stages=[PCA(k=topic_cfg.project_dims, inputCol="v", outputCol="p")]).fit(with_vector)
+        flat = cut_lineage(projection.transform(with_vector).select(*KEY, vector_to_array("p").alias("projected")))
 
     side = topic_cfg.cell_size or cl.suggested_cell_size(flat)
-    found = cl.cluster_density(
-        flat, side, topic_cfg.min_points, topic_cfg.min_cluster_size, min_share=topic_cfg.min_share
-    )
-    assigned = cut_lineage(found)
+    assigned = cut_lineage(cl.density_tree(flat, side, topic_cfg.min_share, topic_cfg.min_cluster_size))
     if topic_cfg.num_topics is not None:
         # The topics that were found are merged along their tree; outliers stay outliers.
         weighted = cut_lineage(tm.ctfidf(tm.term_counts(chunks.join(assigned, KEY), topic_cfg.min_df)))

@@ -80,17 +80,89 @@ def _(spark, d):
     return found.select("video_id", "chunk_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(3)])
 
 
-@query("project_2d")
+#: The covariance is squared so often that only its largest axis is left.
+SQUARINGS = 14
+
+
+def axes_ctes(name: str, cells: str, rows: str, k: int) -> str:
+    """Common table expressions that end in ``{name}_axes`` (t, i, v): the ``k`` principal axes of the vectors
+    whose non-zero cells are ``cells`` (key, i, v), out of ``rows`` vectors; one axis after the other is taken
+    out of the covariance. The largest coefficient of an axis is positive."""
+    parts = [
+        f"""{name}_c0 AS MATERIALIZED (
+          SELECT i, j, (coalesce(s, 0) - n * a.m * b.m) / (n - 1) AS v
+          FROM (SELECT i, sum(v) / any_value(r.n) AS m FROM {cells}, ({rows}) r GROUP BY i) a
+          CROSS JOIN (SELECT i AS j, sum(v) / any_value(r.n) AS m FROM {cells}, ({rows}) r GROUP BY i) b
+          CROSS JOIN ({rows}) r
+          LEFT JOIN (SELECT x.i, y.i AS j, sum(x.v * y.v) AS s FROM {cells} x JOIN {cells} y USING (key) GROUP BY ALL) USING (i, j))"""
+    ]
+    for t in range(k):
+        parts.append(
+            f"""{name}_p{t} AS (
+          SELECT 0 AS k, i, j, v / (SELECT sum(v) FROM {name}_c{t} WHERE i = j) AS v FROM {name}_c{t}
+          UNION ALL
+          SELECT k, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () FROM (
+            SELECT a.k + 1 AS k, a.i, b.j, sum(a.v * b.v) AS v FROM {name}_p{t} a JOIN {name}_p{t} b ON a.j = b.i
+            WHERE a.k < {SQUARINGS} GROUP BY a.k, a.i, b.j)),
+        {name}_a{t} AS MATERIALIZED (
+          SELECT i, v * sign(arg_max(v, abs(v)) OVER ()) / sqrt(sum(v * v) OVER ()) AS v FROM {name}_p{t}
+          WHERE k = {SQUARINGS} AND j = (SELECT arg_max(i, v) FROM {name}_p{t} WHERE k = {SQUARINGS} AND i = j)),
+        {name}_c{t + 1} AS MATERIALIZED (
+          SELECT c.i, c.j, c.v - l.l * x.v * y.v AS v
+          FROM {name}_c{t} c JOIN {name}_a{t} x ON x.i = c.i JOIN {name}_a{t} y ON y.i = c.j
+          CROSS JOIN (SELECT sum(x.v * c.v * y.v) AS l FROM {name}_c{t} c JOIN {name}_a{t} x ON x.i = c.i JOIN {name}_a{t} y ON y.i = c.j) l)"""
+        )
+    every = " UNION ALL ".join(f"SELECT {t} AS t, i, v FROM {name}_a{t}" for t in range(k))
+    parts.append(f"{name}_axes AS MATERIALIZED ({every})")
+    return ",\n".join(parts)
+
+
+def coordinates(name: str, cells: str) -> str:
+    """(key, t, value): the coordinates of the vectors that have a cell other than zero."""
+    return f"SELECT key, t, sum(c.v * a.v) AS value FROM {cells} c JOIN {name}_axes a USING (i) GROUP BY key, t"
+
+
+b.CTES["chunk_axes_once"] = (
+    ("embedded",),
+    "chunk_cells AS MATERIALIZED (SELECT ROW(video_id, chunk_id) AS key, dim AS i, CAST(v AS DOUBLE) AS v FROM embedded), "
+    + axes_ctes("chunk", "chunk_cells", "SELECT count(*) AS n FROM chunks", 5),
+)
+# A chunk without words has all coordinates zero.
+b.CTES["flat"] = (
+    ("chunk_axes_once",),
+    f"""SELECT c.video_id, c.chunk_id, a.t, coalesce(value, 0) AS value FROM chunks c CROSS JOIN (SELECT unnest(range(5)) AS t) a
+        LEFT JOIN ({coordinates("chunk", "chunk_cells")}) p ON p.key = ROW(c.video_id, c.chunk_id) AND p.t = a.t""",
+)
+
+
+@query(
+    "project_2d",
+    sql(
+        "topic_chunks flat",
+        """SELECT video_id, chunk_id, topic_id, start_time, normalized_text, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y
+           FROM topic_chunks JOIN (SELECT video_id, chunk_id, sum(value) FILTER (t = 0) AS x, sum(value) FILTER (t = 1) AS y
+                                   FROM flat GROUP BY ALL) USING (video_id, chunk_id)""",
+    ),
+)
 def _(spark, d):
     vectors = b.stored(embedded(spark, d))
     placed = vc.project_2d(vectors)
     topics = b.topic_chunks(spark, d)
-    return vc.scatter_data(topics, placed)
+    shown = vc.scatter_data(topics, placed)
+    return shown.withColumns({c: F.round(c, 6) + 0.0 for c in ("x", "y")})
+
 
+_CELLS = "SELECT vec_id AS key, unnest(range(len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings"
+AXES = f"WITH RECURSIVE e_cells AS MATERIALIZED ({_CELLS}),\n" + axes_ctes("e", "e_cells", "SELECT count(*) AS n FROM embeddings", 5)
 
-@query("project_5d")
+
+@query(
+    "project_5d",
+    f"""{AXES} SELECT key AS vec_id, CAST(t AS INTEGER) AS dim, round(value, 6) + 0.0 AS value FROM ({coordinates("e", "e_cells")})""",
+)
 def _(spark, d):
-    return vc.project(b.table(spark, d, "embeddings"), 5).select("vec_id", F.posexplode("projected").alias("dim", "value"))
+    placed = vc.project(b.table(spark, d, "embeddings"), 5)
+    return placed.select("vec_id", F.posexplode("projected").alias("dim", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
 KNN_SQL = """SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(distance, 6) AS distance FROM (

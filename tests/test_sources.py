@@ -119,7 +119,7 @@ def test_ingest_process_evaluate(spark, tmp_path):
     labelled = spark.createDataFrame(
         [("bread butter", "positive"), ("brake fuel", "negative"), ("reef", "neutral")], "normalized_text string, label string"
     )
-    settings = Settings(topics=TopicSettings(dims=64, project_dims=2, cell_size=0.3, min_points=3, min_cluster_size=3, min_df=1))
+    settings = Settings(topics=TopicSettings(dims=64, project_dims=2, cell_size=0.3, min_cluster_size=3, min_df=1))
     model = process(spark, base, sn.learn_polarity(labelled), settings=settings)
     chunks = tables.read_tables(spark, base, "processed")["chunks"]
     rows = chunks.collect()
@@ -141,13 +141,26 @@ def test_ingest_process_evaluate(spark, tmp_path):
     assert tables.register_views(spark, base) == ["raw_transcripts", "raw_metadata", "processed_chunks"]
 
     fixed = Settings(
-        topics=TopicSettings(dims=64, project_dims=2, cell_size=0.3, min_points=3, min_cluster_size=3, min_df=1, num_topics=2)
+        topics=TopicSettings(dims=64, project_dims=2, cell_size=0.3, min_cluster_size=3, min_df=1, num_topics=2)
     )
     process(spark, base, sn.learn_polarity(labelled), settings=fixed, sample=20)
     again = tables.read_tables(spark, base, "processed")["chunks"]
     assert again.count() == 20 and {r.topic_id for r in again.collect()} - {-1} == {0, 1}
 
 
+def test_process_of_empty_tables(spark, tmp_path):
+    from lectern.sources.captions import TRANSCRIPTS
+
+    meta = "video_id string, title string, channel_id string, channel_name string, publish_date date, view_count bigint"
+    raw = {"transcripts": spark.createDataFrame([], TRANSCRIPTS), "metadata": spark.createDataFrame([], meta)}
+    tables.write_tables(raw, str(tmp_path), "raw")
+    labelled = spark.createDataFrame([("bread butter", "positive")], "normalized_text string, label string")
+    model = process(spark, str(tmp_path), sn.learn_polarity(labelled))
+    assert tables.read_tables(spark, str(tmp_path), "processed")["chunks"].count() == 0
+    assert model.topic_info.count() == 0 and model.tables["hierarchy"].count() == 0
+    assert load_topic_model(spark, f"{tmp_path}/model").topic_info.count() == 0
+
+
 def test_process_needs_raw_tables(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         process(spark, str(tmp_path), (None, None))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -125,6 +126,109 @@ def test_density_by_share_does_not_depend_on_the_number_of_points(spark):
     assert found[0] == found[1] and set(found[0].values()) >= {0, 1, 2}
 
 
+def blobs_of_all_kinds(rng):
+    """A dense pair side by side, a thin wide cloud, and scattered points."""
+    parts = [((0, 0), 0.1, 150), ((1.1, 0), 0.1, 150), ((8, 8), 1.2, 200)]
+    points = [(rng.gauss(x, s), rng.gauss(y, s)) for (x, y), s, n in parts for _ in range(n)]
+    return points + [(rng.uniform(-20, 30), rng.uniform(-20, 30)) for _ in range(40)]
+
+
+def test_tree_finds_clusters_of_different_density_whatever_the_number_of_points(spark):
+    points = blobs_of_all_kinds(random.Random(4))
+    found = []
+    for times in (1, 10, 30):
+        rows = [(i * times + k, [x, y]) for i, (x, y) in enumerate(points) for k in range(times)]
+        df = spark.createDataFrame(rows, "vec_id bigint, projected array<double>").repartition(3)
+        got = cl.density_tree(df, 0.4, 0.05, 5, ["vec_id"]).collect()
+        assert len(got) == len(rows)
+        per = {}
+        for r in got:
+            per.setdefault(r.vec_id // times, set()).add(r.topic_id)
+        assert all(len(x) == 1 for x in per.values())
+        found.append({i: x.pop() for i, x in per.items()})
+    assert found[0] == found[1] == found[2]
+    main = [max(set(g), key=g.count) for g in ([found[0][i] for i in p] for p in (range(150), range(150, 300), range(300, 500)))]
+    assert sorted(main) == [0, 1, 2]
+    assert sum(found[0][i] == main[0] for i in range(150)) > 140 and sum(found[0][i] == main[2] for i in range(300, 500)) > 150
+    assert sum(found[0][i] == -1 for i in range(500, 540)) > 25
+
+
+def brute_tree(cells, dims, least):
+    """Clusters of counted cells by walking every level and part."""
+    near = {c: [d for d in cells if d != c and all(abs(x - y) <= 1 for x, y in zip(c, d))] for c in cells}
+    density = {c: cells[c] + sum(cells[d] for d in near[c]) for c in cells}
+    top = max(density.values())
+    level = {c: sum(density[c] ** 2 * 2.0**k < top**2 for k in range(127)) for c in cells}
+    last = max(level.values())
+
+    def parts(k, among):
+        left, out = {c for c in among if level[c] <= k}, []
+        while left:
+            todo, part = [left.pop()], set()
+            while todo:
+                c = todo.pop()
+                part.add(c)
+                todo += [d for d in near[c] if d in left]
+                left -= set(near[c])
+            out.append(frozenset(part))
+        return [p for p in out if sum(cells[c] for c in p) >= least]
+
+    weight = lambda part, k: sum(cells[c] for c in part) * (2.0 ** (-k / 2 / dims) - 2.0 ** (-(k + 1) / 2 / dims))
+
+    def follow(part, k):
+        """(persistence while it does not split, clusters it splits into)."""
+        mine, inner = weight(part, k), parts(k - 1, part) if k else []
+        if len(inner) == 1:
+            more, splits = follow(inner[0], k - 1)
+            return mine + more, splits
+        return mine, [(p, k - 1) for p in inner]
+
+    def best(part, k):
+        own, splits = follow(part, k)
+        below = [best(*x) for x in splits]
+        if own >= sum(x[0] for x in below):
+            return own, [part]
+        return sum(x[0] for x in below), [p for x in below for p in x[1]]
+
+    roots = [(p, last) for p in parts(last, cells)]
+    if len(roots) == 1:
+        roots = follow(*roots[0])[1] or roots
+    return [p for r in roots for p in best(*r)[1]]
+
+
+def test_tree_equals_walking_every_level(spark, monkeypatch):
+    for seed in range(3):
+        rng = random.Random(seed)
+        points = blobs_of_all_kinds(rng) + [(rng.gauss(-6, 0.5), rng.gauss(3, 0.2)) for _ in range(60)]
+        cells = {}
+        for x, y in points:
+            c = (math.floor(x / 0.5), math.floor(y / 0.5))
+            cells[c] = cells.get(c, 0) + 1
+        want = sorted(brute_tree(cells, 2, 15), key=lambda p: (-sum(cells[c] for c in p), min(p)))
+        if seed == 2:
+            # The way of tables that are too large for one task.
+            monkeypatch.setattr(cl, "MAX_TASK_LINKS", 3)
+        df = spark.createDataFrame([(i, [x, y]) for i, (x, y) in enumerate(points)], "vec_id bigint, projected array<double>")
+        got = cl.density_tree(df, 0.5, 0.00001, 15, ["vec_id"]).collect()
+        topic = {c: t for t, p in enumerate(want) for c in p}
+        cell = lambda i: (math.floor(points[i][0] / 0.5), math.floor(points[i][1] / 0.5))
+        assert {r.vec_id: r.topic_id for r in got} == {i: topic.get(cell(i), -1) for i in range(len(points))}
+
+
+def test_tree_of_one_cluster_small_and_empty_tables(spark):
+    rows = [(i, [0.0, 0.1]) for i in range(9)] + [(9, None), (10, [50.0, 50.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, projected array<double>")
+    got = {r.vec_id: r.topic_id for r in cl.density_tree(df, 0.5, keys=["vec_id"]).collect()}
+    assert got == {**{i: 0 for i in range(9)}, 9: -1, 10: -1}
+    assert {r.topic_id for r in cl.density_tree(df, 0.5, min_size=50, keys=["vec_id"]).collect()} == {-1}
+    assert cl.density_tree(df.limit(0), 0.5, keys=["vec_id"]).collect() == []
+    with pytest.raises(ValueError):
+        cl.density_tree(df, 0.5, min_share=0.0, keys=["vec_id"])
+    vectors = df.select("vec_id", F.col("projected").alias("embedding"))
+    assert vc.project_2d(vectors.limit(0)).collect() == []
+    assert [r.projected for r in vc.project(vectors.where("embedding is null"), 2).collect()] == [None]
+
+
 def test_no_points_and_null_vectors(spark):
     empty = spark.createDataFrame([], "vec_id bigint, projected array<double>")
     assert cl.suggested_cell_size(empty) == 1.0
