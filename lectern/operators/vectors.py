@@ -15,10 +15,15 @@ from pyspark.sql import types as T
 
 from lectern.config import OUTLIER_TOPIC
 from lectern.functions.text import tokens
-from lectern.session import scratch_table
+from lectern.operators.skew import is_small
+from lectern.session import cut_lineage
 
 KEY = ("video_id", "chunk_id")
+#: So many queries are broadcast at most.
 QUERY_BLOCK = 20_000
+#: Cells of base vectors, and rows of one block of a cell: they bound memory, not the result.
+MAX_PIVOTS = 1024
+CELL_ROWS = 8192
 
 
 # ------------------------------------------------------------ embedding
@@ -160,32 +165,149 @@ def knn(
 ) -> DataFrame:
     """The ``k`` nearest base vectors of every query by squared Euclidean distance, exact.
 
-    Every task compares its base vectors with a block of queries, a matrix product at a time, and
-    keeps the ``k`` best per query; only these are shuffled. The queries of a block are a bounded
-    broadcast; more queries than ``query_block`` are taken in several blocks, each a further pass
-    over the base vectors. Equal distances go to the lower id. Rows without a vector are left out.
+    Up to ``query_block`` queries are broadcast: every task compares its base vectors with them, a matrix
+    product at a time, keeps the ``k`` best per query, and only these are shuffled. More queries meet
+    only the cells of base vectors that can hold one of their neighbours (:func:`_knn_cells`). Equal
+    distances go to the lower id. Rows without a vector are left out.
+    """
+    base = base.where(F.col(vector_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).cast("array<float>").alias("_v")
+    )
+    ids = queries.where(F.col(vector_col).isNotNull()).select(
+        F.col(query_id_col).cast("bigint").alias("_q"), F.col(vector_col).cast("array<float>").alias("_v")
+    )
+    found = _knn_block(base, ids, k) if is_small(ids, query_block) else _knn_cells(base, ids, k)
+    order = Window.partitionBy("_q").orderBy("distance", "_id")
+    return (
+        found.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select(F.col("_q").alias(query_id_col), "rank", F.col("_id").alias(id_col), "distance")
+    )
+
+
+_NEAR = "_q bigint, _id bigint, distance double"
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by a product: fast, with rounding errors."""
+    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
+
+
+def _cell_table(base: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, list]:
+    """Base vectors with their cell, the pivots, and (cell, rows, nearest, farthest, k smallest distances).
+
+    A cell holds the vectors whose nearest pivot is the same one. Pivots are base vectors, the square root of
+    their number and at most MAX_PIVOTS, chosen by a hash of the id.
+    """
+    n = base.count()
+    wanted = min(MAX_PIVOTS, max(1, int(n**0.5)))
+    chosen = base.orderBy(F.xxhash64("_id"), "_id").limit(wanted).select("_v").toArrow().combine_chunks()
+    pivots = np.unique(_matrix(chosen.column("_v").combine_chunks()), axis=0) if n else np.zeros((0, 0))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 4096):
+                batch = big.slice(at, 4096)
+                v = _matrix(batch.column("_v"))
+                cell = _distances(v, pivots).argmin(axis=1)
+                far = np.sqrt(((v - pivots[cell]) ** 2).sum(axis=1))
+                arrays = [batch.column("_id"), batch.column("_v"), pa.array(cell.astype(np.int32)), pa.array(far)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_v", "cell", "far"])
+
+    placed = cut_lineage(base.mapInArrow(assign, "_id bigint, _v array<float>, cell int, far double"))
+    order = Window.partitionBy("cell").orderBy("far", "_id")
+    near = placed.select("cell", "far", F.row_number().over(order).alias("k")).where(F.col("k") <= k)
+    first = near.groupBy("cell").agg(F.array_sort(F.collect_list("far")).alias("first"))
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"))
+    return placed, pivots, sizes.join(first, "cell").orderBy("cell").collect()
+
+
+def _reachable(queries: DataFrame, pivots: np.ndarray, cells: list, k: int) -> DataFrame:
+    """(_q, _v, cell): the cells that can hold one of the ``k`` nearest vectors of a query.
+
+    A vector ``f`` from its pivot is at most ``d + f`` from a query ``d`` from the pivot, so the kth smallest
+    such sum bounds the kth distance; and it is at least ``d - f`` and ``f - d`` away.
+    """
+    names = np.array([c["cell"] for c in cells])
+    low, high = (np.array([c[x] for c in cells]) for x in ("low", "high"))
+    first = np.full((len(cells), k), np.inf)
+    for i, c in enumerate(cells):
+        first[i, : len(c["first"])] = c["first"]
+    centers = pivots[names]
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per = max(1, 2_000_000 // first.size)
+        for big in batches:
+            for at in range(0, big.num_rows, per):
+                batch = big.slice(at, per)
+                d = np.sqrt(np.maximum(_distances(_matrix(batch.column("_v")), centers), 0.0))
+                sums = (d[:, :, None] + first[None, :, :]).reshape(len(d), -1)
+                most = np.partition(sums, min(k, sums.shape[1]) - 1, axis=1)[:, min(k, sums.shape[1]) - 1, None]
+                # Distances by products are off by some 1e-8 of the lengths; the slack is far above.
+                slack = 1e-5 * (1.0 + np.where(np.isfinite(most), most, 0.0) + d)
+                q, cell = np.nonzero(np.maximum(d - high, low - d) <= most + slack)
+                pick = pa.array(q)
+                arrays = [batch.column("_q").take(pick), batch.column("_v").take(pick), pa.array(names[cell].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_q", "_v", "cell"])
+
+    return queries.mapInArrow(reach, "_q bigint, _v array<float>, cell int")
+
+
+def _knn_cells(base: DataFrame, queries: DataFrame, k: int, rows: int = CELL_ROWS) -> DataFrame:
+    """Candidates for the ``k`` nearest: queries meet the cells they can reach, cut into bounded blocks.
+
+    A cell with many vectors or many queries is dealt over blocks of about ``rows`` of each, so a cell that
+    holds a third of everything is many tasks. What the driver sees is one row per cell.
     """
     spark = base.sparkSession
-    base = base.where(F.col(vector_col).isNotNull())
-    ids = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_id_col).cast("bigint").alias("_q"), F.col(vector_col).cast("array<float>").alias("_v"))
-    count = ids.count()
-    parts = -(-count // query_block) if count else 1
-    if parts == 1:
-        return _knn_block(base, ids, k, id_col, query_id_col, vector_col)
-    slices = parts * 2
-    path = scratch_table(spark, "knn")
-    for part in range(slices):
-        block = ids.where(F.pmod(F.xxhash64("_q"), F.lit(slices)) == part)
-        _knn_block(base, block, k, id_col, query_id_col, vector_col).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-def _knn_block(base, ids, k, id_col, query_id_col, vector_col) -> DataFrame:
+    placed, pivots, cells = _cell_table(base, k)
+    if not cells:
+        return spark.createDataFrame([], _NEAR)
+    met = cut_lineage(_reachable(queries, pivots, cells, k))
+    asked = {r["cell"]: r["n"] for r in met.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    blocks = [(c["cell"], -(-c["n"] // rows), -(-asked[c["cell"]] // rows)) for c in cells if c["cell"] in asked]
+    if not blocks:
+        return spark.createDataFrame([], _NEAR)
+    shape = F.broadcast(spark.createDataFrame(blocks, "cell int, parts bigint, lots bigint"))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    group = ["cell", "part", "lot"]
+    left = met.join(shape, "cell").withColumn("lot", number("_q", "lots")).withColumn("part", every("parts"))
+    right = placed.join(shape, "cell").withColumn("part", number("_id", "parts")).withColumn("lot", every("lots"))
+
+    def nearest(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out = []
+        if queries.num_rows and vectors.num_rows:
+            names, q = queries["_q"].to_numpy(), _matrix(queries["_v"].combine_chunks())
+            ids, b = vectors["_id"].to_numpy(), _matrix(vectors["_v"].combine_chunks())
+            take, per = min(k, len(ids)), max(1, 2_000_000 // len(ids))
+            for at in range(0, len(q), per):
+                some = q[at : at + per]
+                rough = _distances(some, b)
+                edge = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-9 * (1.0 + (some * some).sum(axis=1))
+                i, j = np.nonzero(rough <= edge[:, None])
+                exact = np.concatenate(
+                    [((b[j[c : c + 50_000]] - some[i[c : c + 50_000]]) ** 2).sum(axis=1) for c in range(0, len(i), 50_000)]
+                )
+                by = np.lexsort((ids[j], exact, i))
+                i, j, exact = i[by], j[by], exact[by]
+                kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((names[at + i[kept]], ids[j[kept]], exact[kept]))
+        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        return pa.table(dict(zip(("_q", "_id", "distance"), parts, strict=True)))
+
+    return left.select(*group, "_q", "_v").groupBy(*group).cogroup(
+        right.select(*group, "_id", "_v").groupBy(*group)
+    ).applyInArrow(nearest, _NEAR)
+
+
+def _knn_block(base: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Candidates for the ``k`` nearest of a few queries: the best of every task."""
     spark = base.sparkSession
     table = ids.toArrow().combine_chunks()
     names = table.column("_q").to_numpy()
     if not len(names):
-        return spark.createDataFrame([], f"{query_id_col} bigint, rank int, {id_col} bigint, distance double")
+        return spark.createDataFrame([], _NEAR)
     given = spark.sparkContext.broadcast((names, _matrix(table.column("_v").combine_chunks())))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,18 +344,10 @@ def _knn_block(base, ids, k, id_col, query_id_col, vector_col) -> DataFrame:
                 row, name, dist = row[place < k], name[place < k], dist[place < k]
         if len(row):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[row]), pa.array(name), pa.array(dist)], names=[query_id_col, id_col, "distance"]
+                [pa.array(qids[row]), pa.array(name), pa.array(dist)], names=["_q", "_id", "distance"]
             )
 
-    candidates = base.select(
-        F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).cast("array<float>").alias("_v")
-    ).mapInArrow(nearest, f"{query_id_col} bigint, {id_col} bigint, distance double")
-    order = Window.partitionBy(query_id_col).orderBy("distance", id_col)
-    return (
-        candidates.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select(query_id_col, "rank", id_col, "distance")
-    )
+    return base.mapInArrow(nearest, _NEAR)
 
 
 # ------------------------------------------------------------ topic membership

@@ -179,6 +179,14 @@ def _(spark, d):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query("knn_cells", KNN_SQL)
+def _(spark, d):
+    """The same, as for more queries than can be broadcast."""
+    base = b.table(spark, d, "embeddings")
+    found = vc.knn(base, base.withColumnRenamed("vec_id", "query_id"), k=5, query_block=0)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 def labelled_vectors(spark, d):
     """Vectors with their label as topic; label 9 stands for the outliers."""
     topic = F.when(F.col("label") == 9, -1).otherwise(F.col("label")).cast("int")

@@ -39,10 +39,34 @@ def test_knn_equals_brute_force(spark, block):
     assert got == plain_knn(ids, base, range(10), queries, 4)
 
 
+def test_knn_of_more_queries_than_a_block_reads_only_near_cells(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(0, 20, (25, 6))
+    base = np.concatenate([c + rng.normal(0, 0.4, (100, 6)) for c in centers] + [np.tile(centers[:1], (900, 1))]).astype("float32")
+    ids = rng.permutation(len(base))
+    queries = (base[rng.integers(0, len(base), 600)] + rng.normal(0, 0.1, (600, 6))).astype("float32")
+    queries[:40], queries[40] = base[-1], 500.0
+    table = frame(spark, ids, base).repartition(4).select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_v"))
+    asked = frame(spark, range(600), queries, "query_id")
+    for rows in (vc.CELL_ROWS, 64):
+        found = vc._knn_cells(table, asked.select(F.col("query_id").alias("_q"), F.col("embedding").alias("_v")), 7, rows)
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: (r["_q"], r.distance, r["_id"])):
+            got.setdefault(r["_q"], []).append(r["_id"])
+        assert {q: x[:7] for q, x in got.items()} == plain_knn(ids, base, range(600), queries, 7)
+    _, pivots, cells = vc._cell_table(table, 7)
+    met = vc._reachable(asked.select(F.col("query_id").alias("_q"), F.col("embedding").alias("_v")), pivots, cells, 7)
+    size = {c["cell"]: c["n"] for c in cells}
+    compared = sum(size[r.cell] for r in met.collect())
+    assert compared < 0.25 * len(base) * len(queries)
+
+
 def test_knn_with_fewer_vectors_than_k_and_no_queries(spark):
     base = frame(spark, [1, 2], np.eye(2))
     assert vc.knn(base, base.withColumnRenamed("vec_id", "query_id"), 5).count() == 4
     assert vc.knn(base, base.where("vec_id > 9").withColumnRenamed("vec_id", "query_id"), 5).count() == 0
+    assert vc.knn(base, base.withColumnRenamed("vec_id", "query_id"), 5, query_block=0).count() == 4
+    assert vc.knn(base.where("vec_id > 9"), base.withColumnRenamed("vec_id", "query_id"), 5, query_block=0).count() == 0
 
 
 def test_embedding_is_unit_and_repeatable(spark):
