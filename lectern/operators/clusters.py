@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -326,29 +327,36 @@ def cluster_k(df: DataFrame, k: int, seed: int = 42, vector_col: str = "embeddin
     return model.transform(vectors).withColumn("topic_id", rank[F.col("_k")].cast("int")).drop("_v", "_k")
 
 
-def topic_hierarchy(distances: DataFrame) -> DataFrame:
+def topic_hierarchy(distances: DataFrame, topics: DataFrame | None = None, leaves: bool = True) -> DataFrame:
     """Merge tree of topics by average linkage: Parent, Left, Right, Topics, Distance.
 
-    ``distances`` has topic_a < topic_b and distance for every pair. Every round merges all pairs
-    that are each other's nearest; for average linkage this gives the same tree as merging one
-    pair at a time. Parents are numbered by distance, after the largest topic id. No merges for
-    fewer than two topics.
+    ``distances`` has topic_a < topic_b and distance; pairs that are not listed have distance 1, and
+    ``topics`` (topic_id) names the topics where some are in no pair. Similarities (1 - distance) add up when
+    groups merge, and absent pairs add nothing, so only listed pairs are ever held. Every round merges
+    all pairs that are each other's nearest; for average linkage this gives the same tree as merging one
+    pair at a time. What is left without any listed pair is merged at distance 1, by the smallest topic.
+    Parents are numbered by distance, after the largest topic id. No merges for fewer than two topics.
+
+    ``Topics`` lists all topics below a merge, which grows with the square of a deep tree; ``leaves=False``
+    leaves it out, as Left and Right say the same.
     """
+    spark = distances.sparkSession
     edges = cut_lineage(
-        distances.select(
-            F.col("topic_a").alias("a"), F.col("topic_b").alias("b"), F.col("distance").alias("s"), F.lit(1).cast("bigint").alias("c")
-        )
+        distances.select(F.col("topic_a").alias("a"), F.col("topic_b").alias("b"), (1 - F.col("distance")).alias("s"))
     )
-    leaves = cut_lineage(
-        edges.select(F.explode(F.array("a", "b")).alias("leaf")).distinct().select("leaf", F.col("leaf").alias("rep"))
+    if topics is None:
+        topics = edges.select(F.explode(F.array("a", "b")).alias("topic_id"))
+    members = cut_lineage(
+        topics.select(F.col("topic_id").cast("int").alias("leaf")).distinct().select("leaf", F.col("leaf").alias("rep"))
     )
-    last = leaves.agg(F.max("leaf")).first()[0]
-    members = leaves
-    merges = None
-    round_no = 0
+    sizes = members.select("rep", F.lit(1).cast("bigint").alias("n"))
+    last = members.agg(F.max("leaf")).first()[0]
+    steps = []
     while not edges.isEmpty():
-        mean = (F.col("s") / F.col("c")).alias("d")
-        both = edges.select("a", "b", mean).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), mean))
+        size = lambda x: sizes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"))
+        apart = (1 - F.col("s") / (F.col("n_a") * F.col("n_b"))).alias("d")
+        measured = cut_lineage(edges.join(size("a"), "a").join(size("b"), "b").select("a", "b", apart))
+        both = measured.unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
         near = both.groupBy("a").agg(
             F.min(F.struct("d", F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"))).alias("n")
         )
@@ -358,21 +366,17 @@ def topic_hierarchy(distances: DataFrame) -> DataFrame:
             .groupBy("l", "r")
             .agg(F.count("*").alias("votes"), F.min("d").alias("d"))
             .where("votes = 2")
-            .select("l", "r", "d")
+            .select("l", "r", "d", F.lit(len(steps)).alias("round"))
         )
-        topics = (
-            members.join(
-                found.select(F.explode(F.array("l", "r")).alias("rep"), "l", "r"), "rep"
-            )
-            .groupBy("l", "r")
-            .agg(F.array_sort(F.collect_list("leaf")).alias("Topics"))
-        )
-        step = cut_lineage(found.join(topics, ["l", "r"]).withColumn("round", F.lit(round_no)))
-        merges = step if merges is None else merges.unionByName(step)
+        step = cut_lineage(_with_leaves(found, members) if leaves else found)
+        steps.append(step)
         into = step.select(F.col("r").alias("old"), F.col("l").alias("new"))
-        members = cut_lineage(
-            members.join(into, F.col("rep") == F.col("old"), "left").select("leaf", F.coalesce("new", "rep").alias("rep"))
-        )
+        if leaves:
+            members = cut_lineage(
+                members.join(into, F.col("rep") == F.col("old"), "left").select("leaf", F.coalesce("new", "rep").alias("rep"))
+            )
+        moved = sizes.join(into, F.col("rep") == F.col("old"), "left")
+        sizes = cut_lineage(moved.groupBy(F.coalesce("new", "rep").alias("rep")).agg(F.sum("n").alias("n")))
         moved = edges
         for end in ("a", "b"):
             moved = (
@@ -383,44 +387,66 @@ def topic_hierarchy(distances: DataFrame) -> DataFrame:
         edges = cut_lineage(
             moved.where("a <> b")
             .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+            .agg(F.sum("s").alias("s"))
         )
-        round_no += 1
-    if merges is None:
-        return distances.sparkSession.createDataFrame(
-            [], "Parent int, `Left` int, `Right` int, Topics array<int>, Distance double"
-        )
-    numbered = cut_lineage(
-        merges.withColumn(
-            "Parent", (F.row_number().over(Window.orderBy("d", "round", "l", "r")) + F.lit(last)).cast("int")
+    # Groups without a listed pair join the one of the smallest topic, one after another.
+    rest = sizes.select(F.col("rep").alias("r"), F.row_number().over(Window.orderBy("rep")).alias("place"))
+    rest = cut_lineage(rest)
+    if rest.count() > 1:
+        found = rest.where("place > 1").select(
+            F.lit(rest.agg(F.min("r")).first()[0]).alias("l"), "r", F.lit(1.0).alias("d"), (F.col("place") + len(steps)).alias("round")
         )
+        if leaves:
+            within = members.join(rest.withColumnRenamed("r", "rep"), "rep").select("leaf", "place")
+            lists = (
+                rest.where("place > 1").withColumnRenamed("place", "upto").join(within, F.col("place") <= F.col("upto"))
+                .groupBy("r").agg(F.array_sort(F.collect_list("leaf")).alias("Topics"))
+            )
+            found = found.join(lists, "r").select("l", "r", "d", "round", "Topics")
+        steps.append(found)
+    names = ["Parent", "Left", "Right", *(["Topics"] if leaves else []), "Distance"]
+    if not steps:
+        empty = "Parent int, `Left` int, `Right` int, Topics array<int>, Distance double"
+        return spark.createDataFrame([], empty).select(*names)
+    merges = functools.reduce(DataFrame.unionByName, steps)
+    number = (F.row_number().over(Window.orderBy("d", "round", "l", "r")) + F.lit(last)).cast("int")
+    # A group goes by its smallest topic: its last merge before is the child, or the topic itself.
+    before = F.lag("Parent").over(Window.partitionBy("l").orderBy("Parent"))
+    numbered = cut_lineage(merges.withColumn("Parent", number).withColumn("Left", F.coalesce(before, F.col("l").cast("int"))))
+    latest = numbered.groupBy(F.col("l").alias("r")).agg(F.max("Parent").alias("child"))
+    return (
+        numbered.join(latest, "r", "left")
+        .withColumn("Right", F.coalesce("child", F.col("r").cast("int")))
+        .withColumnRenamed("d", "Distance")
+        .select(*names)
     )
-    # The child on each side is the latest earlier merge that kept the same smallest topic, or a leaf.
-    earlier = numbered.select(F.col("l").alias("rep"), F.col("Parent").alias("child"))
-    for side, name in (("l", "Left"), ("r", "Right")):
-        child = (
-            numbered.select("Parent", F.col(side).alias("rep"))
-            .join(earlier, "rep")
-            .where("child < Parent")
-            .groupBy("Parent")
-            .agg(F.max("child").alias(name))
-        )
-        numbered = numbered.join(child, "Parent", "left").withColumn(name, F.coalesce(name, side).cast("int"))
-    return numbered.select("Parent", "Left", "Right", "Topics", F.col("d").alias("Distance"))
+
+
+def _with_leaves(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Merges with all topics of both sides."""
+    lists = (
+        members.join(found.select(F.explode(F.array("l", "r")).alias("rep"), "l", "r"), "rep")
+        .groupBy("l", "r")
+        .agg(F.array_sort(F.collect_list("leaf")).alias("Topics"))
+    )
+    return found.join(lists, ["l", "r"])
 
 
 def reduce_topics(assigned: DataFrame, hierarchy: DataFrame, n: int, keys: Sequence[str] = KEY) -> DataFrame:
     """(keys, topic_id) with at most ``n`` topics: the first merges of the tree are applied.
 
-    Outliers stay outliers; the new topics are numbered by size.
+    Outliers stay outliers; the new topics are numbered by size. The tree needs no lists of topics.
     """
     topical = assigned.where(F.col("topic_id") != OUTLIER_TOPIC)
     old = cut_lineage(topical.groupBy("topic_id").agg(F.count("*").alias("n")))
     many = max(old.count() - max(n, 1), 0)
-    applied = hierarchy.orderBy("Parent").limit(many)
-    moved = applied.select("Parent", F.explode("Topics").alias("topic_id")).groupBy("topic_id").agg(
-        F.max("Parent").alias("merged")
-    )
+    applied = cut_lineage(hierarchy.orderBy("Parent").limit(many).select("Parent", "Left", "Right"))
+    links = applied.select(F.col("Parent").alias("a"), F.explode(F.array("Left", "Right")).alias("b"))
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Those of a part go by its last merge.
+    parts = cut_lineage(connected_components(nodes, links))
+    top = parts.groupBy("component").agg(F.max("node").alias("merged"))
+    moved = parts.join(top, "component").select(F.col("node").alias("topic_id"), "merged")
     grouped = old.join(moved, "topic_id", "left").withColumn("merged", F.coalesce("merged", "topic_id"))
     ranked = _by_size(grouped.groupBy("merged").agg(F.sum("n").alias("n")), "merged")
     new = cut_lineage(

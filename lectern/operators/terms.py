@@ -177,12 +177,12 @@ def topic_diversity(keywords: DataFrame) -> DataFrame:
     )
 
 
-def topic_distances(weights: DataFrame, block: int = 512, rows: int = 1024) -> DataFrame:
-    """Cosine distance of every two topics (topic_a < topic_b), without the outliers.
+def related_topics(weights: DataFrame, block: int = 512, rows: int = 1024) -> DataFrame:
+    """Cosine distance of the topics that share a term (topic_a < topic_b), without the outliers.
 
-    Every task multiplies the term-by-topic rows it holds and emits one sum per pair of topics,
-    not one row per pair and term. Topics are numbered in blocks of ``block``; a task works on
-    block pairs, so its matrices stay small for any number of topics.
+    Every two topics that are not listed have distance 1. Every task multiplies the term-by-topic rows
+    it holds and emits one sum per pair of topics, not one row per pair and term. Topics are numbered in
+    blocks of ``block``; a task works on block pairs, so its matrices stay small for any number of topics.
     """
     topical = weights.where(F.col("topic_id") != OUTLIER_TOPIC).select("topic_id", "term", "score")
     by_term = topical.groupBy("term").agg(
@@ -228,17 +228,34 @@ def topic_distances(weights: DataFrame, block: int = 512, rows: int = 1024) -> D
         yield from flush()
 
     dots = by_term.mapInArrow(products, "a int, b int, dot double").groupBy("a", "b").agg(F.sum("dot").alias("dot"))
-    norms = topical.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
-    others = norms.agg(F.collect_list(F.struct(F.col("topic_id").alias("topic_b"), F.col("norm").alias("norm_b")))).scalar()
-    pairs = norms.withColumn("_others", others).select(
-        F.col("topic_id").alias("topic_a"),
-        F.col("norm").alias("norm_a"),
-        F.inline(F.filter("_others", lambda o: o["topic_b"] > F.col("topic_id"))),
-    )
-    return pairs.join(
-        dots, (F.col("topic_a") == F.col("a")) & (F.col("topic_b") == F.col("b")), "left"
-    ).select(
-        "topic_a",
-        "topic_b",
-        (1 - F.coalesce("dot", F.lit(0.0)) / (F.col("norm_a") * F.col("norm_b"))).alias("distance"),
+    norms = _norms(topical)
+    side = lambda x: norms.select(F.col("topic_id").alias(x), F.col("norm").alias(f"norm_{x}"))
+    return (
+        dots.where("a < b")
+        .join(side("a"), "a")
+        .join(side("b"), "b")
+        .select(
+            F.col("a").alias("topic_a"),
+            F.col("b").alias("topic_b"),
+            (1 - F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("distance"),
+        )
+    )
+
+
+def _norms(topical: DataFrame) -> DataFrame:
+    return topical.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
+
+
+def topic_distances(weights: DataFrame, block: int = 512, rows: int = 1024) -> DataFrame:
+    """Cosine distance of every two topics (topic_a < topic_b), without the outliers: for charts.
+
+    One row per pair, so for as many topics as a chart can show; :func:`related_topics` has the pairs that
+    matter, and is what the merge tree is built from.
+    """
+    related = related_topics(weights, block, rows)
+    names = weights.where(F.col("topic_id") != OUTLIER_TOPIC).select("topic_id").distinct()
+    other = names.select(F.col("topic_id").alias("topic_b"))
+    every = names.select(F.col("topic_id").alias("topic_a")).join(other, F.col("topic_a") < F.col("topic_b"))
+    return every.join(related, ["topic_a", "topic_b"], "left").select(
+        "topic_a", "topic_b", F.coalesce("distance", F.lit(1.0)).alias("distance")
     )

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.config import Settings
+from lectern.config import OUTLIER_TOPIC, Settings
 from lectern.functions.text import normalize
 from lectern.operators import clusters as cl
 from lectern.operators import sentiment as sn
@@ -75,7 +75,7 @@ def process(
     if topic_cfg.num_topics is not None:
         # The topics that were found are merged along their tree; outliers stay outliers.
         weighted = cut_lineage(tm.ctfidf(tm.term_counts(chunks.join(assigned, KEY), topic_cfg.min_df)))
-        tree = cl.topic_hierarchy(tm.topic_distances(weighted))
+        tree = cl.topic_hierarchy(tm.related_topics(weighted), _topics(weighted), leaves=False)
         assigned = cut_lineage(cl.reduce_topics(assigned, tree, topic_cfg.num_topics))
     topical = cut_lineage(chunks.join(assigned, KEY))
 
@@ -86,7 +86,7 @@ def process(
         "topic_info": tm.topic_info(topical, words, docs),
         "weights": weights,
         "topics_over_time": topics_over_time(_timed(topical, time_col), weights, "_time", topic_cfg.time_bins),
-        "hierarchy": cl.topic_hierarchy(tm.topic_distances(weights)),
+        "hierarchy": cl.topic_hierarchy(tm.related_topics(weights), _topics(weights)),
     }
     members = vectors.join(assigned, KEY)
     centers = cut_lineage(vc.centroids(members))
@@ -112,6 +112,10 @@ def process(
     return model
 
 
+def _topics(weights: DataFrame) -> DataFrame:
+    return weights.where(F.col("topic_id") != OUTLIER_TOPIC).select("topic_id")
+
+
 def _timed(topical: DataFrame, time_col: str | None) -> DataFrame:
     if time_col is None:
         dated = "publish_date" in topical.columns

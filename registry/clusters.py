@@ -137,8 +137,9 @@ def _(spark, d):
     return cl.cluster_k(b.table(spark, d, "embeddings"), 10).select("vec_id", "topic_id")
 
 
-def distances(spark, d):
-    return tm.topic_distances(tp.weights(b.topic_chunks(spark, d)))
+def tree(chunks, **kw):
+    weights = b.stored(tp.weights(chunks))
+    return cl.topic_hierarchy(tm.related_topics(weights), weights.where("topic_id <> -1"), **kw)
 
 
 # The merge tree in SQL, one pair at a time: every step is a few CTEs. The topics of the test chunks
@@ -178,8 +179,7 @@ def _tree_row(i: int) -> str:
 
 @query("topic_hierarchy", sql("weights", _tree_ctes() + " " + " UNION ALL ".join(_tree_row(i) for i in range(1, STEPS + 1))))
 def _(spark, d):
-    tree = cl.topic_hierarchy(distances(spark, d))
-    return tree.select(
+    return tree(b.topic_chunks(spark, d)).select(
         "Parent", "Left", "Right", F.concat_ws(",", "Topics").alias("Topics"), F.round("Distance", 6).alias("Distance")
     )
 
@@ -200,8 +200,7 @@ def _(spark, d):
 )
 def _(spark, d):
     chunks = b.stored(b.topic_chunks(spark, d))
-    tree = cl.topic_hierarchy(tm.topic_distances(tp.weights(chunks)))
-    return cl.reduce_topics(chunks, tree, 8)
+    return cl.reduce_topics(chunks, tree(chunks, leaves=False), 8)
 
 
 @query("topic_map")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import text as tx
 from lectern.functions.text import STOP_WORDS
 from lectern.operators import coherence as co
 from lectern.operators import terms as tm
@@ -178,6 +179,35 @@ def _(spark, d):
     return tm.topic_distances(weights(b.topic_chunks(spark, d))).withColumn("distance", F.round("distance", 9))
 
 
+@query(
+    "related_documents",
+    sql(
+        "norm",
+        f""", seen AS MATERIALIZED (SELECT CAST(video_id AS INTEGER) AS doc, word, count(*) AS n
+               FROM (SELECT video_id, unnest({b.tokens_sql("normalized_text")}) AS word FROM norm) GROUP BY ALL),
+             df AS MATERIALIZED (SELECT word, count(*) AS docs FROM seen GROUP BY word HAVING count(*) BETWEEN 2 AND 100),
+             w AS MATERIALIZED (SELECT doc, word, n * (1 + ln((SELECT count(DISTINCT doc) FROM seen) / docs)) AS score FROM seen JOIN df USING (word)),
+             n AS (SELECT doc, sqrt(sum(score * score)) AS norm FROM w GROUP BY doc)
+             SELECT topic_a, topic_b, round(1 - dot / (x.norm * y.norm), 6) + 0.0 AS distance
+             FROM (SELECT p.doc AS topic_a, q.doc AS topic_b, sum(p.score * q.score) AS dot
+                   FROM w p JOIN w q ON p.word = q.word AND p.doc < q.doc GROUP BY ALL)
+             JOIN n x ON x.doc = topic_a JOIN n y ON y.doc = topic_b""",
+    ),
+)
+def _(spark, d):
+    """Every document as a topic of its own, by the words that 2 to 100 documents share."""
+    seen = (
+        b.norm(spark, d).select(F.col("video_id").cast("int").alias("topic_id"), F.explode(tx.tokens(F.col("normalized_text"))).alias("term"))
+        .groupBy("topic_id", "term").agg(F.count("*").alias("n"))
+    )
+    seen = b.stored(seen)
+    df = seen.groupBy("term").agg(F.count("*").alias("docs")).where("docs between 2 and 100")
+    total = seen.agg(F.count_distinct("topic_id")).first()[0]
+    score = F.col("n") * (1 + F.log(F.lit(total) / F.col("docs")))
+    found = tm.related_topics(seen.join(df, "term").select("topic_id", "term", score.alias("score")))
+    return found.withColumn("distance", F.round("distance", 6) + 0.0)
+
+
 @query(
     "topic_diversity",
     sql(

@@ -78,6 +78,8 @@ def test_distances_equal_plain_cosine(spark):
             dot = sum(s * vec[b].get(w, 0) for w, s in vec[a].items())
             norm = math.prod(math.sqrt(sum(s * s for s in vec[x].values())) for x in (a, b))
             assert d == pytest.approx(1 - dot / norm)
+        near = {(r.topic_a, r.topic_b): r.distance for r in tm.related_topics(df, block, per).collect()}
+        assert near == {k: pytest.approx(got[k]) for k in got if vec[k[0]].keys() & vec[k[1]].keys()} and len(near) < len(got)
 
 
 def windows_of(text, size):

@@ -321,6 +321,40 @@ def test_hierarchy_equals_greedy_linkage(spark, seed):
     assert all((reduced[c] == -1) == (t == -1) for _, c, t in rows)
 
 
+def test_hierarchy_of_many_topics_that_share_little(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 560
+    near = {}
+    for a in range(n - 6):
+        for b in {int(x) for x in rng.integers(0, n - 6, 3)} - {a}:
+            near[min(a, b), max(a, b)] = float(rng.uniform(0.05, 0.99))
+    # One pair at a time on the full matrix of similarities.
+    s, sizes, names = np.zeros((n, n)), np.ones(n), list(range(n))
+    for (a, b), d in near.items():
+        s[a, b] = s[b, a] = 1 - d
+    alive, want, members = np.ones(n, bool), [], [{i} for i in range(n)]
+    for step in range(n - 1):
+        d = 1 - s / np.outer(sizes, sizes)
+        d[~alive], d[:, ~alive] = 9, 9
+        d[np.tril_indices(n)] = 9
+        a, b = divmod(int(d.argmin()), n)
+        members[a] |= members[b]
+        want.append((n + step, names[a], names[b], tuple(sorted(members[a])), round(d[a, b], 9)))
+        s[a] += s[b]
+        s[:, a] += s[:, b]
+        s[a, a] = 0
+        sizes[a] += sizes[b]
+        alive[b], names[a] = False, n + step
+    rounds = []
+    with_leaves = cl._with_leaves
+    monkeypatch.setattr(cl, "_with_leaves", lambda *x: rounds.append(1) or with_leaves(*x))
+    df = spark.createDataFrame([(a, b, d) for (a, b), d in near.items()], "topic_a int, topic_b int, distance double")
+    tree = cl.topic_hierarchy(df, spark.createDataFrame([(i,) for i in range(n)], "topic_id int")).orderBy("Parent").collect()
+    assert [(r.Parent, r.Left, r.Right, tuple(r.Topics), round(r.Distance, 9)) for r in tree] == want
+    # Rounds, not one step per merge.
+    assert len(rounds) < 40
+
+
 def test_hierarchy_of_one_topic_is_empty(spark):
     df = spark.createDataFrame([], "topic_a int, topic_b int, distance double")
     assert cl.topic_hierarchy(df).count() == 0
