@@ -3,8 +3,8 @@
 Most words of a batch occur again and again, and both tokenizers used here cut texts before spaces
 and between a letter and a mark, so each distinct piece (a space and what follows up to the next
 such place) is encoded once per worker and the ids of the texts are put together from those of their
-pieces. Texts with runs of white space
-that the pieces would cut differently are encoded whole. The result equals plain encoding.
+pieces. Texts with runs of white space that the pieces would cut differently, or with an added token such
+as ``<|endoftext|>``, are encoded whole. The result equals plain encoding.
 """
 
 from __future__ import annotations
@@ -57,7 +57,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Contents of added tokens, which take their own id wherever a text holds them, and if case is ignored.
+        self.added = [(x.content, x.normalized) for x in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.spaces_matter = model.get("normalizer") is None
@@ -139,6 +140,13 @@ class Encoder:
         after = at_end | _MAY_START_SPACE[data[np.minimum(spaces + 1, len(data) - 1)]]
         return np.unique(text[before & after])
 
+    def _with_added(self, texts: pa.Array) -> np.ndarray:
+        """Texts that hold an added token; pieces would cut it."""
+        found = np.zeros(len(texts), bool)
+        for content, folded in self.added:
+            found |= pc.match_substring(texts, content, ignore_case=folded).fill_null(False).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(found)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(first id of each text, with the total at the end; all ids in order). Null is as empty."""
         offsets, data = text_buffers(texts)
@@ -155,7 +163,7 @@ class Encoder:
         lengths = self.lengths[rows]
         ids = self.ids[ranges(self.starts[rows], lengths)]
         firsts = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(cuts, offsets)]
-        odd = self._irregular(offsets, data, spaces)
+        odd = np.union1d(self._irregular(offsets, data, spaces), self._with_added(texts))
         if len(odd):
             parts = np.split(ids, firsts[1:-1])
             for row, whole in zip(odd, self._plain(texts.take(pa.array(odd)).to_pylist()), strict=True):
