@@ -187,13 +187,17 @@ idf AS (
   SELECT word, ln(((SELECT count(*) FROM d) + 1) / greatest(count(DISTINCT rid), 1)) AS weight
   FROM (SELECT DISTINCT word FROM postings) LEFT JOIN w USING (word) GROUP BY word),
 marks AS (SELECT rid, template, i - shift AS start FROM hits JOIN keys USING (phrase)),
+aligned AS MATERIALIZED (
+  SELECT w.rid, template, label, i - posting AS start, word, weight
+  FROM w JOIN postings USING (word) JOIN idf USING (word)
+  WHERE EXISTS (SELECT 1 FROM marks m WHERE m.rid = w.rid AND m.template = postings.template AND abs(m.start - (i - posting)) <= 2)),
 rare AS (
-  SELECT rid, word FROM (
-    SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY weight DESC, word) AS k
-    FROM (SELECT DISTINCT rid, word FROM w WHERE rid IN (SELECT rid FROM marks)) JOIN idf USING (word)) WHERE k <= 8),
+  SELECT rid, template, start, word FROM (
+    SELECT *, row_number() OVER (PARTITION BY rid, template, start ORDER BY weight DESC, word) AS k
+    FROM (SELECT DISTINCT rid, template, start, word, weight FROM aligned)) WHERE k <= 8),
 support AS (
-  SELECT rid, template, label, i - posting AS start, sum(weight) AS weight
-  FROM w JOIN rare USING (rid, word) JOIN postings USING (word) JOIN idf USING (word) GROUP BY ALL),
+  SELECT rid, template, label, start, sum(weight) AS weight
+  FROM aligned JOIN rare USING (rid, template, start, word) GROUP BY ALL),
 needed AS (
   SELECT template, sum(weight) AS needed FROM (
     SELECT template, weight, row_number() OVER (PARTITION BY template ORDER BY weight DESC) AS k
@@ -201,8 +205,7 @@ needed AS (
 confirmed AS (
   SELECT rid, list(label) AS labels, max(least(weight / needed, 1.0)) AS score
   FROM support s JOIN needed USING (template)
-  WHERE least(weight / needed, 1.0) >= 0.5 AND EXISTS (
-    SELECT 1 FROM marks m WHERE m.rid = s.rid AND m.template = s.template AND abs(m.start - s.start) <= 2)
+  WHERE least(weight / needed, 1.0) >= 0.5
   GROUP BY rid)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -107,3 +107,28 @@ def test_licences_do_not_take_each_others_support(spark):
     found = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
     assert [found[i] for i in range(len(cases))] == [labels for _, labels in cases]
     assert not any(found[i] for i, _ in plain)
+
+
+def test_registered_licences_equal_their_sql(spark, tmp_path):
+    """Bundled licence files tell the rule apart from one that looks at the rarest words of the whole file."""
+    import duckdb
+
+    from lectern.llm.queries import ORACLES, QUERIES
+
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    cc = "Licensed under CC BY 4.0."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    filler = "binary charge copy permission redistribution source form " * 40
+    rows = [gpl, bsd, gpl + "\n" + bsd, "\n".join([gpl, bsd, mpl]), cc + bsd, filler + gpl + filler + mpl, mit + " " + cc, None, "", filler]
+    rows += [gpl[8:] + " " + bsd[:60], "under the mit license " + mpl, "plain words"] + ["nothing here"] * 40
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op5_licenses"](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in found.collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = ", ".join(found.columns)
+    assert got == sorted(con.sql(f"SELECT {names} FROM ({ORACLES['op5_licenses']})").fetchall())
+    labels = {r.doc_id: r.labels for r in found.collect()}
+    assert labels[2] == "bsd,gpl-3" and labels[3] == "bsd,gpl-3,mpl-2" and labels[5] == "gpl-3,mpl-2"
