@@ -443,13 +443,14 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """``docs`` with one row of each component, that of the smallest ``doc_id``.
 
     A row with a null id stays unless it is linked with a row that has one. Of rows with equal id and equal
-    set one stays.
+    set one stays, that of the smallest text.
     """
 
     @F.pandas_udf("long")
     def key_of(text):
-        texts = pa.Array.from_pandas(text, type=pa.string())
-        found = [_key(x) if len(x) else None for x in shingle_sets(texts, size)]
+        texts = pa.record_batch([pa.Array.from_pandas(text, type=pa.string())], names=["text"])
+        sets = (x for part in slices(texts, "text", _SLICE) for x in shingle_sets(part["text"], size))
+        found = [_key(x) if len(x) else None for x in sets]
         return pa.array(found, pa.int64()).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
     own = docs.columns
@@ -467,4 +468,9 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     if again.isEmpty():
         return kept.select(*own)
     single = kept.join(few(again), on, "left_anti")
-    return single.unionByName(kept.join(few(again), on, "left_semi").dropDuplicates(on)).select(*own)
+    # Equal texts go by a hash of the row: the choice never hangs on the order of tasks.
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    several = kept.join(few(again), on, "left_semi").groupBy(*on).agg(
+        F.min_by(F.struct(*own), F.struct("text", F.xxhash64(*plain))).alias("__copy_row")
+    )
+    return single.select(*own).unionByName(several.select("__copy_row.*"))
