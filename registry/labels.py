@@ -66,9 +66,10 @@ def timed(chunks, spark, d):
             tf AS (SELECT d.topic_id, period, d.term, count(*) * any_value(idf) AS w
                    FROM doc_terms d JOIN binned USING (video_id, chunk_id) JOIN periods USING (bin)
                    JOIN weights g ON g.topic_id = d.topic_id AND g.term = d.term GROUP BY d.topic_id, period, d.term),
-            tot AS (SELECT topic_id, period, sum(w) AS total FROM tf GROUP BY topic_id, period),
+            tot AS (SELECT f.topic_id, p.period, coalesce(sum(w), 0) AS total FROM freq f JOIN periods p USING (bin)
+                    LEFT JOIN tf ON tf.topic_id = f.topic_id AND tf.period = p.period GROUP BY f.topic_id, p.period),
             gl AS (SELECT topic_id, term, score / sum(score) OVER (PARTITION BY topic_id) AS g FROM weights),
-            dense AS (SELECT gl.topic_id, gl.term, tot.period, g, coalesce(w, 0) / total AS c
+            dense AS (SELECT gl.topic_id, gl.term, tot.period, g, CASE WHEN total > 0 THEN coalesce(w, 0) / total ELSE 0 END AS c
                       FROM gl JOIN tot ON tot.topic_id = gl.topic_id
                       LEFT JOIN tf ON tf.topic_id = gl.topic_id AND tf.term = gl.term AND tf.period = tot.period),
             first_x AS (SELECT topic_id, term, period, (c + g) / 2 AS x FROM dense d
