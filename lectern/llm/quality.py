@@ -2,11 +2,12 @@
 
 Every document is measured by column functions. A sketch of a measure is its count per bin, where a bin
 keeps the six leading bits of a whole number (so quantiles are right to one part in 32) and sketches are
-merged by adding counts. From the sketch of each (language, source) come the first and third quartile;
-a document fails a measure beyond ``FENCE`` spreads above the third or below the first quartile, where
-the spread is the distance of the quartiles, or ``least`` if that is more. Groups with fewer than
-``MIN_DOCS`` documents use the merged sketches of their language, and languages with fewer those of all
-documents. The limits are then joined to the documents.
+merged by adding counts. From the sketch of each (language, source) come the median and the outer octiles
+(an eighth of the documents lies beyond each). A document fails a measure if it lies farther beyond an
+octile than ``FENCE`` times the distance of that octile from the median, so each side has a limit of its
+own and both follow the spread of the group. Where the octile is the median, its bin's width stands for
+the distance. Groups with fewer than ``MIN_DOCS`` documents use the merged sketches of their language, and
+languages with fewer those of all documents. The limits are then joined to the documents.
 
 Only DataFrame functions are used. Equality of word windows inside one text is that of 64-bit hashes.
 
@@ -29,13 +30,13 @@ MIN_DOCS = 200
 FENCE = 3
 WINDOW = 5
 
-#: Each measure: its value as a whole number, and the least spread of its quartiles.
+#: Each measure, as a whole number.
 MEASURES = {
-    "symbol_rate": ("1000 * n_symbols div greatest(n_words, 1)", 40),
-    "dup_line_rate": ("1000 * n_dup_lines div greatest(n_lines, 1)", 150),
-    "repeat_rate": ("1000 * n_repeat_words div greatest(n_words, 1)", 60),
-    "capital_rate": ("1000 * n_capitals div greatest(word_chars, 1)", 60),
-    "word_length": ("100 * word_chars div greatest(n_words, 1)", 150),
+    "symbol_rate": "1000 * n_symbols div greatest(n_words, 1)",
+    "dup_line_rate": "1000 * n_dup_lines div greatest(n_lines, 1)",
+    "repeat_rate": "1000 * n_repeat_words div greatest(n_words, 1)",
+    "capital_rate": "1000 * n_capitals div greatest(word_chars, 1)",
+    "word_length": "100 * word_chars div greatest(n_words, 1)",
 }
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -90,12 +91,17 @@ def measure(docs: DataFrame) -> DataFrame:
     )
     counted = counted.withColumn("n_repeat_words", covered).drop("_places")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    measures = {name: F.expr(value).cast("long") for name, (value, _) in MEASURES.items()}
+    measures = {name: F.expr(value).cast("long") for name, value in MEASURES.items()}
     return counted.withColumn("base_failed", failed).withColumns(measures)
 
 
+def _cut(x: str) -> str:
+    """How many low bits of a number its bin leaves out."""
+    return f"greatest(length(bin({x})) - 6, 0)"
+
+
 def _bin(x: str) -> str:
-    return f"shiftleft(shiftright({x}, greatest(length(bin({x})) - 6, 0)), greatest(length(bin({x})) - 6, 0))"
+    return f"shiftleft(shiftright({x}, {_cut(x)}), {_cut(x)})"
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -115,8 +121,8 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({"_lang": key("lang"), "_source": key("source")})
 
 
-def _quartiles(sketch: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-    """Docs and quartiles per group, from sketches merged over all other keys."""
+def _octiles(sketch: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    """Docs, median and outer octiles per group, from sketches merged over all other keys."""
     merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     at = merged.select(
@@ -126,32 +132,38 @@ def _quartiles(sketch: DataFrame, keys: list[str], suffix: str) -> DataFrame:
     )
     return at.groupBy(*keys, "measure").agg(
         F.first("docs").alias(f"docs{suffix}"),
-        F.min(F.when(4 * F.col("upto") >= F.col("docs"), F.col("bin"))).alias(f"q1{suffix}"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("docs"), F.col("bin"))).alias(f"q3{suffix}"),
+        *(
+            F.min(F.when(8 * F.col("upto") >= k * F.col("docs"), F.col("bin"))).alias(f"q{k}{suffix}")
+            for k in (1, 4, 7)
+        ),
     )
 
 
 def limits(sketch: DataFrame, min_docs: int = MIN_DOCS, fence: int = FENCE) -> DataFrame:
     """One row per (language, source): the lowest and highest passing value of each measure."""
-    own = _quartiles(sketch, ["_lang", "_source"], "")
-    lang = _quartiles(sketch, ["_lang"], "_l")
-    every = _quartiles(sketch, [], "_e")
+    own = _octiles(sketch, ["_lang", "_source"], "")
+    lang = _octiles(sketch, ["_lang"], "_l")
+    every = _octiles(sketch, [], "_e")
     found = own.join(lang, ["_lang", "measure"]).join(F.broadcast(every), "measure")
     pick = lambda q: (
         F.when(F.col("docs") >= min_docs, F.col(q))
         .when(F.col("docs_l") >= min_docs, F.col(f"{q}_l"))
         .otherwise(F.col(f"{q}_e"))
     )
-    least = F.create_map(*(F.lit(x) for name, (_, least) in MEASURES.items() for x in (name, least)))
-    found = found.select("_lang", "_source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3")).withColumn(
-        "reach", fence * F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
+    found = found.select("_lang", "_source", "measure", *(pick(q).alias(q) for q in ("q1", "q4", "q7")))
+    reach = lambda q, spread: fence * F.greatest(spread, F.expr(f"shiftleft(1L, {_cut(q)})"))
+    found = found.withColumns(
+        {
+            "low": F.col("q1") - reach("q1", F.col("q4") - F.col("q1")),
+            "high": F.col("q7") + reach("q7", F.col("q7") - F.col("q4")),
+        }
     )
     cells = []
     for name in MEASURES:
         own_row = F.col("measure") == name
         cells += [
-            F.max(F.when(own_row, F.col("q1") - F.col("reach"))).alias(f"_low_{name}"),
-            F.max(F.when(own_row, F.col("q3") + F.col("reach"))).alias(f"_high_{name}"),
+            F.max(F.when(own_row, F.col("low"))).alias(f"_low_{name}"),
+            F.max(F.when(own_row, F.col("high"))).alias(f"_high_{name}"),
         ]
     return found.groupBy("_lang", "_source").agg(*cells)
 

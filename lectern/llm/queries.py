@@ -74,7 +74,7 @@ def op3_quality(spark, sf_dir):
     return measured.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
-# The limits, least spreads and patterns are written out here so that they are checked too.
+# The limits, octiles and patterns are written out here so that they are checked too.
 ORACLES["op3_quality"] = r"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -100,23 +100,25 @@ m AS MATERIALIZED (
   FROM d JOIN w USING (rid) JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
 v AS MATERIALIZED (
   SELECT rid, lang, source, unnest([
-    {'m': 1, 'least': 40, 'x': 1000 * n_symbols // greatest(n_words, 1)},
-    {'m': 2, 'least': 150, 'x': 1000 * n_dup_lines // greatest(n_lines, 1)},
-    {'m': 3, 'least': 60, 'x': 1000 * n_repeat_words // greatest(n_words, 1)},
-    {'m': 4, 'least': 60, 'x': 1000 * n_capitals // greatest(word_chars, 1)},
-    {'m': 5, 'least': 150, 'x': 100 * word_chars // greatest(n_words, 1)}], recursive := true) FROM m),
+    {'m': 1, 'x': 1000 * n_symbols // greatest(n_words, 1)},
+    {'m': 2, 'x': 1000 * n_dup_lines // greatest(n_lines, 1)},
+    {'m': 3, 'x': 1000 * n_repeat_words // greatest(n_words, 1)},
+    {'m': 4, 'x': 1000 * n_capitals // greatest(word_chars, 1)},
+    {'m': 5, 'x': 100 * word_chars // greatest(n_words, 1)}], recursive := true) FROM m),
 b AS MATERIALIZED (
   SELECT *, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS b FROM v),
-own AS (SELECT lang, source, m, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3
+own AS (SELECT lang, source, m, count(*) AS n, quantile_disc(b, 0.125) AS q1, quantile_disc(b, 0.5) AS q4, quantile_disc(b, 0.875) AS q7
         FROM b GROUP BY ALL),
-bylang AS (SELECT lang, m, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3
+bylang AS (SELECT lang, m, count(*) AS n, quantile_disc(b, 0.125) AS q1, quantile_disc(b, 0.5) AS q4, quantile_disc(b, 0.875) AS q7
            FROM b GROUP BY ALL),
-every AS (SELECT m, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM b GROUP BY ALL),
+every AS (SELECT m, quantile_disc(b, 0.125) AS q1, quantile_disc(b, 0.5) AS q4, quantile_disc(b, 0.875) AS q7 FROM b GROUP BY ALL),
 verdict AS (
-  SELECT rid, bool_and(x BETWEEN q1 - 3 * greatest(q3 - q1, least) AND q3 + 3 * greatest(q3 - q1, least)) AS ok
-  FROM (SELECT b.rid, b.x, b.least,
+  SELECT rid, bool_and(x BETWEEN q1 - 3 * greatest(q4 - q1, 1::BIGINT << greatest(length(bin(q1)) - 6, 0))
+                         AND q7 + 3 * greatest(q7 - q4, 1::BIGINT << greatest(length(bin(q7)) - 6, 0))) AS ok
+  FROM (SELECT b.rid, b.x,
                CASE WHEN own.n >= 200 THEN own.q1 WHEN bylang.n >= 200 THEN bylang.q1 ELSE every.q1 END AS q1,
-               CASE WHEN own.n >= 200 THEN own.q3 WHEN bylang.n >= 200 THEN bylang.q3 ELSE every.q3 END AS q3
+               CASE WHEN own.n >= 200 THEN own.q4 WHEN bylang.n >= 200 THEN bylang.q4 ELSE every.q4 END AS q4,
+               CASE WHEN own.n >= 200 THEN own.q7 WHEN bylang.n >= 200 THEN bylang.q7 ELSE every.q7 END AS q7
         FROM b JOIN own ON own.m = b.m AND own.lang IS NOT DISTINCT FROM b.lang
                        AND own.source IS NOT DISTINCT FROM b.source
                JOIN bylang ON bylang.m = b.m AND bylang.lang IS NOT DISTINCT FROM b.lang

@@ -44,16 +44,32 @@ def test_measures_equal_plain_ones(spark):
 
 
 def test_limits_follow_their_group(spark):
-    """A marked source may have marks; one marked document among plain ones may not."""
+    """A source of 4 to 8 marks may have 7; one marked document among plain ones may not have 20."""
     marks = lambda n: " ".join(f"#{k}" for k in range(n))
     body = "some plain words stand in this line and more of them follow "
-    rows = [(i, f"{body}{i} " + marks(6 if i % 2 else 0), "en", "ab"[i % 2]) for i in range(600)]
+    rows = [(i, f"{body}{i} " + marks(4 + i // 2 % 5 if i % 2 else 0), "en", "ab"[i % 2]) for i in range(600)]
     rows += [(1000, body + marks(20), "en", "a"), (1001, body + marks(7), "en", "b"), (1002, body, "en", "rare"), (1003, body, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     gone = {r.doc_id for r in quality.judge(cut_lineage(quality.measure(docs))).where("not kept").collect()}
     assert gone == {1000}
 
 
+def test_limits_follow_the_spread_of_their_group(spark):
+    """Two sources of one median and different spread: the wider one has the wider limits, on either side by itself."""
+    word = lambda n: "w" * n
+    rows = []
+    for i in range(800):
+        n = 5 + (i // 2) % 5 - 2 if i % 2 else 5 + ((i // 2) % 8 == 0)
+        rows.append((i, " ".join([word(n)] * 2 + [f"{k:03d}{word(n - 3)}" for k in range(20)]), "en", "narrow wide".split()[i % 2]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r._source: r for r in quality.limits(quality.sketches(quality.measure(docs))).collect()}
+    narrow, wide = found["=narrow"], found["=wide"]
+    assert wide._high_word_length - wide._low_word_length > 4 * (narrow._high_word_length - narrow._low_word_length)
+    # Bins of 8 at 500; the octiles of the narrow source are both its median, those of the wide one 300 and 700.
+    assert (narrow._low_word_length, narrow._high_word_length) == (496 - 3 * 8, 496 + 3 * 8)
+    assert (wide._low_word_length, wide._high_word_length) == (296 - 3 * 200, 688 + 3 * 192)
+
+
 def test_sketch_merges_by_addition(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 40 + 10), "en", "ab"[i % 2]) for i in range(100)], "doc_id long, text string, lang string, source string")
     measured = quality.measure(docs)
