@@ -271,7 +271,7 @@ fits AS (
   ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
 l AS MATERIALIZED (
   SELECT p.*, rule, verdict, CASE WHEN verdict IS NOT NULL THEN verdict = 'block'
-    WHEN list_has_any(string_split_regex(p.host, '[.-]'), ['casino', 'bets', 'pills', 'spam', 'adult', 'ads']) THEN true END AS bad
+    WHEN page_id % 2 = 0 THEN list_has_any(string_split_regex(p.host, '[.-]'), ['casino', 'bets', 'pills', 'spam', 'adult', 'ads']) END AS bad
   FROM p LEFT JOIN fits ON fits.rid = p.rid AND k = 1),
 a AS MATERIALIZED (
   SELECT host, path, count(*) AS pages, count(*) FILTER (bad) AS bad, count(bad) AS labelled, string_split(path, '/') AS s
@@ -289,18 +289,29 @@ step AS (
     WINDOW node AS (PARTITION BY host, template))
   WHERE level < 7),
 tree AS MATERIALIZED (SELECT * FROM step WHERE level = 7),
-leaves AS (
-  SELECT host, template, sum(bad) AS bad, sum(labelled) AS labelled,
-         regexp_replace(template, '^((?:/\*(?:\.[A-Za-z]+)?)*)/[^/*]+', '\1/?') AS shape FROM tree GROUP BY host, template),
-family AS (
-  SELECT *, sum(bad) OVER f / sum(labelled) OVER f AS share FROM leaves WINDOW f AS (PARTITION BY host, shape)),
-branches AS (
-  SELECT *, CASE WHEN CASE WHEN labelled = 0 THEN false WHEN share IN (0.0, 1.0) THEN true
-    ELSE pow(bad - labelled * share, 2) / (labelled * share * (1 - share)) <= 3.84 END THEN shape ELSE template END AS branch
-  FROM family),
+merging AS (
+  SELECT 5 AS level, host, template, template AS branch, CAST(sum(bad) AS DOUBLE) AS bad, CAST(sum(labelled) AS DOUBLE) AS labelled
+  FROM tree GROUP BY host, template
+  UNION ALL
+  SELECT level - 1, host, template,
+         CASE WHEN fl = 0 OR bl = 0 OR fb / fl IN (0.0, 1.0) OR pow(bb - bl * (fb / fl), 2) / (bl * (fb / fl) * (1 - fb / fl)) <= 3.84
+              THEN family ELSE branch END, bad, labelled
+  FROM (
+    SELECT *, sum(bad) OVER b AS bb, sum(labelled) OVER b AS bl, sum(bad) OVER f AS fb, sum(labelled) OVER f AS fl
+    FROM (
+      SELECT *, CASE WHEN coalesce(seg, '') = '' OR seg[1] IN ('*', '?') THEN branch
+             ELSE array_to_string(list_concat(s[:level + 1], ['?' || regexp_extract(seg, '(\.[A-Za-z]{1,5})$', 1)], s[level + 3:]), '/') END AS family
+      FROM (SELECT *, string_split(branch, '/') AS s, string_split(branch, '/')[level + 2] AS seg FROM merging WHERE level >= 0))
+    WINDOW b AS (PARTITION BY host, branch), f AS (PARTITION BY host, family, family = branch))),
+branches AS MATERIALIZED (
+  SELECT host, branch, sum(bad) AS bad, sum(labelled) AS labelled FROM merging WHERE level = -1 GROUP BY host, branch),
+heads AS (
+  SELECT regexp_extract(template, '^/[^/]*') AS head, (sum(bad) + 0.2::DOUBLE * 2) / (sum(labelled) + 2.0::DOUBLE) AS prior
+  FROM merging WHERE level = -1 GROUP BY ALL),
 pure AS (
-  SELECT host, template, (sum(bad) OVER b + 0.2 * 4.0) / (sum(labelled) OVER b + 4.0) AS purity
-  FROM branches WINDOW b AS (PARTITION BY host, branch))
+  SELECT host, template, (b.bad + prior * 2.0::DOUBLE) / (b.labelled + 2.0::DOUBLE) AS purity
+  FROM (SELECT * FROM merging WHERE level = -1) m JOIN branches b USING (host, branch)
+  JOIN heads ON head = regexp_extract(template, '^/[^/]*'))
 SELECT page_id, l.host, l.path, rule, coalesce(verdict, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM l JOIN tree USING (host, path) JOIN pure ON pure.host = l.host AND pure.template = tree.template
 """

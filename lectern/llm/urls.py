@@ -6,11 +6,17 @@ longest host plus path wins.
 
 The tree has one root per host. Level by level, a segment that takes many values for few pages each is
 generalised to ``*``; a segment of a file name keeps its ending (``*.html``). What is deeper than
-``LEVELS`` segments is one ``**``. Sibling templates, which differ in their first literal segment only, are
-merged when their labelled shares do not differ beyond chance; those without labels are not merged. A template is rejected if its share of bad pages,
-smoothed towards ``PRIOR`` by ``STRENGTH`` pseudo-pages, reaches ``REJECT``. Labels are what the rules say,
-and, for pages under no rule, bad if a word of the host is a bad word of the small labelled table
-``BAD_WORDS``; a caller may give labels of their own.
+``LEVELS`` segments is one ``**``. Then, from the deepest level up, branches of a host that differ in one
+literal segment only are a family: those whose labelled share of bad pages does not differ beyond chance
+from that of the family become one branch with ``?`` there, and a branch without labels goes with the
+family. The purity of a template is the share of bad pages in its branch, smoothed by ``STRENGTH``
+pseudo-pages towards the share of all templates, on any host, with the same first segment, which is smoothed
+towards ``PRIOR`` likewise; so a branch without any label takes the share of those it resembles. Templates
+are rejected from ``REJECT`` on.
+
+Labels are what the rules say and those of a labelled table (url, bad). Without a table, the pages of even
+page_id under no rule are labelled: bad if a word of the host is one of ``BAD_WORDS``, else good. All other
+pages are judged by the tree alone, whatever their host is called.
 
 The tree is made of counts of (host, path), so pages are aggregated before any of it. Nulls: a null
 address, or one without ``://``, has an empty host and path and the template of the empty path. Repeated
@@ -20,7 +26,7 @@ table. Only page_id and url are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.skew import lookup_join
@@ -33,13 +39,13 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: The small labelled table: words of hosts whose pages are bad.
+#: Words of hosts that mark a labelled page as bad.
 BAD_WORDS = ("casino", "bets", "pills", "spam", "adult", "ads")
 
 LEVELS = 6
 MANY_VALUES = 8
 FEW_PAGES = 4
-PRIOR, STRENGTH, REJECT = 0.2, 4.0, 0.5
+PRIOR, STRENGTH, REJECT = 0.2, 2.0, 0.5
 #: Squared standard score (one degree of freedom) up to which two shares are alike.
 ALIKE = 3.84
 
@@ -92,38 +98,59 @@ def templates(addresses: DataFrame) -> DataFrame:
     return out
 
 
+def _literal(level: int) -> F.Column:
+    """A branch with ``?`` for the segment of a level; the branch itself if that is none or no literal one."""
+    parts = F.split("branch", "/")
+    own = F.coalesce(F.get(parts, F.lit(level + 1)), F.lit(""))
+    ending = F.regexp_extract(own, r"(\.[A-Za-z]{1,5})$", 1)
+    there = F.transform(parts, lambda x, i: F.when(i == level + 1, F.concat(F.lit("?"), ending)).otherwise(x))
+    return F.when((own == "") | own.rlike(r"^[*?]"), F.col("branch")).otherwise(F.array_join(there, "/"))
+
+
+def _counts(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+
+
+def branches(tree: DataFrame) -> DataFrame:
+    """host, template, bad, labelled and the merged ``branch`` of every leaf of ``tree``. What differs from
+    its family in one level may still be merged in another."""
+    leaves = cut_lineage(_counts(tree, "host", "template").withColumn("branch", F.col("template")))
+    for level in reversed(range(LEVELS)):
+        own = cut_lineage(_counts(leaves, "host", "branch").withColumn("to", _literal(level)).where("to <> branch"))
+        family = own.groupBy("host", "to").agg(F.sum("bad").alias("_b"), F.sum("labelled").alias("_l"))
+        share = F.col("_b") / F.col("_l")
+        score = F.pow(F.col("bad") - F.col("labelled") * share, 2) / (F.col("labelled") * share * (1 - share))
+        alike = F.when((F.col("labelled") == 0) | share.isin(0.0, 1.0), True).otherwise(score <= ALIKE)
+        merged = lookup_join(own, cut_lineage(family), ["host", "to"], ["branch"], "inner").where(alike)
+        merged = cut_lineage(merged.select("host", "branch", "to"))
+        leaves = lookup_join(leaves, merged, ["host", "branch"], ["template"])
+        leaves = cut_lineage(leaves.withColumn("branch", F.coalesce("to", "branch")).drop("to"))
+    return leaves
+
+
 def purities(tree: DataFrame) -> DataFrame:
-    """One row per (host, template) of ``tree`` (host, template, pages, bad, labelled): the merged branch
-    it belongs to and the smoothed share of bad pages there."""
-    leaves = tree.groupBy("host", "template").agg(
-        F.sum("pages").alias("pages"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")
-    )
-    # Siblings are alike but for their first literal segment.
-    shape = F.regexp_replace("template", r"^((?:/\*(?:\.[A-Za-z]+)?)*)/[^/*]+", "$1/?")
-    family = Window.partitionBy("host", "shape")
-    share = F.col("_bad") / F.col("_labelled")
-    score = F.pow(F.col("bad") - F.col("labelled") * share, 2) / (F.col("labelled") * share * (1 - share))
-    alike = F.when(F.col("labelled") == 0, False).when(share.isin(0.0, 1.0), True).otherwise(score <= ALIKE)
-    leaves = (
-        leaves.withColumn("shape", shape)
-        .withColumns({"_bad": F.sum("bad").over(family), "_labelled": F.sum("labelled").over(family)})
-        .withColumn("branch", F.when(alike, F.col("shape")).otherwise(F.col("template")))
-    )
-    branch = Window.partitionBy("host", "branch")
-    pooled = (F.sum("bad").over(branch) + PRIOR * STRENGTH) / (F.sum("labelled").over(branch) + STRENGTH)
-    return leaves.select("host", "template", "branch", pooled.alias("purity"))
+    """One row per (host, template) of ``tree`` (host, path, template, pages, bad, labelled): the branch it
+    belongs to and the smoothed share of bad pages there."""
+    leaves = branches(tree).withColumn("head", F.regexp_extract("template", "^/[^/]*", 0))
+    towards = (F.sum("bad") + PRIOR * STRENGTH) / (F.sum("labelled") + STRENGTH)
+    heads = cut_lineage(leaves.groupBy("head").agg(towards.alias("prior")))
+    own = cut_lineage(_counts(leaves, "host", "branch"))
+    leaves = lookup_join(leaves.drop("bad", "labelled"), heads, ["head"], ["host", "template"], "inner")
+    found = lookup_join(leaves, own, ["host", "branch"], ["template"], "inner")
+    purity = (F.col("bad") + F.col("prior") * STRENGTH) / (F.col("labelled") + STRENGTH)
+    return found.select("host", "template", "branch", purity.alias("purity"))
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template, branch and purity of every row of ``pages``.
 
-    ``labels`` (url, bad) replaces the labelled table for pages that no rule decides.
+    ``labels`` (url, bad) is the labelled table of pages that no rule decides.
     """
     known = parts(pages).withColumn("found", _rule())
     if labels is None:
         words = F.split("host", "[.-]")
-        seed = F.when(F.arrays_overlap(words, F.array(*map(F.lit, BAD_WORDS))), True)
-        known = known.withColumn("_seed", seed)
+        bad = F.arrays_overlap(words, F.array(*map(F.lit, BAD_WORDS)))
+        known = known.withColumn("_seed", F.when(F.col("page_id") % 2 == 0, bad))
     else:
         own = labels.groupBy("url").agg(F.max(F.col("bad").cast("boolean")).alias("_seed"))
         known = lookup_join(known, cut_lineage(own), ["url"], ["page_id"])

@@ -39,23 +39,43 @@ def test_templates_and_depth(spark):
 
 def test_merging_and_smoothing(spark):
     rows, labels = [], []
-    for lang, share, n in (("aa", 0.5, 40), ("bb", 0.55, 40), ("cc", 0.0, 10), ("dd", None, 40)):
+    for lang, share, n in (("aa", 0.5, 40), ("bb", 0.55, 40), ("cc", 0.0, 20), ("dd", None, 40)):
         for k in range(n):
             url = f"x://h/{lang}/{len(rows)}"
             rows.append((len(rows), url))
             if share is not None:
                 labels.append((url, k < share * n))
     got = judged(spark, rows, spark.createDataFrame(labels, "url string, bad boolean"))
-    branch = {got[i].template.split("/")[1]: (got[i].branch, round(got[i].purity, 3), got[i].verdict) for i in (0, 40, 80, 90)}
-    assert branch["cc"] == ("/cc/*", round(0.8 / 14, 3), "allow")
-    assert branch["dd"] == ("/dd/*", 0.2, "allow")
-    pooled = round((20 + 22 + 0.8) / 84, 3)
-    assert branch["aa"] == branch["bb"] == ("/?/*", pooled, "block")
+    found = {got[i].template.split("/")[1]: (got[i].branch, round(got[i].purity, 3), got[i].verdict) for i in (0, 40, 80, 100)}
+    # The clean branch differs beyond chance; the one without labels goes with the family.
+    assert found["cc"] == ("/cc/*", round(2 * 0.4 / 22 / 22, 3), "allow")
+    for lang, prior in (("aa", 20.4 / 42), ("bb", 22.4 / 42), ("dd", 0.2)):
+        assert found[lang] == ("/?/*", round((42 + 2 * prior) / 82, 3), "block")
+
+
+def test_merging_at_a_deeper_level(spark):
+    """Few pages, so nothing is generalised: the last literal is merged, the first tells bad from good."""
+    rows = [(i, f"x://h/{'good' if i % 2 else 'bad'}/{i}") for i in range(14)]
+    labels = spark.createDataFrame([(u, i % 2 == 0) for i, u in rows[:12]], "url string, bad boolean")
+    got = judged(spark, rows, labels)
+    assert {(r.branch, r.verdict) for r in got.values()} == {("/good/?", "allow"), ("/bad/?", "block")}
+
+
+def test_resembling_branches_of_other_hosts(spark):
+    """A host without labels takes the share of the same first segment on other hosts; no word of it is listed."""
+    rows = [(2 * i, f"x://h{i % 5}.example.net/de/{i}.html") for i in range(100)]
+    rows += [(1000 + 2 * i, f"x://plain{i % 5}.org/en/{i}.html") for i in range(100)]
+    rows += [(2001 + 2 * i, f"x://other.org/{'de' if i % 2 else 'en'}/{i}.html") for i in range(40)]
+    got = judged(spark, rows)
+    other = {(got[2001 + 2 * i].template, got[2001 + 2 * i].rule, got[2001 + 2 * i].verdict) for i in range(40)}
+    assert other == {("/de/*.html", None, "block"), ("/en/*.html", None, "allow")}
+    assert all(got[1000 + 2 * i].verdict == "allow" for i in range(100))
 
 
 def test_bad_hosts_repeats_and_empty(spark):
     rows = [(i, f"x://m.casino-win.example.com/en/{i}") for i in range(12)] + [(12, "x://ok.example.com/en/1")]
     got = judged(spark, rows + rows)
+    # Pages of odd number have no label: they are blocked for the template.
     assert [got[i].verdict for i in (0, 11, 12)] == ["block", "block", "allow"]
     pages = spark.createDataFrame(rows + rows, "page_id long, url string")
     assert urls.judge(pages).count() == 26
