@@ -47,9 +47,11 @@ from lectern.session import cut_lineage
 
 SHINGLE = 4
 PERCENT = 85
-#: A shingle that leads in more documents than this is heavy; MAX_HEAVY (8 bytes each) of them at most.
+#: A shingle that leads in more documents than this is heavy; MAX_HEAVY (8 bytes each) of them at most. A task
+#: counts its own, the MAX_COUNTED most frequent at a time, and hands on those it met twice.
 HEAVY_DOCS = 100
 MAX_HEAVY = 1 << 20
+MAX_COUNTED = 1 << 18
 #: A partner of a set of n is met in about one list for every STEP shingles, at least one.
 STEP = 20
 #: Sets are small up to at most this size; the boundary lies at or below it.
@@ -137,18 +139,24 @@ def _sets(size: int):
     return run
 
 
-def _leads(size: int, percent: int, step: int):
-    """h, c: the shingles that come first by hash, half as many again as are listed, counted per slice."""
+def _leads(size: int, percent: int, step: int, most: int):
+    """h, c: the shingles that come first by hash, half as many again as are listed, counted in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, max_bytes=_SLICE):
                 leads = [
                     s[: (len(s) - _least(len(s), percent) + _met(len(s), step)) * 3 // 2]
                     for s in shingle_sets(part["text"], size)
                 ]
-                h, c = np.unique(np.concatenate([*leads, np.zeros(0, np.uint64)]), return_counts=True)
-                yield pa.record_batch([h.view(np.int64), c.astype(np.int64)], names=["h", "c"])
+                new, n = np.unique(np.concatenate([*leads, np.zeros(0, np.uint64)]), return_counts=True)
+                h, place = np.unique(np.concatenate([h, new]), return_inverse=True)
+                c = np.bincount(place, np.concatenate([c, n]), len(h)).astype(np.int64)
+                if len(h) > most:
+                    kept = np.sort(np.argsort(-c, kind="stable")[:most])
+                    h, c = h[kept], c[kept]
+        yield pa.record_batch([h[c > 1].view(np.int64), c[c > 1]], names=["h", "c"])
 
     return run
 
@@ -249,7 +257,7 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     small = sets.where(f"n > 0 and n < {MAX_SMALL}").groupBy("n").agg(F.count("*").alias("c"))
     boundary = choose_boundary({r["n"]: r["c"] for r in small.collect()}, percent)
 
-    leads = docs.mapInArrow(_leads(size, percent, STEP), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    leads = docs.mapInArrow(_leads(size, percent, STEP, MAX_COUNTED), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     leads = leads.where(F.col("c") > HEAVY_DOCS).orderBy(F.desc("c"), "h").limit(MAX_HEAVY).select("h").toArrow()
     heavy = sc.broadcast(np.sort(leads["h"].to_numpy().astype(np.int64).view(np.uint64)))
 
@@ -335,9 +343,14 @@ def _with_larger(ranked: DataFrame, percent: int) -> DataFrame:
 def _linked_in_blocks(ranked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of sets with sets of larger components in long lists.
 
-    A list is cut into blocks of about BLOCK_SHINGLES; each pair of blocks is one group with the sets'
-    shingles, and only links leave it. A pair is compared in the first long list that has both.
+    Of lists with the same sets one is compared. A list is cut into blocks of about BLOCK_SHINGLES; each pair
+    of blocks is one group with the sets' shingles, and only links leave it. A pair is compared in the first
+    long list that has both.
     """
+    same = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    held = ranked.groupBy("sig").agg(F.count("*").alias("c"), *same)
+    held = cut_lineage(held.groupBy("c", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig"))
+    ranked = cut_lineage(lookup_join(ranked, held, ["sig"], ["key"], "inner"))
     longs = ranked.groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("long"))
     rows = (
         ranked.withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
@@ -347,8 +360,12 @@ def _linked_in_blocks(ranked: DataFrame, sets: DataFrame, percent: int) -> DataF
         .join(sets, "key")
     )
     own = ["sig", "key", F.col("rank.s").alias("s"), F.col("rank.component").alias("component"), "long", "shingles"]
-    seekers = rows.where("rank < top").select(*own, F.col("block").alias("x"), F.explode("others").alias("y"), F.lit(True).alias("seeks"))
-    larger = rows.select(*own, F.explode("others").alias("x"), F.col("block").alias("y"), F.lit(False).alias("seeks"))
+    # Inside a block each set comes once, as seeker and as partner.
+    seeks = F.col("rank") < F.col("top")
+    seekers = rows.where(seeks & (F.col("blocks") > 1)).withColumn("y", F.explode("others")).where("y <> block")
+    seekers = seekers.select(*own, F.col("block").alias("x"), "y", F.lit(True).alias("seeks"))
+    larger = rows.withColumn("x", F.explode("others"))
+    larger = larger.select(*own, "x", F.col("block").alias("y"), (seeks & (F.col("x") == F.col("block"))).alias("seeks"))
     return (
         seekers.unionByName(larger)
         .groupBy("sig", "x", "y")
@@ -376,7 +393,8 @@ def _block_links(percent: int):
         earlier, column = np.unique(longs[longs < sig], return_inverse=True)
         before = np.zeros((len(key), len(earlier)), np.float32)
         before[row[longs < sig], column] = 1
-        partners = np.flatnonzero(~seeks)
+        one_block = group["x"][0].as_py() == group["y"][0].as_py()
+        partners = np.flatnonzero(~seeks | one_block)
         held = np.zeros(int(numbers.max(initial=-1)) + 1, bool)
         a, b = [], []
         for i in np.flatnonzero(seeks):
