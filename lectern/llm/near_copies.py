@@ -65,6 +65,8 @@ CENTRES = 1
 #: Longer lists are compared inside tasks, in blocks of about so many shingles (8 bytes each).
 LONG_LIST = 256
 BLOCK_SHINGLES = 1 << 20
+#: Pairs are told apart by bitmaps of so many 64-bit words first, where they can be.
+BIT_WORDS = 16
 _SLICE = 8 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -198,7 +200,7 @@ def _signatures(size: int, percent: int, boundary: int, heavy: Broadcast, step:
 
 
 def _wanted_sets(size: int, wanted: Broadcast | None):
-    """key, shingles of the wanted sets, once per slice."""
+    """key, n, bits and shingles of the wanted sets, once per slice. A bit is set if a shingle falls on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = None if wanted is None else wanted.value
@@ -211,11 +213,17 @@ def _wanted_sets(size: int, wanted: Broadcast | None):
                         if chosen is None or (len(chosen) and chosen[min(np.searchsorted(chosen, key), len(chosen) - 1)] == key):
                             found[key] = s
                 if found:
-                    offsets = np.cumsum([0, *map(len, found.values())])
-                    flat = pa.array(np.concatenate(list(found.values())).view(np.int64))
+                    n = np.array([*map(len, found.values())])
+                    flat = np.concatenate(list(found.values()))
+                    bits = np.zeros((len(n), 64 * BIT_WORDS), np.uint8)
+                    bits[np.repeat(np.arange(len(n)), n), (flat >> np.uint64(24)) % np.uint64(64 * BIT_WORDS)] = 1
+                    bits = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
+                    lists = lambda lengths, x: pa.ListArray.from_arrays(
+                        pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(x.view(np.int64))
+                    )
                     yield pa.record_batch(
-                        [pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)],
-                        names=["key", "shingles"],
+                        [pa.array(list(found), pa.int64()), n, lists(np.full(len(n), BIT_WORDS), bits), lists(n, flat)],
+                        names=["key", "n", "bits", "shingles"],
                     )
 
     return run
@@ -242,8 +250,18 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets link."""
-    with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+    """The pairs (a, b) of keys whose sets link.
+
+    Sets differ in as many shingles as their bitmaps differ in bits, or more; pairs that differ in too many
+    go before any shingles are moved.
+    """
+    bits = sets.select("key", "n", "bits")
+    named = lambda x: bits.select(*(F.col(c).alias(f"{c}_{x}") for c in bits.columns))
+    near = pairs.join(named("a"), F.col("a") == F.col("key_a")).join(named("b"), F.col("b") == F.col("key_b"))
+    apart = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    near = near.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    near = cut_lineage(near.select("a", "b"))
+    with_a = near.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
     both = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
@@ -281,7 +299,7 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     chosen = None
     if n_wanted <= MAX_WANTED:
         chosen = sc.broadcast(np.sort(wanted.toArrow()["key"].to_numpy().astype(np.int64)))
-    found = docs.mapInArrow(_wanted_sets(size, chosen), "key long, shingles array<long>")
+    found = docs.mapInArrow(_wanted_sets(size, chosen), "key long, n long, bits array<long>, shingles array<long>")
     if chosen is None:
         found = found.join(wanted, "key", "left_semi")
     found = cut_lineage(found.dropDuplicates(["key"]))
@@ -357,7 +375,7 @@ def _linked_in_blocks(ranked: DataFrame, sets: DataFrame, percent: int) -> DataF
         .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("others", F.sequence(F.lit(0), F.col("blocks") - 1))
         .join(longs, "key")
-        .join(sets, "key")
+        .join(sets.select("key", "shingles"), "key")
     )
     own = ["sig", "key", F.col("rank.s").alias("s"), F.col("rank.component").alias("component"), "long", "shingles"]
     # Inside a block each set comes once, as seeker and as partner.
