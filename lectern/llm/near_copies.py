@@ -51,7 +51,9 @@ PERCENT = 85
 #: counts its own, the MAX_COUNTED most frequent at a time, and hands on those it met twice.
 HEAVY_DOCS = 100
 MAX_HEAVY = 1 << 20
-MAX_COUNTED = 1 << 18
+MAX_COUNTED = 1 << 17
+#: Sets that a task remembers, so as not to list their copies.
+MAX_SEEN = 1 << 16
 #: A partner of a set of n is met in about one list for every STEP shingles, at least one.
 STEP = 20
 #: Sets are small up to at most this size; the boundary lies at or below it.
@@ -67,7 +69,7 @@ LONG_LIST = 256
 BLOCK_SHINGLES = 1 << 20
 #: Pairs are told apart by bitmaps of so many 64-bit words first, where they can be.
 BIT_WORDS = 16
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -164,14 +166,16 @@ def _leads(size: int, percent: int, step: int, most: int):
 
 
 def _signatures(size: int, percent: int, boundary: int, heavy: Broadcast, step: int):
-    """sig, key, n: subsets of small sets, list entries of large ones. Copies in a slice of the input are
-    listed once."""
+    """sig, key, n: subsets of small sets, list entries of large ones. Of copies in a task
+    most are listed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = heavy.value
+        last, seen = heavy.value, set()
         for batch in batches:
             for part in slices(batch, max_bytes=_SLICE):
-                sigs, rows, seen = [], [], set()
+                sigs, rows = [], []
+                if len(seen) > MAX_SEEN:
+                    seen.clear()
                 for s in shingle_sets(part["text"], size):
                     n = len(s)
                     key = _key(s) if n else None
