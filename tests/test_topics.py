@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.operators import coherence as co
@@ -89,6 +91,32 @@ def windows_of(text, size):
     return [set(w[i : i + size]) for i in range(len(w) - size + 1)]
 
 
+def test_pairs_of_many_topics_come_in_bounded_parts(monkeypatch):
+    """A thousand terms of 20,000 topics: one matrix per pair of blocks would be 820 of them."""
+    monkeypatch.setattr(tm, "HELD_PAIRS", 5000)
+    rng = np.random.default_rng(1)
+    sizes = [*rng.integers(1, 40, 998).tolist(), 300, 700]
+    lists = [rng.choice(np.arange(-7, 20_000), n, replace=False).astype(np.int32) for n in sizes]
+    scores = [rng.random(n) for n in sizes]
+    batch = pa.record_batch([pa.array(lists), pa.array(scores)], names=["topics", "scores"])
+    want = {}
+    for names, values in zip(lists, scores, strict=True):
+        order = np.argsort(names)
+        for i, a in enumerate(order):
+            for b in order[i + 1 :]:
+                pair = names[a].item(), names[b].item()
+                want[pair] = want.get(pair, 0.0) + values[a] * values[b]
+    got = {}
+    for pairs, dots in tm._pair_products(batch, 512):
+        assert len(pairs) <= max(5000 + 128, 512 * 512)
+        for pair, dot in zip(pairs.tolist(), dots.tolist(), strict=True):
+            b = pair & 0xFFFFFFFF
+            pair = pair >> 32, b - (b >> 31 << 32)
+            got[pair] = got.get(pair, 0.0) + dot
+    assert got.keys() == want.keys()
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
 def test_window_counts_equal_listed_windows(spark, monkeypatch):
     rnd = random.Random(9)
     texts = [" ".join(rnd.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(rnd.randint(0, 15))) for _ in range(60)]
