@@ -111,6 +111,26 @@ def test_polarity_learns_the_labels(spark):
         assert r.polarity_positive + r.polarity_neutral + r.polarity_negative == pytest.approx(1)
 
 
+def test_many_words_score_by_blocks_as_by_a_broadcast(spark, monkeypatch):
+    rows = [("good fine day", "positive"), ("bad bad day", "negative"), ("table of things", "neutral")]
+    texts = spark.createDataFrame(rows, "normalized_text string, label string")
+    cells = ["good bad day a", "", None, "unseen words good", "bad  day ", "x", "fine"] * 9
+    chunks = spark.createDataFrame(
+        [(f"v{i % 4}", i, t) for i, t in enumerate(cells)], "video_id string, chunk_id bigint, normalized_text string"
+    )
+    found = sn.learn_polarity(texts)
+    score = lambda: {(r.video_id, r.chunk_id): r for r in sn.score_polarity(chunks, *found).collect()}
+    want = score()
+    monkeypatch.setattr(sn, "MAX_VOCABULARY", 3)
+    monkeypatch.setattr(sn, "BLOCK_CHARS", 60)
+    # The weights and the texts of a chunk must not meet word by word: only one row per block and word is moved.
+    monkeypatch.setattr(sn.F, "explode_outer", None)
+    got = score()
+    assert got.keys() == want.keys() and len(got) == len(cells)
+    for key in want:
+        assert got[key] == pytest.approx(want[key])
+
+
 def test_emotions_are_independent(spark):
     texts = spark.createDataFrame(
         [("happy sun", True, False), ("sad rain", False, True), ("happy tears", True, True)], "normalized_text string, joy boolean, grief boolean"
