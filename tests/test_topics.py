@@ -65,6 +65,30 @@ def test_topic_info_with_documents(chunks):
     assert len(info[1].Representation) <= 10
 
 
+@pytest.mark.parametrize("max_n", [1, 2])
+def test_representative_docs_by_slices_equal_plain_cosine(spark, monkeypatch, max_n):
+    """Slices of some words: the terms of a slice meet its topic's weights once, those of other topics never."""
+    rng = random.Random(max_n)
+    rows = [(f"v{i % 5}", i, i % 3 - 1, " ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "x", "only" * (i % 7)], k=i % 11))) for i in range(60)]
+    df = spark.createDataFrame(rows, "video_id string, chunk_id bigint, topic_id int, normalized_text string")
+    weights = tm.ctfidf(tm.term_counts(df, stop_words=["ee"], max_n=max_n)).localCheckpoint()
+    table = {(r.topic_id, r.term): (r.idf, r.score) for r in weights.collect()}
+    best = defaultdict(list)
+    for video, chunk, topic, text in rows:
+        words = [w for w in text.split() if len(w) > 1 and w != "ee"]
+        terms = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])] * (max_n - 1))
+        found = [(n, *table[topic, t]) for t, n in terms.items() if (topic, t) in table]
+        norm = math.sqrt(sum(s * s for (k, _), (_, s) in table.items() if k == topic))
+        if found:
+            close = sum(n * i * s for n, i, s in found) / math.sqrt(sum((n * i) ** 2 for n, i, _ in found)) / norm
+            best[topic].append((-round(close, 9), video, chunk))
+    monkeypatch.setattr(tm, "SLICE_CHARS", 60)
+    got = tm.representative_docs(df, weights, 4, stop_words=["ee"], max_n=max_n).collect()
+    assert sorted((r.topic_id, r["rank"], r.video_id, r.chunk_id) for r in got) == sorted(
+        (topic, rank, video, chunk) for topic in best for rank, (_, video, chunk) in enumerate(sorted(best[topic])[:4], 1)
+    )
+
+
 def test_distances_equal_plain_cosine(spark):
     rnd = random.Random(5)
     rows = [(t, f"w{w}", rnd.random()) for t in (-1, 0, 1, 2, 7) for w in rnd.sample(range(30), 12)]
