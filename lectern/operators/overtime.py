@@ -73,13 +73,21 @@ def topics_over_time(
         F.count("*").alias("tf")
     )
     tuned = global_tuning or evolution_tuning
-    weighted = cut_lineage(
-        in_bin.join(weights.select("topic_id", "term", "idf", "score"), ["topic_id", "term"])
-        .join(F.broadcast(periods), "bin")
-        .withColumn("w", F.col("tf") * F.col("idf"))
+    # One row per (topic, term), written once. A topic's overall words count in every period, also those
+    # not said in any chunk of it.
+    per_term = cut_lineage(
+        weights.select("topic_id", "term", "idf", "score")
+        .join(in_bin.join(F.broadcast(periods), "bin"), ["topic_id", "term"], "left" if global_tuning else "inner")
+        .groupBy("topic_id", "term")
+        .agg(
+            F.max("score").alias("_score"),
+            F.collect_list("period").alias("_at"),
+            F.collect_list(F.col("tf") * F.col("idf")).alias("_w"),
+            F.collect_list("tf").alias("_tf"),
+        )
     )
-    divisor = F.sum("w") if tuned else F.sum("tf")
-    sums = weighted.groupBy("topic_id", "period").agg(divisor.alias("total"))
+    parts = F.arrays_zip(F.col("_at").alias("period"), F.col("_w" if tuned else "_tf").alias("part"))
+    sums = per_term.select("topic_id", F.inline(parts)).groupBy("topic_id", "period").agg(F.sum("part").alias("total"))
     totals = (
         frequency.join(F.broadcast(periods), "bin")
         .join(sums, ["topic_id", "period"], "left")
@@ -90,14 +98,6 @@ def topics_over_time(
     )
     overall = weights.groupBy("topic_id").agg(F.sum("score").alias("_sum"))
     per_topic = cut_lineage(present.join(overall, "topic_id"))
-    per_term = weighted.groupBy("topic_id", "term").agg(
-        F.max("score").alias("_score"), F.collect_list("period").alias("_at"), F.collect_list("w").alias("_w")
-    )
-    if global_tuning:
-        # A topic's overall words count in every period, also those not said in any chunk of it.
-        per_term = weights.select("topic_id", "term", F.col("score").alias("_score")).join(
-            per_term.drop("_score"), ["topic_id", "term"], "left"
-        )
     rows = lookup_join(per_term, per_topic, ["topic_id"], ["term"], "inner").select(
         F.col("topic_id").cast("bigint").alias("topic_id"),
         "term",
@@ -124,6 +124,24 @@ def topics_over_time(
     )
 
 
+def _places(groups: np.ndarray) -> np.ndarray:
+    """The place of every row in its group, from 0; the rows of a group stand together."""
+    first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    return np.arange(len(groups)) - np.repeat(first, np.diff(np.r_[first, len(groups)]))
+
+
+def _nth(groups: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """For every row the ``n``-th largest value of its group, or the smallest of fewer."""
+    order = np.lexsort((-values, groups))
+    groups = groups[order]
+    last = np.flatnonzero(np.r_[groups[1:] != groups[:-1], True])
+    size = np.diff(np.r_[-1, last])
+    cut = values[order][last - size + np.minimum(size, n)]
+    out = np.empty(len(values))
+    out[order] = np.repeat(cut, size)
+    return out
+
+
 def _best_terms(bins: int, n: int, global_tuning: bool, evolution_tuning: bool):
     """Arrow function: the tuned weight of every term in every period, of which the ``n`` best per
     topic and period of each batch are emitted; the rest could not be among the best of all."""
@@ -138,7 +156,7 @@ def _best_terms(bins: int, n: int, global_tuning: bool, evolution_tuning: bool):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             topic = batch.column("topic_id").to_numpy()
-            term = batch.column("term").to_numpy(zero_copy_only=False)
+            term = batch.column("term")
             g = batch.column("g").to_numpy()
             said = spread(batch.column("_w").flatten(), batch.column("_at"))
             total = spread(batch.column("_totals").flatten(), batch.column("_periods"))
@@ -153,17 +171,19 @@ def _best_terms(bins: int, n: int, global_tuning: bool, evolution_tuning: bool):
                     now = (now + g) / 2
                 x = np.where(here, now, 0.0)
                 some = np.flatnonzero(x > 0)
-                order = some[np.lexsort((term[some], -np.round(x[some], 12), topic[some]))]
-                if not len(order):
+                if not len(some):
                     continue
-                first = np.flatnonzero(np.r_[True, topic[order][1:] != topic[order][:-1]])
-                place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-                top = order[place < n]
+                # Numbers alone show what is at least as good as the nth; the few such rows are put in order by term.
+                value = np.round(x[some], 12)
+                some = some[value >= _nth(topic[some], value, n)]
+                words = term.take(pa.array(some)).to_numpy(zero_copy_only=False)
+                order = some[np.lexsort((words, -np.round(x[some], 12), topic[some]))]
+                top = order[_places(topic[order]) < n]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(topic[top]),
                         pa.array(np.full(len(top), period, dtype="int32")),
-                        pa.array(term[top], pa.string()),
+                        term.take(pa.array(top)).cast(pa.string()),
                         pa.array(x[top]),
                     ],
                     names=["topic_id", "period", "term", "x"],

@@ -210,6 +210,24 @@ def plain_over_time(rows, weights, bins, glob, evo):
     return out
 
 
+def test_topics_over_time_moves_words_once(spark, monkeypatch):
+    """The written table is one row per (topic, term), and the weights are not joined a second time."""
+    rows = [(float(i % 7), i % 2, f"aa b{i % 3} cc d{i % 5}d") for i in range(40)]
+    df = spark.createDataFrame(rows, "t double, topic_id int, normalized_text string")
+    weights = tm.ctfidf(tm.term_counts(df, stop_words=[])).localCheckpoint()
+    written = []
+    monkeypatch.setattr(ot, "cut_lineage", lambda d: written.append(d.localCheckpoint()) or written[-1])
+    ot.topics_over_time(df, weights, "t", 5, stop_words=[]).collect()
+    per_term = [d for d in written if "term" in d.columns]
+    assert len(per_term) == 1 and per_term[0].count() == weights.count()
+
+
+def test_nth_largest_of_a_group():
+    topic, value = np.array([0, 1, 0, 0, 1, 0]), np.array([3.0, 1, 2, 3, 5, 1])
+    assert ot._nth(topic, value, 2).tolist() == [3, 1, 3, 3, 1, 3]
+    assert ot._nth(topic, value, 9).tolist() == [1, 1, 1, 1, 1, 1]
+
+
 @pytest.mark.parametrize("glob, evo", [(True, True), (True, False), (False, True), (False, False)])
 def test_topics_over_time(spark, glob, evo):
     rnd = random.Random(11)
