@@ -51,8 +51,14 @@ def bucket_idf(df: DataFrame, dims: int, words: Column) -> DataFrame:
 
     Every task combines its texts to at most ``dims`` counts before they meet.
     """
+    return _smoothed(df, F.explode(F.array_distinct(buckets(words, dims)).cast("array<int>")).alias("bucket"), "true", dims)
+
+
+def _smoothed(df: DataFrame, found: Column, kept: str, dims: int) -> DataFrame:
+    """The frequencies of :func:`bucket_idf` from the buckets ``found`` in every row, each once."""
     seen = (
-        df.select(F.explode(F.array_distinct(buckets(words, dims)).cast("array<int>")).alias("bucket"))
+        df.select(found)
+        .where(kept)
         .groupBy("bucket")
         .agg(F.count("*").alias("n"))
         .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("_seen"))
@@ -80,11 +86,13 @@ def embed_hashed(
     """Add ``embedding``: hashed TF-IDF of the words, scaled to length 1, as array<float>.
 
     Everything but the ``dims`` document counts is row-local. Give ``idf`` to embed new texts with
-    the counts of an earlier corpus.
+    the counts of an earlier corpus; without, the counts of words are written first, so that neither ``df``
+    nor the hash of a word is worked out again for the document counts.
     """
-    words = tokens(F.col(text_col))
-    counted = bucket_counts(df, dims, words)
-    idf = bucket_idf(df, dims, words) if idf is None else idf
+    counted = bucket_counts(df, dims, tokens(F.col(text_col)))
+    if idf is None:
+        counted = cut_lineage(counted)
+        idf = _smoothed(counted, F.posexplode("counts").alias("bucket", "n"), "n > 0", dims)
     weighted = counted.withColumn("_idf", idf.scalar()).withColumn(
         "_weighted", F.zip_with("counts", "_idf", lambda c, w: c * w)
     )

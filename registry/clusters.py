@@ -205,7 +205,8 @@ def _(spark, d):
 
 @query("topic_map")
 def _(spark, d):
-    vectors = b.stored(rv.embedded(spark, d).select("video_id", "chunk_id", "embedding"))
-    topics = b.topic_chunks(spark, d).select("video_id", "chunk_id", "topic_id")
+    chunks = b.stored(b.chunks(spark, d))
+    vectors = b.stored(rv.embedded(spark, d, chunks).select("video_id", "chunk_id", "embedding"))
+    topics = b.assign(chunks, b.video_topics(spark, d)).select("video_id", "chunk_id", "topic_id")
     both = b.stored(topics.join(vectors, ["video_id", "chunk_id"]))
     return cl.topic_map(both, vc.centroids(both))

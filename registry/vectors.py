@@ -40,8 +40,8 @@ b.CTES["embedded"] = (
 )
 
 
-def embedded(spark, d):
-    return vc.embed_hashed(b.chunks(spark, d), DIMS)
+def embedded(spark, d, of=None):
+    return vc.embed_hashed(b.chunks(spark, d) if of is None else of, DIMS)
 
 
 @query(
@@ -145,9 +145,10 @@ b.CTES["flat"] = (
     ),
 )
 def _(spark, d):
-    vectors = b.stored(embedded(spark, d))
+    chunks = b.stored(b.chunks(spark, d))
+    vectors = b.stored(embedded(spark, d, chunks.select("video_id", "chunk_id", "normalized_text")).drop("normalized_text"))
     placed = vc.project_2d(vectors)
-    topics = b.topic_chunks(spark, d)
+    topics = b.assign(chunks, b.video_topics(spark, d))
     shown = vc.scatter_data(topics, placed)
     return shown.withColumns({c: F.round(c, 6) + 0.0 for c in ("x", "y")})
 

@@ -77,6 +77,21 @@ def test_embedding_is_unit_and_repeatable(spark):
     assert np.linalg.norm(one[0]) == pytest.approx(1, abs=1e-6) and not any(one[2])
 
 
+def test_texts_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i, f"word w{i % 3}") for i in range(12)], "id long, normalized_text string")
+    got = {r.id: r.embedding for r in vc.embed_hashed(df.mapInArrow(read, df.schema), 8).collect()}
+    assert seen.value == 12
+    given = vc.bucket_idf(df, 8, vc.tokens(vc.F.col("normalized_text")))
+    assert got == {r.id: r.embedding for r in vc.embed_hashed(df, 8, idf=given).collect()}
+
+
 def test_projection_keeps_the_main_direction(spark):
     rng = np.random.default_rng(0)
     t = rng.normal(size=200)
