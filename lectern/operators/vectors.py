@@ -21,9 +21,9 @@ from lectern.session import cut_lineage
 KEY = ("video_id", "chunk_id")
 #: So many queries are broadcast at most.
 QUERY_BLOCK = 20_000
-#: Cells of base vectors, and rows of one block of a cell: they bound memory, not the result.
+#: Cells of base vectors, and rows of one block of cells: they bound memory, not the result.
 MAX_PIVOTS = 1024
-CELL_ROWS = 8192
+CELL_ROWS = 16384
 
 
 # ------------------------------------------------------------ embedding
@@ -230,82 +230,115 @@ def _cell_table(base: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, list]:
     return placed, pivots, sizes.join(first, "cell").orderBy("cell").collect()
 
 
-def _reachable(queries: DataFrame, pivots: np.ndarray, cells: list, k: int) -> DataFrame:
-    """(_q, _v, cell): the cells that can hold one of the ``k`` nearest vectors of a query.
+def _reachable(queries: DataFrame, pivots: np.ndarray, cells: list, k: int, groups: np.ndarray | None = None) -> DataFrame:
+    """(_q, _v, cell): the cells that can hold one of the ``k`` nearest vectors of a query. With ``groups``, the
+    rising number of the group of each cell, a query comes once per group: (_q, _v, grp, cells).
 
     A vector ``f`` from its pivot is at most ``d + f`` from a query ``d`` from the pivot, so the kth smallest
     such sum bounds the kth distance; and it is at least ``d - f`` and ``f - d`` away.
     """
     names = np.array([c["cell"] for c in cells])
     low, high = (np.array([c[x] for c in cells]) for x in ("low", "high"))
-    first = np.full((len(cells), k), np.inf)
+    nearest = np.full((len(cells), k), np.inf)
     for i, c in enumerate(cells):
-        first[i, : len(c["first"])] = c["first"]
+        nearest[i, : len(c["first"])] = c["first"]
     centers = pivots[names]
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per = max(1, 2_000_000 // first.size)
+        per = max(1, 2_000_000 // nearest.size)
         for big in batches:
             for at in range(0, big.num_rows, per):
                 batch = big.slice(at, per)
                 d = np.sqrt(np.maximum(_distances(_matrix(batch.column("_v")), centers), 0.0))
-                sums = (d[:, :, None] + first[None, :, :]).reshape(len(d), -1)
+                sums = (d[:, :, None] + nearest[None, :, :]).reshape(len(d), -1)
                 most = np.partition(sums, min(k, sums.shape[1]) - 1, axis=1)[:, min(k, sums.shape[1]) - 1, None]
                 # Distances by products are off by some 1e-8 of the lengths; the slack is far above.
                 slack = 1e-5 * (1.0 + np.where(np.isfinite(most), most, 0.0) + d)
                 q, cell = np.nonzero(np.maximum(d - high, low - d) <= most + slack)
+                if groups is not None:
+                    grp = groups[cell]
+                    first = np.flatnonzero(np.r_[len(q) > 0, (q[1:] != q[:-1]) | (grp[1:] != grp[:-1])][: len(q)])
+                    pick = pa.array(q[first])
+                    held = pa.ListArray.from_arrays(np.r_[first, len(q)].astype(np.int32), names[cell].astype(np.int32))
+                    arrays = [batch.column("_q").take(pick), batch.column("_v").take(pick), pa.array(grp[first].astype(np.int32)), held]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["_q", "_v", "grp", "cells"])
+                    continue
                 pick = pa.array(q)
                 arrays = [batch.column("_q").take(pick), batch.column("_v").take(pick), pa.array(names[cell].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["_q", "_v", "cell"])
 
-    return queries.mapInArrow(reach, "_q bigint, _v array<float>, cell int")
+    shape = "cell int" if groups is None else "grp int, cells array<int>"
+    return queries.mapInArrow(reach, f"_q bigint, _v array<float>, {shape}")
 
 
 def _knn_cells(base: DataFrame, queries: DataFrame, k: int, rows: int = CELL_ROWS) -> DataFrame:
     """Candidates for the ``k`` nearest: queries meet the cells they can reach, cut into bounded blocks.
 
-    A cell with many vectors or many queries is dealt over blocks of about ``rows`` of each, so a cell that
-    holds a third of everything is many tasks. What the driver sees is one row per cell.
+    Cells of ``rows`` vectors together are a group, and a query is moved once per group with the list of those
+    it can reach, however many these are. A group with many vectors (one large cell) or many queries is dealt
+    over blocks of about ``rows`` of each, so a cell that holds a third of everything is many tasks. What the
+    driver sees is one row per cell.
     """
     spark = base.sparkSession
     placed, pivots, cells = _cell_table(base, k)
     if not cells:
         return spark.createDataFrame([], _NEAR)
-    met = cut_lineage(_reachable(queries, pivots, cells, k))
-    asked = {r["cell"]: r["n"] for r in met.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = [(c["cell"], -(-c["n"] // rows), -(-asked[c["cell"]] // rows)) for c in cells if c["cell"] in asked]
+    group_of, held = [], 0
+    for c in cells:
+        new = not group_of or held + c["n"] > rows
+        group_of.append((group_of[-1] + 1 if group_of else 0) if new else group_of[-1])
+        held = c["n"] if new else held + c["n"]
+    met = cut_lineage(_reachable(queries, pivots, cells, k, np.array(group_of)))
+    asked = {r["grp"]: r["n"] for r in met.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    size = np.bincount(group_of, [c["n"] for c in cells]).astype(int).tolist()
+    blocks = [(g, -(-n // rows), -(-asked[g] // rows)) for g, n in enumerate(size) if g in asked]
     if not blocks:
         return spark.createDataFrame([], _NEAR)
-    shape = F.broadcast(spark.createDataFrame(blocks, "cell int, parts bigint, lots bigint"))
+    shape = F.broadcast(spark.createDataFrame(blocks, "grp int, parts bigint, lots bigint"))
+    groups = F.broadcast(spark.createDataFrame([(c["cell"], g) for c, g in zip(cells, group_of, strict=True)], "cell int, grp int"))
     number = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    group = ["cell", "part", "lot"]
-    left = met.join(shape, "cell").withColumn("lot", number("_q", "lots")).withColumn("part", every("parts"))
-    right = placed.join(shape, "cell").withColumn("part", number("_id", "parts")).withColumn("lot", every("lots"))
+    block = ["grp", "part", "lot"]
+    left = met.join(shape, "grp").withColumn("lot", number("_q", "lots")).withColumn("part", every("parts"))
+    right = placed.join(groups, "cell").join(shape, "grp").withColumn("part", number("_id", "parts")).withColumn("lot", every("lots"))
+
+    def ranked(row: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> np.ndarray:
+        """Where the ``k`` best of every row are."""
+        by = np.lexsort((ids, exact, row))
+        return by[np.arange(len(by)) - np.searchsorted(row[by], row[by]) < k]
 
     def nearest(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        out = []
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if queries.num_rows and vectors.num_rows:
-            names, q = queries["_q"].to_numpy(), _matrix(queries["_v"].combine_chunks())
-            ids, b = vectors["_id"].to_numpy(), _matrix(vectors["_v"].combine_chunks())
-            take, per = min(k, len(ids)), max(1, 2_000_000 // len(ids))
-            for at in range(0, len(q), per):
-                some = q[at : at + per]
-                rough = _distances(some, b)
-                edge = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-9 * (1.0 + (some * some).sum(axis=1))
-                i, j = np.nonzero(rough <= edge[:, None])
-                exact = np.concatenate(
-                    [((b[j[c : c + 50_000]] - some[i[c : c + 50_000]]) ** 2).sum(axis=1) for c in range(0, len(i), 50_000)]
-                )
-                by = np.lexsort((ids[j], exact, i))
-                i, j, exact = i[by], j[by], exact[by]
-                kept = np.arange(len(i)) - np.searchsorted(i, i) < k
-                out.append((names[at + i[kept]], ids[j[kept]], exact[kept]))
-        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
-        return pa.table(dict(zip(("_q", "_id", "distance"), parts, strict=True)))
-
-    return left.select(*group, "_q", "_v").groupBy(*group).cogroup(
-        right.select(*group, "_id", "_v").groupBy(*group)
+            q, b = _matrix(queries["_v"].combine_chunks()), _matrix(vectors["_v"].combine_chunks())
+            ids, cell = vectors["_id"].to_numpy(), vectors["cell"].to_numpy()
+            lists = queries["cells"].combine_chunks()
+            wants, asker = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            asker = asker[np.argsort(wants, kind="stable")]
+            wants = np.sort(wants)
+            for name in np.unique(cell):
+                here = np.flatnonzero(cell == name)
+                askers = asker[np.searchsorted(wants, name) : np.searchsorted(wants, name, side="right")]
+                own, near = ids[here], b[here]
+                take, per = min(k, len(here)), max(1, 2_000_000 // len(here))
+                for at in range(0, len(askers), per):
+                    some_rows = askers[at : at + per]
+                    some = q[some_rows]
+                    rough = _distances(some, near)
+                    edge = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-9 * (1.0 + (some * some).sum(axis=1))
+                    i, j = np.nonzero(rough <= edge[:, None])
+                    exact = np.concatenate(
+                        [((near[j[c : c + 50_000]] - some[i[c : c + 50_000]]) ** 2).sum(axis=1) for c in range(0, len(i), 50_000)]
+                    )
+                    kept = ranked(i, own[j], exact)
+                    out.append((some_rows[i[kept]], own[j[kept]], exact[kept]))
+        row, found, exact = (np.concatenate(x) for x in zip(*out, strict=True))
+        kept = ranked(row, found, exact)
+        names = queries["_q"].to_numpy()[row[kept]] if len(kept) else row
+        return pa.table({"_q": names, "_id": found[kept], "distance": exact[kept]})
+
+    return left.select(*block, "_q", "_v", "cells").groupBy(*block).cogroup(
+        right.select(*block, "_id", "_v", "cell").groupBy(*block)
     ).applyInArrow(nearest, _NEAR)
 
 

@@ -61,6 +61,23 @@ def test_knn_of_more_queries_than_a_block_reads_only_near_cells(spark):
     assert compared < 0.25 * len(base) * len(queries)
 
 
+def test_knn_moves_a_query_once_per_group_of_cells(spark, monkeypatch):
+    """In many dimensions a query reaches every cell: 40 of them here, which lie in two blocks."""
+    rng = np.random.default_rng(6)
+    base = rng.random((1600, 32)).astype("float32")
+    table = frame(spark, range(1600), base).repartition(3)
+    written = []
+    monkeypatch.setattr(vc, "cut_lineage", lambda d: written.append(d.localCheckpoint()) or written[-1])
+    cut = lambda df, name: df.select(F.col("vec_id").alias(name), F.col("embedding").alias("_v"))
+    found = vc._knn_cells(cut(table, "_id"), cut(table.where("vec_id < 50"), "_q"), 5, 900).collect()
+    placed, met = written
+    assert placed.select("cell").distinct().count() > 30 and met.count() <= 50 * 2
+    got = {}
+    for r in sorted(found, key=lambda r: (r["_q"], r.distance, r["_id"])):
+        got.setdefault(r["_q"], []).append(r["_id"])
+    assert {q: x[:5] for q, x in got.items()} == plain_knn(np.arange(1600), base, range(50), base[:50], 5)
+
+
 def test_knn_with_fewer_vectors_than_k_and_no_queries(spark):
     base = frame(spark, [1, 2], np.eye(2))
     assert vc.knn(base, base.withColumnRenamed("vec_id", "query_id"), 5).count() == 4
