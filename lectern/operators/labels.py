@@ -94,7 +94,8 @@ def statistical_scores(
     neighbours = F.zip_with(
         "_words", F.slice("_words", 2, 2_000_000_000), lambda a, b: F.struct(a.alias("w1"), b.alias("w2"))
     )
-    pairs = (
+    # Written once: the neighbours on both sides and the scores of pairs read it.
+    pairs = cut_lineage(
         rows.select("topic_id", F.inline(neighbours))
         .where("w2 is not null")
         .groupBy("topic_id", "w1", "w2")
@@ -157,9 +158,11 @@ def keywords_statistical(scores: DataFrame, n: int = 5, dedup_ratio: float = 0.9
         if rank < n:
             taken = best.select("topic_id", F.col("phrase").alias("_taken"))
             longer = F.greatest(F.length("phrase"), F.length("_taken"))
+            # At least the difference in length has to be changed, which tells most phrases apart at no cost.
+            apart = 1 - F.abs(F.length("phrase") - F.length("_taken")) / longer <= dedup_ratio
             ratio = 1 - F.levenshtein("phrase", "_taken") / longer
             left = cut_lineage(
-                lookup_join(left, taken, ["topic_id"], ["phrase"], "inner").where(ratio <= dedup_ratio).drop("_taken")
+                lookup_join(left, taken, ["topic_id"], ["phrase"], "inner").where(apart | (ratio <= dedup_ratio)).drop("_taken")
             )
     return picked
 

@@ -266,6 +266,20 @@ def test_near_copies_are_left_out(spark):
         assert got[t] == want
 
 
+def test_statistical_scores_read_the_texts_three_times(spark):
+    """For words, pairs and the number of chunks; the pairs are used three times."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i % 2, i, f"aa b{i}b cc dd aa") for i in range(10)], "topic_id int, chunk_id bigint, normalized_text string")
+    lb.statistical_scores(df.mapInArrow(read, df.schema), []).collect()
+    assert seen.value <= 30
+
+
 def test_keyphrases_and_labels(chunks, spark):
     phrases = lb.keyphrases(chunks, 3, dims=512, stop_words=[])
     got = {(r.topic_id, r.rank): r.phrase for r in phrases.collect()}
