@@ -67,8 +67,10 @@ CENTRES = 1
 #: Longer lists are compared inside tasks, in blocks of about so many shingles (8 bytes each).
 LONG_LIST = 256
 BLOCK_SHINGLES = 1 << 20
-#: Pairs are told apart by bitmaps of so many 64-bit words first, where they can be.
+#: Pairs are told apart by bitmaps of so many 64-bit words first, where they can be, then by those of at least so
+#: many bits a shingle.
 BIT_WORDS = 16
+WIDE_BITS = 4
 _SLICE = 2 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -203,31 +205,44 @@ def _signatures(size: int, percent: int, boundary: int, heavy: Broadcast, step:
     return run
 
 
+def _bitmap(shingles: np.ndarray, words: int) -> np.ndarray:
+    """``words`` (a power of two) 64-bit words; a bit is set if a shingle falls on it."""
+    bits = np.zeros(64 * words, np.uint8)
+    bits[(shingles >> np.uint64(24)) % np.uint64(64 * words)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _wide_words(n: int) -> int:
+    return max(BIT_WORDS, 1 << ((WIDE_BITS * n - 1) >> 6).bit_length())
+
+
 def _wanted_sets(size: int, wanted: Broadcast | None):
-    """key, n, bits and shingles of the wanted sets, once per slice. A bit is set if a shingle falls on it."""
+    """key, n, bitmaps and shingles of the wanted sets. Of copies in a task most are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = None if wanted is None else wanted.value
+        chosen, seen = None if wanted is None else wanted.value, set()
         for batch in batches:
             for part in slices(batch, max_bytes=_SLICE):
                 found: dict[int, np.ndarray] = {}
+                if len(seen) > MAX_SEEN:
+                    seen.clear()
                 for s in shingle_sets(part["text"], size):
-                    if len(s):
-                        key = _key(s)
-                        if chosen is None or (len(chosen) and chosen[min(np.searchsorted(chosen, key), len(chosen) - 1)] == key):
-                            found[key] = s
+                    key = _key(s) if len(s) else None
+                    if key is None or key in seen:
+                        continue
+                    if chosen is None or (len(chosen) and chosen[min(np.searchsorted(chosen, key), len(chosen) - 1)] == key):
+                        seen.add(key)
+                        found[key] = s
                 if found:
                     n = np.array([*map(len, found.values())])
-                    flat = np.concatenate(list(found.values()))
-                    bits = np.zeros((len(n), 64 * BIT_WORDS), np.uint8)
-                    bits[np.repeat(np.arange(len(n)), n), (flat >> np.uint64(24)) % np.uint64(64 * BIT_WORDS)] = 1
-                    bits = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
-                    lists = lambda lengths, x: pa.ListArray.from_arrays(
-                        pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(x.view(np.int64))
+                    lists = lambda own: pa.ListArray.from_arrays(
+                        pa.array(np.append(0, np.cumsum([*map(len, own)])), pa.int32()), pa.array(np.concatenate(own).view(np.int64))
                     )
+                    bits = [_bitmap(s, BIT_WORDS) for s in found.values()]
+                    wide = [_bitmap(s, _wide_words(len(s))) for s in found.values()]
                     yield pa.record_batch(
-                        [pa.array(list(found), pa.int64()), n, lists(np.full(len(n), BIT_WORDS), bits), lists(n, flat)],
-                        names=["key", "n", "bits", "shingles"],
+                        [pa.array(list(found), pa.int64()), n, lists(bits), lists(wide), lists(list(found.values()))],
+                        names=["key", "n", "bits", "wide", "shingles"],
                     )
 
     return run
@@ -253,20 +268,37 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(2, MAX_SMALL + 1), key=lambda b: (cost(b), b))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets link.
+def _not_apart(pairs: DataFrame, marks: DataFrame, bits: str, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys whose sets may link by their bitmaps.
 
-    Sets differ in as many shingles as their bitmaps differ in bits, or more; pairs that differ in too many
-    go before any shingles are moved.
+    Sets differ in as many shingles as their bitmaps differ in bits, or more. Of bitmaps of two lengths the
+    halves of the longer one, of at most twice the length for sets that may link, are laid together.
     """
-    bits = sets.select("key", "n", "bits")
-    named = lambda x: bits.select(*(F.col(c).alias(f"{c}_{x}") for c in bits.columns))
-    near = pairs.join(named("a"), F.col("a") == F.col("key_a")).join(named("b"), F.col("b") == F.col("key_b"))
+    named = lambda x: marks.select(*(F.col(c).alias(f"{to}_{x}") for c, to in [("key", "key"), ("n", "n"), (bits, "bits")]))
+    both = pairs.join(named("a"), F.col("a") == F.col("key_a")).join(named("b"), F.col("b") == F.col("key_b"))
+    short = F.expr("least(size(bits_a), size(bits_b))").alias("short")
+    laid = lambda x: F.expr(
+        f"if(size({x}) = short, {x}, transform(slice({x}, 1, short), (v, i) -> v | {x}[i + short])) as {x}"
+    )
+    both = both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", short).select("a", "b", "n_a", "n_b", laid("bits_a"), laid("bits_b"))
     apart = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    near = near.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    near = cut_lineage(near.select("a", "b"))
-    with_a = near.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+    near = both.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    return cut_lineage(near.select("a", "b"))
+
+
+def _shingles(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and shingles, once, of the sets named in ``keys``: no others are moved."""
+    keys = F.broadcast(keys) if is_small(keys, MAX_WANTED) else keys
+    return sets.select("key", "shingles").join(keys, "key", "left_semi").dropDuplicates(["key"])
+
+
+def _linked(pairs: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys whose sets link. Pairs that differ in too many bits go before any shingles are moved."""
+    near = _not_apart(_not_apart(pairs, marks, "bits", percent), marks, "wide", percent)
+    keys = cut_lineage(_nodes(near).withColumnRenamed("node", "key"))
+    own = cut_lineage(_shingles(sets, keys))
+    with_a = near.join(own.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = with_a.join(own.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
@@ -303,20 +335,24 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     chosen = None
     if n_wanted <= MAX_WANTED:
         chosen = sc.broadcast(np.sort(wanted.toArrow()["key"].to_numpy().astype(np.int64)))
-    found = docs.mapInArrow(_wanted_sets(size, chosen), "key long, n long, bits array<long>, shingles array<long>")
+    kinds = "key long, n long, bits array<long>, wide array<long>, shingles array<long>"
+    found = docs.mapInArrow(_wanted_sets(size, chosen), kinds)
     if chosen is None:
         found = found.join(wanted, "key", "left_semi")
-    found = cut_lineage(found.dropDuplicates(["key"]))
+    # Where they lie: a set that several tasks hold is there several times, and its bitmaps are moved alone.
+    found = cut_lineage(found)
+    marks = cut_lineage(found.drop("shingles").dropDuplicates(["key"]))
 
     placed = lists.withColumn("component", F.col("key"))
     joined = None
     for seed in range(CENTRES):
         placed = cut_lineage(_mixed_lists(placed))
         near = _with_centre(placed, seed, percent).distinct()
-        joined, placed = _merged(joined, placed, cut_lineage(_linked(near, found, percent)))
+        joined, placed = _merged(joined, placed, cut_lineage(_linked(near, marks, found, percent)))
     placed = cut_lineage(_ranked(_mixed_lists(placed)))
     near = _with_larger(placed.where(F.col("c") <= LONG_LIST), percent).distinct()
-    links = _linked(near, found, percent).unionByName(_linked_in_blocks(placed.where(F.col("c") > LONG_LIST), found, percent))
+    links = _linked(near, marks, found, percent)
+    links = links.unionByName(_linked_in_blocks(placed.where(F.col("c") > LONG_LIST), found, percent))
     joined, _ = _merged(joined, placed.select("sig", "key", "n", "component"), cut_lineage(links.distinct()))
     return _answers(sets, joined)
 
@@ -379,7 +415,7 @@ def _linked_in_blocks(ranked: DataFrame, sets: DataFrame, percent: int) -> DataF
         .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("others", F.sequence(F.lit(0), F.col("blocks") - 1))
         .join(longs, "key")
-        .join(sets.select("key", "shingles"), "key")
+        .join(_shingles(sets, longs.select("key")), "key")
     )
     own = ["sig", "key", F.col("rank.s").alias("s"), F.col("rank.component").alias("component"), "long", "shingles"]
     # Inside a block each set comes once, as seeker and as partner.

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lectern.llm import near_copies as nc
@@ -95,6 +96,25 @@ def test_result_does_not_depend_on_the_boundary(spark, monkeypatch, boundary):
     assert answers(spark, rows) == plain(rows)
 
 
+def test_large_sets_are_told_apart_by_bitmaps_of_their_size(spark):
+    rng = np.random.default_rng(0)
+    every = rng.integers(0, 1 << 62, 9000).astype(np.uint64)
+    # Half of 3,000 in common; 4,000 of 4,200, whose bitmaps have two lengths.
+    sets = {1: every[:3000], 2: every[1500:4500], 3: every[4500:8500], 4: every[4500:8700]}
+    rows = [
+        (k, len(s), nc._bitmap(s, nc.BIT_WORDS).tolist(), nc._bitmap(s, nc._wide_words(len(s))).tolist(), s.view(np.int64).tolist())
+        for k, s in sets.items()
+    ]
+    assert len(rows[2][3]) * 2 == len(rows[3][3])
+    found = spark.createDataFrame(rows * 2, "key long, n long, bits array<long>, wide array<long>, shingles array<long>")
+    marks = found.drop("shingles").dropDuplicates(["key"])
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    left = lambda bits: sorted(map(tuple, nc._not_apart(pairs, marks, bits, 85).collect()))
+    assert left("bits") == [(1, 2), (3, 4)]
+    assert left("wide") == [(3, 4)]
+    assert [tuple(r) for r in nc._linked(pairs, marks, found, 85).collect()] == [(3, 4)]
+
+
 def test_boundary_by_cost():
     assert nc.choose_boundary({60: 1000}, 85) <= 60  # many subsets: rather lists
     assert nc.choose_boundary({6: 1000}, 85) == 8  # one subset instead of two list entries
