@@ -131,6 +131,20 @@ def test_many_words_score_by_blocks_as_by_a_broadcast(spark, monkeypatch):
         assert got[key] == pytest.approx(want[key])
 
 
+def test_many_words_score_with_one_shuffle_of_the_texts(spark, monkeypatch, tmp_path):
+    rows = [("good fine day", "positive"), ("bad bad day", "negative"), ("table of things", "neutral")]
+    found = sn.learn_polarity(spark.createDataFrame(rows, "normalized_text string, label string"))
+    chunks = spark.createDataFrame([("v", i, "good bad day") for i in range(40)], "video_id string, chunk_id bigint, normalized_text string")
+    chunks.write.parquet(str(tmp_path / "c"))
+    monkeypatch.setattr(sn, "MAX_VOCABULARY", 3)
+    monkeypatch.setattr(sn, "BLOCK_CHARS", 60)
+    out = sn.score_polarity(spark.read.parquet(str(tmp_path / "c")), *found)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+    dealt = [x for x in final.split("\n") if "hashpartitioning(_block" in x]
+    assert sum("ReusedExchange" not in x for x in dealt) == 1 and any("ReusedExchange" in x for x in final.split("\n"))
+
+
 def test_emotions_are_independent(spark):
     texts = spark.createDataFrame(
         [("happy sun", True, False), ("sad rain", False, True), ("happy tears", True, True)], "normalized_text string, joy boolean, grief boolean"
