@@ -37,7 +37,7 @@ WINDOW = 10
 #: Characters of benchmark text in one block; the documents are passed once per block.
 BLOCK_CHARS = 16 << 20
 #: Bytes of document text in one shard, that is, under one suffix array.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 _SPAN = T.ArrayType(
     T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

@@ -33,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 NEAR = 3
 _FEATURES = 1 << 12
+#: Bytes of text that are searched at once: the search holds 20 bytes for each, 80 where every word is near a number.
+SLICE_BYTES = 1 << 20
 
 SPANS = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -402,7 +404,7 @@ def _assembled(out, texts, offsets, data, with_hot, decoded, places):
 def _run(field: Field, names: list[str], make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE_BYTES):
                 yield make(part, find(field, part["text"]))
 
     return run

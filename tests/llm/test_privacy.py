@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -124,3 +125,15 @@ def test_spelled_addresses_are_whole():
     rows += ["we sat at home and looked at the dot on it", "theater.example.com is a word", "a text that ends with (", "at the start"]
     found = [[rows[i][a:b] for _, a, b in every] for i, (_, every) in enumerate(pv.find(pv.default_field(), pa.array(rows)))]
     assert found == [[x] for x in spelled] + [[]] * 4
+
+
+def test_memory_of_a_batch_is_bounded():
+    """An Arrow batch holds 10,000 texts, of any length: what the search holds follows slices of it."""
+    text = "some plain words of prose and a number 17 or so, mail bob@example.com now. " * 30
+    batch = pa.record_batch([pa.array([text] * 10_000, pa.large_string())], names=["text"])
+    field = pv.default_field()
+    tracemalloc.start()
+    n = sum(len(found) for found in pv._run(field, ["text"], lambda part, found: found)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_000 and batch.nbytes > 20 << 20 and peak < 150 << 20
