@@ -289,3 +289,32 @@ def test_keyphrases_and_labels(chunks, spark):
     merged = {r.topic_id: r for r in lb.merge_labels(names, phrases, stat).collect()}
     assert merged[5].keyphrases == [] and merged[5].keywords == [] and merged[5].extra is None
     assert merged[0].default_name == "0_a" and len(merged[0].keyphrases) == 3
+
+
+def test_counts_move_once(spark, monkeypatch):
+    """Terms are counted before they move, and move by term only; parts of any size give the same sums."""
+    rng = random.Random(3)
+    words = ["aa", "bb", "cé", "x", "of", "", "dd dd"]
+    rows = [(rng.choice([0, 1, 1, 2, -1, None]), rng.choice([None, "", " ".join(rng.choices(words, k=9))])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "topic_id int, normalized_text string")
+    want = Counter()
+    for topic, text in rows:
+        w = [x for x in (text or "").split(" ") if len(x) > 1 and x != "of"]
+        want.update((topic, t) for t in w + [" ".join(p) for p in zip(w, w[1:])])
+    per_term = defaultdict(list)
+    for (_, t), n in want.items():
+        per_term[t].append(n)
+    want = {(k, t, n, len(per_term[t]), sum(per_term[t])) for (k, t), n in want.items() if len(per_term[t]) > 1}
+    counts = tm.term_counts(df, stop_words=["of"])
+    assert {tuple(r) for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("hashpartitioning(topic_id") == 0
+
+    batches = df.withColumnRenamed("normalized_text", "_text").toArrow().to_batches(max_chunksize=50)
+    for size in (1, 500, 1 << 20):
+        monkeypatch.setattr(tm, "COUNTED_BYTES", size)
+        found = Counter()
+        for part in tm._counted(["of"], 2)(iter(batches)):
+            for r in part.to_pylist():
+                found[r["topic_id"], r["term"]] += r["n"]
+        assert {(k, t, n) for (k, t), n in found.items() if len(per_term[t]) > 1} == {x[:3] for x in want}
