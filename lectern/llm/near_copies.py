@@ -33,7 +33,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -71,7 +70,8 @@ BLOCK_SHINGLES = 1 << 20
 #: many bits a shingle.
 BIT_WORDS = 16
 WIDE_BITS = 4
-_SLICE = 2 << 20
+#: Texts are hashed so many bytes at a time, which takes some 25 times as much memory for a while.
+_SLICE = 512 << 10
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -519,34 +519,41 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """``docs`` with one row of each component, that of the smallest ``doc_id``.
 
     A row with a null id stays unless it is linked with a row that has one. Of rows with equal id and equal
-    set one stays, that of the smallest text.
+    set one stays, that of the smallest text. Only texts of ids that several rows have, or of a null one, are
+    cut into shingles again: the id names all other rows.
     """
 
-    @F.pandas_udf("long")
-    def key_of(text):
-        texts = pa.record_batch([pa.Array.from_pandas(text, type=pa.string())], names=["text"])
+    @F.arrow_udf("long")
+    def key_of(text: pa.Array) -> pa.Array:
+        texts = pa.record_batch([text], names=["text"])
         sets = (x for part in slices(texts, "text", _SLICE) for x in shingle_sets(part["text"], size))
-        found = [_key(x) if len(x) else None for x in sets]
-        return pa.array(found, pa.int64()).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        return pa.array([_key(x) if len(x) else None for x in sets], pa.int64())
 
     own = docs.columns
-    groups = cut_lineage(components(docs, size, percent).where("key is not null"))
-    # Rows are told apart by id and set; -1 and a flag stand for a null id, so that joins can use it.
+    groups = cut_lineage(components(docs, size, percent).select("doc_id", "key", "component_id"))
+    # -1 and a flag stand for a null id, so that joins can use it.
     flagged = lambda x: [F.coalesce(x, F.lit(-1)).alias("__copy_id"), x.isNull().alias("__copy_none")]
-    gone = groups.where("component_id is not null and (doc_id is null or doc_id <> component_id)")
+    by_id, on = ["__copy_id", "__copy_none"], ["__copy_id", "__copy_none", "__copy_key"]
+    several = groups.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null")
+    several = cut_lineage(several.select(*flagged(F.col("doc_id"))))
+    gone = groups.where("key is not null and component_id is not null and (doc_id is null or doc_id <> component_id)")
     gone = cut_lineage(gone.select(*flagged(F.col("doc_id")), F.col("key").alias("__copy_key")).distinct())
-    again = groups.groupBy("doc_id", "key").agg(F.count("*").alias("c")).where("c > 1")
-    again = cut_lineage(again.select(*flagged(F.col("doc_id")), F.col("key").alias("__copy_key")))
-    on = ["__copy_id", "__copy_none", "__copy_key"]
-    keyed = docs.select(*own, *flagged(F.col("doc_id").cast("long")), key_of(F.col("text").cast("string")).alias("__copy_key"))
     few = lambda x: F.broadcast(x) if is_small(x, MAX_WANTED) else x
+    rows = docs.select(*own, *flagged(F.col("doc_id").cast("long")))
+    if several.isEmpty():
+        return rows.join(few(gone.select(*by_id)), by_id, "left_anti").select(*own)
+    single = rows.join(few(several), by_id, "left_anti").join(few(gone.select(*by_id)), by_id, "left_anti").select(*own)
+    again = groups.where("key is not null").groupBy("doc_id", "key").agg(F.count("*").alias("c")).where("c > 1")
+    again = cut_lineage(again.select(*flagged(F.col("doc_id")), F.col("key").alias("__copy_key")))
+    # Rows of such ids are told apart by their set too.
+    keyed = rows.join(few(several), by_id, "left_semi").withColumn("__copy_key", key_of(F.col("text").cast("string")))
     kept = keyed.join(few(gone), on, "left_anti")
     if again.isEmpty():
-        return kept.select(*own)
-    single = kept.join(few(again), on, "left_anti")
+        return single.unionByName(kept.select(*own))
     # Equal texts go by a hash of the row: the choice never hangs on the order of tasks.
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
-    several = kept.join(few(again), on, "left_semi").groupBy(*on).agg(
+    chosen = kept.join(few(again), on, "left_semi").groupBy(*on).agg(
         F.min_by(F.struct(*own), F.struct("text", F.xxhash64(*plain))).alias("__copy_row")
     )
-    return single.select(*own).unionByName(several.select("__copy_row.*"))
+    kept = kept.join(few(again), on, "left_anti").select(*own)
+    return single.unionByName(kept).unionByName(chosen.select("__copy_row.*"))

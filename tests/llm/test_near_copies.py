@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -133,6 +134,29 @@ def test_one_of_each(spark):
     assert nc.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_rows_with_an_id_of_their_own_are_named_by_it(spark):
+    """No text is read into Python again where no id has several rows; where one has, no other row of it is lost."""
+    texts = {1: "a b c d e f", 2: "A b c d e f", 3: "other words stand in here", 4: None}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(2)
+    kept = nc.one_of_each(docs)
+    assert "ArrowEvalPython" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    more = docs.unionByName(spark.createDataFrame([(2, None), (2, "words that stand alone here"), (5, texts[3])], docs.schema))
+    assert sorted((r.doc_id, str(r.text)) for r in nc.one_of_each(more).collect()) == sorted(
+        [(1, texts[1]), (2, "None"), (2, "words that stand alone here"), (3, texts[3]), (4, "None")]
+    )
+
+
+def test_a_batch_is_hashed_in_small_slices():
+    text = " ".join(f"w{i}" for i in range(4000))
+    batch = nc.pa.record_batch([[*range(400)], [f"{i} {text}" for i in range(400)]], names=["doc_id", "text"])
+    tracemalloc.start()
+    assert sum(map(len, nc._sets(4)([batch]))) == 400
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+
+
 def test_registered(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
