@@ -27,6 +27,8 @@ from lectern.llm.subwords import encoder
 from lectern.session import cut_lineage
 
 OPEN_WINDOWS = 64
+#: Texts are encoded so many bytes at a time.
+SLICE_BYTES = 4 << 20
 #: Leftover windows of so many tasks are merged together.
 MERGED_TASKS = 64
 _TASK_BITS = 33
@@ -65,7 +67,7 @@ def _pack(path: str, end_id: int, size: int, limit: int):
         task = TaskContext.get()
         windows = Windows(size, limit, (task.partitionId() if task else 0) << _TASK_BITS)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE_BYTES):
                 firsts, ids = encode(part["text"])
                 lengths = np.diff(firsts) + 1
                 cells: list[tuple] = []

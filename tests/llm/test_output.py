@@ -1,5 +1,6 @@
 """Packing and token files: exact round trips, edge rows, ties."""
 
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -44,6 +45,18 @@ def test_encoder_equals_plain_encoding(path):
         assert ids[firsts[i] : firsts[i + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids
 
 
+def test_pack_encodes_a_batch_in_small_slices():
+    texts = [f"{i} " + "some words of a text that is as long as a page " * 120 for i in range(1500)]
+    batch = packing.pa.record_batch([[*range(len(texts))], texts], names=["doc_id", "text"])
+    run = packing._pack(BYTE, 1, 2048, 64)
+    list(run([batch.slice(0, 2)]))
+    tracemalloc.start()
+    rows = sum(x["length"].null_count < len(x) for x in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 1 and peak < 150e6
+
+
 def test_pack_places_every_id_once(spark):
     size = 64
     rows = packing.pack(frame(spark).repartition(4), BYTE, size=size, open_windows=2).collect()
