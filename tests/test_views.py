@@ -164,3 +164,16 @@ def test_model_scores(spark):
     df = spark.createDataFrame([("good",), ("bad",)], "normalized_text string")
     got = sn.score_with_model(df, factory, ["positive", "negative"], "polarity_").collect()
     assert [round(r.sentiment, 6) for r in got] == [0.5, -0.5]
+
+
+def test_enriched_chunks_have_topics_polarity_and_emotions(spark, sf_dir):
+    """All that the method puts next to a chunk, as the queries of its own have it."""
+    from registry.all import QUERIES
+
+    key = lambda r: (r.video_id, r.chunk_id)
+    got = {key(r): r for r in QUERIES["enrich_chunks"](spark, sf_dir).collect()}
+    emotions = {key(r): r for r in QUERIES["emotions"](spark, sf_dir).collect()}
+    assert got.keys() == emotions.keys() and got
+    for k, r in got.items():
+        assert (r.emotion_approval, r.emotion_annoyance) == emotions[k][2:]
+        assert r.topic_id is not None and r.polarity_negative + r.polarity_neutral + r.polarity_positive == pytest.approx(1, abs=1e-5)
