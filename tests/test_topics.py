@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +12,7 @@ from lectern.operators import coherence as co
 from lectern.operators import labels as lb
 from lectern.operators import overtime as ot
 from lectern.operators import terms as tm
+from lectern.session import cut_lineage
 
 TEXTS = [
     ("v1", 0, 0, "apple pie apple tart"),
@@ -318,3 +321,54 @@ def test_counts_move_once(spark, monkeypatch):
             for r in part.to_pylist():
                 found[r["topic_id"], r["term"]] += r["n"]
         assert {(k, t, n) for (k, t), n in found.items() if len(per_term[t]) > 1} == {x[:3] for x in want}
+
+
+def _dealt_by(df):
+    """What each exchange in the plan is dealt by."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\((.*?)\)", plan)]
+
+
+def _written(monkeypatch, module):
+    """The tables that a module writes."""
+    written = []
+    monkeypatch.setattr(module, "cut_lineage", lambda d: written.append(d) or d.localCheckpoint())
+    return written
+
+
+def test_packed_rows_come_back():
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, None]), rng.choice(["aa", "bé cc", "x" * 300, "dd"]), i, i / 7) for i in range(200)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(["t", "term", "n", "w"], r)) for r in rows[k : k + 60]]) for k in range(0, 200, 60)]
+    packed, order = tm.packed(batches, ["t"], {"n": "<i8", "w": "<f8"}, 7)
+    terms, (topic,), (n, w) = tm.unpacked(pa.Table.from_batches([packed]), ["t"], {"n": "<i8", "w": "<f8"})
+    assert list(zip(topic.to_pylist(), terms.to_pylist(), n.tolist(), w.tolist())) == [rows[i] for i in order]
+    of = {(term, b) for b, term in zip(np.repeat(packed["bucket"].to_numpy(), packed["rows"].to_numpy()), terms.to_pylist())}
+    assert len(of) == len({term for term, _ in of}) and packed["bucket"].to_pylist() == sorted(set(packed["bucket"].to_pylist()))
+
+
+def test_terms_of_slices_meet_weights_packed(spark, monkeypatch):
+    """No row per term is shuffled: the texts are dealt by slices, once, and terms by buckets."""
+    rows = [("v", i, i % 3, f"aa bb c{i % 4}c aa") for i in range(40)]
+    df = spark.createDataFrame(rows, "video_id string, chunk_id bigint, topic_id int, normalized_text string")
+    weights = tm.ctfidf(tm.term_counts(df, stop_words=[])).localCheckpoint()
+    written = _written(monkeypatch, tm)
+    assert tm.representative_docs(df, weights, 2, stop_words=[]).count() == 6
+    top = next(d for d in written if "similarity" in d.columns)
+    assert not any("term" in x for x in _dealt_by(top)) and any("bucket" in x for x in _dealt_by(top))
+
+
+def test_what_was_shuffled_for_a_written_table_is_removed(spark):
+    files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+    before = files()
+    kept = spark.range(1000).repartition(3, "id").localCheckpoint()
+    mine = files() - before
+    assert mine
+    table = cut_lineage(spark.range(1000).repartition(3, "id"))
+    # Block managers are asked to remove them; they may take a moment.
+    end = time.time() + 20
+    while files() - before - mine and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before - mine
+    assert table.count() == kept.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
