@@ -9,9 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators.skew import lookup_join
-from lectern.operators.terms import explode_terms
+from lectern.operators.terms import COUNT, WEIGHT, grouped, packed_counts, packed_weights, summed_by, unpacked
 from lectern.session import cut_lineage
 
 
@@ -69,22 +70,16 @@ def topics_over_time(
     periods = frequency.select("bin").distinct().withColumn(
         "period", (F.row_number().over(Window.orderBy("bin")) - 1).cast("int")
     )
-    in_bin = explode_terms(binned, ["topic_id", "bin"], stop_words, max_n).groupBy("topic_id", "bin", "term").agg(
-        F.count("*").alias("tf")
-    )
     tuned = global_tuning or evolution_tuning
-    # One row per (topic, term), written once. A topic's overall words count in every period, also those
-    # not said in any chunk of it.
+    # Terms are counted before they move, and meet their weights by bucket, packed. One row per (topic, term),
+    # written once. A topic's overall words count in every period, also those not said in any chunk of it.
+    topic = chunks.schema["topic_id"].dataType
+    said = packed_counts(binned.join(F.broadcast(periods), "bin"), ["topic_id", "period"], stop_words, max_n)
+    known = packed_weights(weights.withColumn("topic_id", F.col("topic_id").cast(topic)))
+    schema = T.StructType().add("topic_id", topic).add("term", "string").add("_score", "double")
+    schema = schema.add("_at", T.ArrayType(T.IntegerType())).add("_w", T.ArrayType(T.DoubleType())).add("_tf", T.ArrayType(T.LongType()))
     per_term = cut_lineage(
-        weights.select("topic_id", "term", "idf", "score")
-        .join(in_bin.join(F.broadcast(periods), "bin"), ["topic_id", "term"], "left" if global_tuning else "inner")
-        .groupBy("topic_id", "term")
-        .agg(
-            F.max("score").alias("_score"),
-            F.collect_list("period").alias("_at"),
-            F.collect_list(F.col("tf") * F.col("idf")).alias("_w"),
-            F.collect_list("tf").alias("_tf"),
-        )
+        said.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_by_period(bins, global_tuning), schema)
     )
     parts = F.arrays_zip(F.col("_at").alias("period"), F.col("_w" if tuned else "_tf").alias("part"))
     sums = per_term.select("topic_id", F.inline(parts)).groupBy("topic_id", "period").agg(F.sum("part").alias("total"))
@@ -124,6 +119,40 @@ def topics_over_time(
     )
 
 
+def _by_period(bins: int, silent: bool):
+    """Arrow function: of one bucket, the terms of each topic that have a weight, with the periods in which they
+    were said; with ``silent`` also those never said."""
+
+    def joined(said: pa.Table, weights: pa.Table) -> pa.Table:
+        terms, (topics,), (idf, score) = unpacked(weights, ["topic_id"], WEIGHT)
+        topic, listed = grouped([topics])
+        coded = terms.dictionary_encode()
+        n = max(len(listed[0]), 1)
+        key = coded.indices.to_numpy().astype(np.int64) * n + topic
+        order = np.argsort(key)
+        key = key[order]
+
+        words, (of, period), (times,) = unpacked(said, ["topic_id", "period"], COUNT)
+        place = lambda some, among: pc.index_in(some, value_set=among).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        term, of = place(words, coded.dictionary), place(of, listed[0])
+        sought = np.where((term >= 0) & (of >= 0), term * n + of, -1)
+        row = np.searchsorted(key, sought)
+        found = np.append(key, -2)[row] == sought
+        cell, tf = summed_by(row[found] * bins + period.to_numpy()[found], times[found])
+        row, period = np.divmod(cell, bins)
+
+        many = np.bincount(row, minlength=len(key))
+        some = np.arange(len(key)) if silent else np.flatnonzero(many)
+        edge = pa.array(np.append(0, np.cumsum(many[some])), pa.int32())
+        weight = tf * idf[order[row]]
+        lists = (pa.ListArray.from_arrays(edge, pa.array(x)) for x in (period.astype(np.int32), weight, tf.astype(np.int64)))
+        own = pa.array(order[some])
+        cells = [topics.take(own), terms.take(own).cast(pa.string()), pa.array(score[order[some]]), *lists]
+        return pa.table(cells, names=["topic_id", "term", "_score", "_at", "_w", "_tf"])
+
+    return joined
+
+
 def _places(groups: np.ndarray) -> np.ndarray:
     """The place of every row in its group, from 0; the rows of a group stand together."""
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])

@@ -358,6 +358,16 @@ def test_terms_of_slices_meet_weights_packed(spark, monkeypatch):
     assert not any("term" in x for x in _dealt_by(top)) and any("bucket" in x for x in _dealt_by(top))
 
 
+def test_terms_over_time_meet_weights_packed(spark, monkeypatch):
+    rows = [(float(i % 7), i % 2, f"aa b{i % 3} cc d{i % 5}d") for i in range(40)]
+    df = spark.createDataFrame(rows, "t double, topic_id int, normalized_text string")
+    weights = tm.ctfidf(tm.term_counts(df, stop_words=[])).localCheckpoint()
+    written = _written(monkeypatch, ot)
+    ot.topics_over_time(df, weights, "t", 5, stop_words=[]).collect()
+    per_term = next(d for d in written if "term" in d.columns)
+    assert not any("term" in x for x in _dealt_by(per_term)) and any("bucket" in x for x in _dealt_by(per_term))
+
+
 def test_what_was_shuffled_for_a_written_table_is_removed(spark):
     files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in f}
     before = files()
