@@ -147,7 +147,8 @@ def _(spark, d):
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("video_id").cast("int") % 365)
     meta = b.metadata(spark, d).select("video_id", "title", "channel_name", day.alias("publish_date"))
     tb.write_tables({"transcripts": b.segments(spark, d), "metadata": meta}, base, "raw")
-    labelled = b.labelled_norm(spark, d)
+    # Both models learn from the same texts, which are cleaned once.
+    labelled = b.stored(b.labelled_norm(spark, d))
     polarity = sn.learn_polarity(labelled)
     emotions = (*sn.learn_emotions(labelled, b.EMOTIONS), list(b.EMOTIONS))
     process(spark, base, polarity, emotions)

@@ -164,3 +164,27 @@ def test_process_of_empty_tables(spark, tmp_path):
 def test_process_needs_raw_tables(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         process(spark, str(tmp_path), (None, None))
+
+
+def test_labelled_texts_are_cleaned_once_for_both_models(spark, sf_dir, monkeypatch):
+    from registry import sources
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("v", "good day", "positive", True, False), ("w", "bad day", "negative", False, True)]
+    texts = spark.createDataFrame(rows, "video_id string, normalized_text string, label string, approval boolean, annoyance boolean")
+    monkeypatch.setattr(sources.b, "labelled_norm", lambda spark, d: texts.mapInArrow(read, texts.schema))
+
+    def learned(spark, base, polarity, emotions):
+        assert {r.word for r in polarity[0].collect()} == {r.word for r in emotions[0].collect()} == {"good", "bad", "day"}
+        assert polarity[1].count() == emotions[1].count() == 1
+        sources.tb.write_tables({"chunks": texts.select("video_id", "normalized_text")}, base, "processed")
+
+    monkeypatch.setattr(sources, "process", learned)
+    assert sources.Q["process"](spark, sf_dir).count() == 2
+    assert seen.value == 2
