@@ -382,3 +382,12 @@ def test_what_was_shuffled_for_a_written_table_is_removed(spark):
     assert not files() - before - mine
     assert table.count() == kept.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_weights_are_not_stored_beside_their_counts(chunks, monkeypatch):
+    """The report reads weights four times; they are worked out from the stored counts."""
+    from registry import base, topics
+
+    written = [*map(lambda module: _written(monkeypatch, module), (tm, base))]
+    assert topics.weights(chunks).count()
+    assert any("tf" in d.columns for d in sum(written, [])) and not any("score" in d.columns for d in sum(written, []))
